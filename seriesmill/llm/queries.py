@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, exact_dedup, packing, warc
+from seriesmill.llm import bpe, exact_dedup, packing, suffix_dedup, warc
 from seriesmill.llm.common import shared_dir, table
 
 
@@ -20,6 +20,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_array_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"], keep_text=False)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
@@ -53,7 +58,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last > page_id THEN 're
   CASE WHEN last > page_id THEN last END AS refers_to FROM q
 """
 
-QUERIES = {"op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe, "op7_warc": op7_warc}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe, "op7_warc": op7_warc}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL}
 
 
