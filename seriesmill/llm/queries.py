@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, exact_dedup, packing, suffix_dedup, warc
+from seriesmill.llm import ann, bpe, exact_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
 from seriesmill.llm.common import shared_dir, table
 
 
@@ -29,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -58,7 +62,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last > page_id THEN 're
   CASE WHEN last > page_id THEN last END AS refers_to FROM q
 """
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe, "op7_warc": op7_warc}
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), train_on=~toxicity.held_out("id"))
+    out = toxicity.score(docs, machine, carry=["doc_id"])
+    return out.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe, "op7_warc": op7_warc, "op8_ann": op8_ann, "op10_toxicity": op10_toxicity}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL}
 
 
