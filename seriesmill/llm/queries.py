@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from seriesmill.llm import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from seriesmill.llm.common import shared_dir, table
 
 
@@ -49,6 +49,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "posterior", "score", "kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write_archives(warc.plan_captures(table(spark, sf_dir, "pages")), path)
@@ -67,6 +71,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), keep_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), train_on=~toxicity.held_out("id"))
@@ -74,7 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe, "op7_warc": op7_warc, "op8_ann": op8_ann, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity,
+}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL}
 
 
