@@ -1,13 +1,38 @@
-"""All queries of the library outside the corpus operators."""
+"""All queries of the library outside the corpus operators, with their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 FLAGSHIP = "p13_ranking_metrics"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under a name, with the SQL of its result."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    from seriesmill.plans import curve_queries, scalar_queries  # noqa: F401
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
