@@ -56,7 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write_archives(warc.plan_captures(table(spark, sf_dir, "pages")), path)
-    return warc.captures_of(warc.read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.captures_of(warc.read_archives(spark, path), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = """

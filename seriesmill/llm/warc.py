@@ -10,6 +10,7 @@ by `captures_per_file`.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -112,7 +113,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, data[end + 4 : at]
 
 
-RECORD = "record_id string, concurrent_to string, warc_type string, target_uri string, payload_digest string, refers_to string, http_head string, payload binary"
+RECORD = "record_id string, concurrent_to string, warc_type string, target_uri string, payload_digest string, refers_to string, http_head string, payload binary, payload_bytes long, payload_sha1 string"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if head.get("content-type", "").startswith("application/http"):
                     a, _, payload = block.partition(b"\r\n\r\n")
                     http = a.decode("utf-8", "replace")
-                rows.append((head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("warc-refers-to"), http, payload))
+                rows.append((head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("warc-refers-to"), http, payload, len(payload), hashlib.sha1(payload).hexdigest()))
                 held += len(payload)
                 if held > 8 << 20:
                     yield _batch(rows, names)
@@ -136,7 +137,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _batch(rows: list, names: list) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "payload" else pa.string()) for c, n in zip(cols, names)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, {"payload": pa.binary(), "payload_bytes": pa.int64()}.get(n, pa.string())) for c, n in zip(cols, names)], names=names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -145,29 +146,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_parsed, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """One nested row for each capture: its request, response or revisit, and metadata, joined by WARC-Concurrent-To.
 
+    Without payloads those of responses stay behind; their sizes and digests, taken from them when they are read, come.
+
     A record that names no other starts its own capture; a part that isn't there is null. Of two records of one kind in
     a capture the one with the larger record id counts.
     """
     key = F.coalesce("concurrent_to", "record_id").alias("capture_id")
     rows = records.withColumn("capture_id", key)
-    part = lambda *kinds: F.max(F.when(F.col("warc_type").isin(*kinds), F.struct("record_id", "warc_type", "target_uri", "payload_digest", "refers_to", "http_head", "payload")))
+    if not payloads:
+        rows = rows.withColumn("payload", F.when(F.col("warc_type") != "response", F.col("payload")))
+    part = lambda *kinds: F.max(F.when(F.col("warc_type").isin(*kinds), F.struct("record_id", "warc_type", "target_uri", "payload_digest", "refers_to", "http_head", "payload", "payload_bytes", "payload_sha1")))
     return rows.groupBy("capture_id").agg(part("request").alias("request"), part("response", "revisit").alias("reply"), part("metadata").alias("metadata"))
 
 
-def captures_of(records: DataFrame) -> DataFrame:
+def captures_of(records: DataFrame, payloads: bool = True) -> DataFrame:
     """capture_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to and the nested parts of each capture.
 
     Size and digest of a stored payload are taken from the payload itself, those of a revisit from its headers.
     """
-    kind, payload = F.col("reply.warc_type"), F.col("reply.payload")
+    kind = F.col("reply.warc_type")
     field = lambda name: F.regexp_extract(F.col("metadata.payload").cast("string"), rf"(?m)^{name}: *(\S*)", 1)
     number = lambda name: F.when(field(name) != "", field(name).cast("long"))
-    return assemble(records).where("reply is not null").select(
+    return assemble(records, payloads).where("reply is not null").select(
         "capture_id", number("pageId").alias("page_id"), F.col("reply.target_uri").alias("url"),
-        F.when(kind == "response", F.octet_length(payload).cast("long")).otherwise(number("payloadLength")).alias("payload_bytes"),
-        F.when(kind == "response", F.sha1(payload)).otherwise(F.regexp_extract("reply.payload_digest", "^sha1:(.*)$", 1)).alias("payload_digest"),
+        F.when(kind == "response", F.col("reply.payload_bytes")).otherwise(number("payloadLength")).alias("payload_bytes"),
+        F.when(kind == "response", F.col("reply.payload_sha1")).otherwise(F.regexp_extract("reply.payload_digest", "^sha1:(.*)$", 1)).alias("payload_digest"),
         kind.alias("record_type"), number("refersToPage").alias("refers_to"), "request", "reply", "metadata",
     )
