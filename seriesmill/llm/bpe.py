@@ -7,6 +7,7 @@ a merge updates the lists of the pairs that it makes. Texts are then put togethe
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import os
@@ -18,6 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from seriesmill.llm.common import U, _powers, mix
+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+_CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
+
 #: White space as the tokenizer's normaliser takes it (Unicode's White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Words as the tokenizer splits them; what lies between them is dropped.
@@ -37,7 +43,7 @@ def _byte_alphabet() -> list[str]:
 class BpeCodec:
     """The vocabulary of a tokenizers file of the word-end kind: NFC, white space, lower case, split, byte-level BPE."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         """most_words: distinct words to keep; beyond that they are forgotten and encoded anew when they return."""
         spec = json.load(open(path, encoding="utf-8"))
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
@@ -47,15 +53,23 @@ class BpeCodec:
         self.word, self.space = regex.compile(_WORD), regex.compile(f"[{_SPACE}]+")
         alphabet = _byte_alphabet()
         self.inner, self.last = [vocab[c] for c in alphabet], [vocab[c + end] for c in alphabet]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, tuple[int, int]] = {}  # left << 20 | right: rank and result
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
         self.most_words = most_words
+        every = "".join(map(chr, range(0x110000)))
+        self.kind = np.full(0x110000, OTHER, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, f"[{_SPACE}]+")):
+            for m in regex.finditer(pattern, every):
+                self.kind[m.start() : m.end()] = kind
+        self.kind[0] = SPACE  # stands between texts; one that holds it takes another path
+        self.mark = np.random.default_rng(3).integers(0, 2**63, 0x110000, dtype=np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.slot = np.full(1 << 21, -1, np.int32)  # open addressing: word numbers by hash
+        self.key = np.zeros(0, np.uint64)
         self.text: list[str] = []
         self.pool, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # the ids of all words, and where each word's begin
 
@@ -75,11 +89,67 @@ class BpeCodec:
                 text = text.replace("Σ", "σ")  # lower case without a look at the neighbours
         return self.word.findall(text.lower())
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet, all together."""
-        words = [w for w in words if w not in self.index]
-        if not words:
-            return
+    def cut_words(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of the words of a lower-cased text, by the same rule as the pattern, on whole arrays."""
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[code]
+        begin = np.empty(len(code) + 1, bool)
+        begin[0], begin[-1] = True, True
+        np.not_equal(kind[1:], kind[:-1], out=begin[1:-1])
+        begin[:-1] |= kind == NUMBER
+        quote = np.flatnonzero((code == 39) & begin[:-1])
+        for q in quote.tolist():  # a word that starts with an apostrophe may be a contraction
+            m = _CONTRACTION.match(joined, q)
+            if m:
+                begin[q + 1 : m.end()] = False
+                begin[m.end()] = True
+        at = np.flatnonzero(begin)
+        start, end = at[:-1], at[1:]
+        word = kind[start] != SPACE
+        start, end = start[word], end[word]
+        up, down = _powers(len(code) + 1)
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(self.mark[code] * down[:-1], out=sums[1:])
+        return start, end, mix((sums[end] - sums[start]) * up[start] + (end - start).astype(np.uint64))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those that aren't known."""
+        out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & U(len(self.slot) - 1)).astype(np.int64)
+        while len(todo):
+            w = self.slot[slot]
+            full = w >= 0
+            hit = full.copy()
+            hit[full] = self.key[w[full]] == h[todo[full]]
+            out[todo[hit]] = w[hit]
+            more = full & ~hit
+            todo, slot = todo[more], (slot[more] + 1) & (len(self.slot) - 1)
+        return out
+
+    def number(self, h: np.ndarray, spell) -> np.ndarray:
+        """The words' numbers; spell(i) gives the i-th word, and is called for new ones only."""
+        out = self.find(h)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh, at = np.unique(h[new], return_index=True)
+            base = len(self.text)
+            self.learn([spell(int(i)) for i in new[at]])
+            self.key = np.concatenate([self.key, fresh])
+            if 2 * len(self.key) > len(self.slot):
+                self.slot = np.full(4 * len(self.slot), -1, np.int32)
+                base = 0
+            number, slot = np.arange(base, len(self.key)), (self.key[base:] & U(len(self.slot) - 1)).astype(np.int64)
+            while len(number):
+                free = np.flatnonzero(self.slot[slot] < 0)
+                _, one = np.unique(slot[free], return_index=True)
+                self.slot[slot[free[one]]] = number[free[one]]
+                more = np.ones(len(number), bool)
+                more[free[one]] = False
+                number, slot = number[more], (slot[more] + 1) & (len(self.slot) - 1)
+            out[new] = self.find(h[new])
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words, all together; they get the next numbers."""
         symbol: list[int] = []
         starts: list[int] = []
         for w in words:
@@ -99,86 +169,111 @@ class BpeCodec:
             if s < size:
                 before[s] = -1
         merges, at = self.merges, {}
-        for i in range(size - 1):
-            if after[i] >= 0 and (pair := (symbol[i], symbol[i + 1])) in merges:
-                at.setdefault(pair, []).append(i)
+        word_of = np.repeat(np.arange(len(words)), np.diff(starts))
+        pairs = np.array(symbol[:-1], np.int64) << 20 | np.array(symbol[1:], np.int64)
+        inside = word_of[1:] == word_of[:-1]
+        order = np.argsort(pairs, kind="stable")
+        order = order[inside[order]]
+        cut = np.flatnonzero(np.diff(pairs[order], prepend=-1, append=-1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            pair = int(pairs[order[a]])
+            if pair in merges:
+                at[pair] = order[a:b].tolist()
+        word_of = word_of.tolist()
         active = [(merges[p][0], p) for p in at]
         heapq.heapify(active)
-        word_of = np.repeat(np.arange(len(words)), np.diff(starts)).tolist()
+        push, known = heapq.heappush, merges.get
         while active:
             rank, pair = heapq.heappop(active)
-            left, right = pair
-            new, wait = merges[pair][1], set()  # wait: words in which a merge of a lower rank has come up
-            places, again = sorted(at.pop(pair, ())), []
+            left, right = pair >> 20, pair & 0xFFFFF
+            new, wait = merges[pair][1], None  # wait: words in which a merge of a lower rank has come up
+            places, again = at.pop(pair, ()), None
+            if len(places) > 1:
+                places.sort()
+            from_left, to_right = new << 20, new
             for i in places:
                 j = after[i]
                 if symbol[i] != left or j < 0 or symbol[j] != right:
                     continue
                 if wait and word_of[i] in wait:
+                    again = again or []
                     again.append(i)
                     continue
                 symbol[i], symbol[j] = new, -1
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    p = (new, symbol[k])
-                    if p in merges:
-                        if p not in at:
-                            at[p] = []
-                            heapq.heappush(active, (merges[p][0], p))
+                    p = from_left | symbol[k]
+                    if p in at:
                         at[p].append(i)
                         if merges[p][0] < rank:
-                            wait.add(word_of[i])
-                if (k := before[i]) >= 0:
-                    p = (symbol[k], new)
-                    if p in merges:
-                        if p not in at:
-                            at[p] = []
-                            heapq.heappush(active, (merges[p][0], p))
+                            wait = {word_of[i], *(wait or ())}
+                    elif found := known(p):
+                        at[p] = [i]
+                        push(active, (found[0], p))
+                        if found[0] < rank:
+                            wait = {word_of[i], *(wait or ())}
+                k = before[i]
+                if k >= 0:
+                    p = symbol[k] << 20 | to_right
+                    if p in at:
                         at[p].append(k)
                         if merges[p][0] < rank:
-                            wait.add(word_of[i])
+                            wait = {word_of[i], *(wait or ())}
+                    elif found := known(p):
+                        at[p] = [k]
+                        push(active, (found[0], p))
+                        if found[0] < rank:
+                            wait = {word_of[i], *(wait or ())}
             if again:
                 if pair in at:
                     at[pair] += again
                 else:
                     at[pair] = again
-                    heapq.heappush(active, (rank, pair))
-        name, base = self.name, len(self.text)
-        for k, w in enumerate(words):
-            self.index[w] = base + k
+                    push(active, (rank, pair))
+        name = self.name
+        for k in range(len(words)):
             self.text.append(" ".join([name[x] for x in symbol[starts[k] : starts[k + 1]] if x >= 0]))
         made = np.array(symbol, np.int64)
         count = np.bincount(np.array(word_of)[made >= 0], minlength=len(words))
         self.pool = np.concatenate([self.pool, made[made >= 0].astype("<u4")])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count)])
 
-    def word_numbers(self, texts: list[str]) -> list[list[int]]:
-        """For each text the numbers of its words in self.first and self.text."""
-        if len(self.index) > self.most_words:
+    def word_numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of the texts, and where each text's begin (one more than texts)."""
+        if len(self.text) > self.most_words:
             self.forget()
-        split = [self.split(t) for t in texts]
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        self.learn(fresh)
-        index = self.index
-        return [[index[w] for w in words] for words in split]
+        joined = "\0".join(texts)
+        if "<|" in joined or joined.count("\0") != len(texts) - 1:
+            words = [self.split(t) for t in texts]
+            flat_words = [w for own in words for w in own]
+            h = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in flat_words], np.uint64)
+            return self.number(h ^ U(1), flat_words.__getitem__), np.cumsum([0, *map(len, words)])
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
+        joined = joined.lower()
+        start, end, h = self.cut_words(joined)
+        numbers = self.number(h, lambda i: joined[start[i] : end[i]])
+        stops, at = [], joined.find("\0")
+        while at >= 0:
+            stops.append(at)
+            at = joined.find("\0", at + 1)
+        return numbers, np.concatenate([[0], np.searchsorted(start, np.array(stops, np.int64)), [len(start)]]).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit little-endian integers."""
         return [x for x, _ in self.encode_and_decode(texts, False)]
 
     def encode_and_decode(self, texts: list[str], decode: bool = True) -> list[tuple[np.ndarray, str]]:
-        numbers = self.word_numbers(texts)
-        first, pool, text, out = self.first, self.pool, self.text, []
-        for own in numbers:
-            w = np.array(own, np.int64)
-            n = first[w + 1] - first[w]
-            end = np.cumsum(n)
-            ids = pool[np.repeat(first[w] - end + n, n) + np.arange(int(n.sum()))]
-            out.append((ids, " ".join([text[k] for k in own]) if decode else ""))
-        return out
+        if not texts:
+            return []
+        w, cut = self.word_numbers(texts)
+        n = self.first[w + 1] - self.first[w]
+        end = np.cumsum(n)
+        ids = self.pool[np.repeat(self.first[w] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)]
+        stops = np.concatenate([[0], end])[cut]
+        text = self.text
+        return [(ids[stops[k] : stops[k + 1]], " ".join([text[x] for x in w[cut[k] : cut[k + 1]].tolist()]) if decode else "") for k in range(len(texts))]
 
     def decode(self, ids) -> str:
         """The tokens' strings with a space between two of them: the file names no decoder. Ids out of range are left out."""
@@ -197,7 +292,7 @@ def codec(path: str) -> BpeCodec:
     return _CODECS[key]
 
 
-def text_groups(texts: list, limit: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+def text_groups(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts (null: empty) of about limit characters together, with the first one's place."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -215,8 +310,6 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Null and empty texts have no ids and decode to the empty text; a text is encoded whole, whatever its length. Rows
     may repeat, ids may be null, other columns are left out. No shuffle: each partition is a stage of its own.
     """
-    import hashlib
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
