@@ -176,7 +176,7 @@ def c15(spark, d):
 
 _FILL = """, g AS (SELECT series_id, t, lead(t) OVER (PARTITION BY series_id ORDER BY t) - t AS gap FROM (SELECT DISTINCT series_id, t FROM points))
 , fa AS (SELECT series_id, count(*) AS n, min(t) AS first, max(t) AS last, count(*) FILTER (gap BETWEEN 0.5 AND 6.5) AS ok, quantile_cont(gap, 0.5) FILTER (gap BETWEEN 0.5 AND 6.5) AS step FROM g GROUP BY series_id)
-, fx AS (SELECT fa.*, s.duration FROM fa JOIN series s USING (series_id) WHERE n >= 6 AND last - first >= 4 AND ok >= greatest(4, ceil(0.60 * (n - 1))))
+, fx AS (SELECT fa.*, s.duration FROM fa JOIN series s USING (series_id) WHERE fa.n >= 6 AND last - first >= 4 AND ok >= greatest(4, ceil(0.60 * (fa.n - 1))))
 , filled AS (SELECT series_id, t FROM g UNION SELECT series_id, first - unnest(generate_series(1, CAST(floor(first / step) AS INT))) * step FROM fx UNION SELECT series_id, last + unnest(generate_series(1, CAST(floor((duration - last) / step) AS INT))) * step FROM fx
   UNION SELECT g.series_id, g.t + unnest(generate_series(1, CAST(round_even(g.gap / fx.step, 0) AS INT) - 1)) * fx.step FROM g JOIN fx USING (series_id) WHERE g.gap > 1.75 * fx.step)"""
 
