@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from seriesmill.plans import curve_queries, scalar_queries  # noqa: F401
+    from seriesmill.plans import candidate_queries, curve_queries, run_queries, scalar_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

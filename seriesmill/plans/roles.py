@@ -103,7 +103,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     bad = F.col("event_type") == "error"
     line = F.when(bad & (F.col("event_id") % 3 == 0), "backend said: quota exceeded").when(bad & (F.col("event_id") % 11 == 1), "No such file or directory").when(bad, F.concat(F.lit("step failed "), "props")).otherwise(F.concat("event_type", F.lit(" "), "props"))
-    return e.select((F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("stage"), (F.col("user_id") % 5).cast("string")).alias("stage"), F.col("user_id").alias("attempt"), F.when(F.col("event_id") % 7 == 0, "stderr").otherwise("stdout").alias("stream"), "ts", F.col("event_id").alias("line_no"), line.alias("line"))
+    return e.select((F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("stage"), (F.col("user_id") % 5).cast("string")).alias("stage"), F.col("user_id").alias("attempt"), F.when(F.col("event_id") % 7 == 0, "stderr").otherwise("stdout").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
 LINES = (
