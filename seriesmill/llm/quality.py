@@ -20,14 +20,14 @@ from seriesmill.llm.common import U, WORD_BYTE, chunks, flat, mix, span_hashes,
 GOOD, NONE, BAD = 1, 0, -1
 #: Name, measure, bad below, good from, good to, bad above: a measure in the good range votes good, beyond the bad limits bad.
 LABELLERS = (
-    ("length", "words", 20, 60, 1e12, 1e12),
+    ("length", "words", 1, 40, 1e12, 1e12),
     ("variety", "distinct", 0.25, 0.45, 1e9, 1e9),
-    ("symbols", "symbols", -1, -1, 0.05, 0.12),
+    ("symbols", "symbols", -1, -1, 0.03, 0.06),
     ("capitals", "capitals", -1, -1, 0.12, 0.4),
     ("repeats", "neighbours", -1, -1, 0.05, 0.2),
     ("lines", "line_copies", -1, -1, 0.15, 0.4),
     ("word_size", "word_size", 2.5, 3.0, 10.0, 14.0),
-    ("digits", "digits", -1, -1, 0.05, 0.2),
+    ("digits", "digits", -1, -1, 0.05, 0.5),
 )
 MEASURES = ("words", "distinct", "symbols", "capitals", "neighbours", "line_copies", "word_size", "digits")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -91,40 +91,52 @@ def votes_of(pattern: np.ndarray, k: int) -> np.ndarray:
 
 
 class LabelModel:
-    """Each labeller's rates of the three votes given the true class, and the classes' shares."""
+    """Each class's rates of the labellers' votes, and the classes' shares. Class 0 is good, class k + 1 bad in the way that labeller k sees.
 
-    def __init__(self, labellers: int):
-        self.share = np.array([0.3, 0.7])  # bad, good
-        self.rate = np.zeros((2, labellers, 3))
-        self.rate[0], self.rate[1] = (0.4, 0.35, 0.25), (0.05, 0.25, 0.7)
+    One labeller sees one kind of junk, so a bad document gets good votes from most of them; a single bad class would
+    fit one kind and leave the others among the good. A rate of votes against good documents is held to `alarm`, the
+    rate that the labellers' limits are set for.
+    """
+
+    def __init__(self, labellers: int, alarm: float = 0.005):
+        self.alarm = alarm
+        self.share = np.array([0.85] + [0.15 / labellers] * labellers)
+        self.rate = np.tile(np.array([0.02, 0.1, 0.88]), (labellers + 1, labellers, 1))
+        for k in range(labellers):
+            self.rate[k + 1, k] = 0.8, 0.1, 0.1
+
+    def classes(self, v: np.ndarray) -> np.ndarray:
+        """The probability of each class for documents with these votes."""
+        own = np.arange(v.shape[1])
+        log = np.log(self.share)[None] + np.stack([np.log(r[own, v + 1]).sum(1) for r in self.rate], 1)
+        p = np.exp(log - log.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """The probability that a document with these votes is good."""
-        log = np.log(self.share)[None] + np.stack([np.log(self.rate[c][np.arange(v.shape[1]), v + 1]).sum(1) for c in (0, 1)], 1)
-        log -= log.max(1, keepdims=True)
-        p = np.exp(log)
-        return p[:, 1] / p.sum(1)
+        return self.classes(v)[:, 0]
 
     def fit(self, v: np.ndarray, n: np.ndarray, rounds: int = 200) -> LabelModel:
         """v: different vote patterns; n: how often each comes."""
         for _ in range(rounds):
-            good = self.posterior(v)
-            before = self.rate.copy()
-            for c, p in ((0, 1 - good), (1, good)):
-                w = p * n
-                self.share[c] = w.sum() + 1
+            w, before = self.classes(v) * n[:, None], self.rate.copy()
+            self.share = w.sum(0) + 0.1
+            self.share /= self.share.sum()
+            for c in range(len(self.share)):
                 for k in range(v.shape[1]):
-                    seen = np.bincount(v[:, k] + 1, weights=w, minlength=3) + 0.5
+                    seen = np.bincount(v[:, k] + 1, weights=w[:, c], minlength=3) + 0.1
                     self.rate[c, k] = seen / seen.sum()
-            self.share /= self.share.sum()
+                    if c == 0 and self.rate[0, k, 0] > self.alarm:
+                        self.rate[0, k] = self.alarm, *(self.rate[0, k, 1:] * (1 - self.alarm) / self.rate[0, k, 1:].sum())
             if np.abs(self.rate - before).max() < 1e-7:
                 break
         return self
 
     def accuracy(self) -> np.ndarray:
         """How often each labeller is right when it votes."""
-        right = self.share[0] * self.rate[0][:, 0] + self.share[1] * self.rate[1][:, 2]
-        return right / (right + self.share[0] * self.rate[0][:, 2] + self.share[1] * self.rate[1][:, 0])
+        bad = self.share[1:, None]
+        right = self.share[0] * self.rate[0][:, 2] + (bad * self.rate[1:, :, 0]).sum(0)
+        return right / (right + self.share[0] * self.rate[0][:, 0] + (bad * self.rate[1:, :, 2]).sum(0))
 
 
 BITS = 16
