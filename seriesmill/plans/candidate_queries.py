@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators import joins
 from seriesmill.operators import select as E
 from seriesmill.operators import windows as W
+from seriesmill.plans import registry
 from seriesmill.plans import roles as R
 from seriesmill.plans.curve_queries import SCORES, r6, scored_frames
 from seriesmill.plans.registry import query
@@ -170,8 +171,8 @@ def _expanded(f, nuclei):
 
 @query("d11_expand_nuclei", WR + _NUC + _SUP + _EXP + " SELECT * FROM expd")
 def d11(spark, d):
-    f = _frames(spark, d)
-    return _expanded(f, _suppressed(f))
+    f = _frames(spark, d).cache()
+    return _expanded(f, _suppressed(f).cache())
 
 
 _SC = """, ci AS (SELECT c.*, f.vocal AS hook, f.onset, f.rms, f.frame_idx, f.frame_idx - c.start_idx AS k FROM expd c JOIN frames f ON f.series_id = c.series_id AND f.frame_idx >= c.start_idx AND f.frame_idx < c.end_idx)
@@ -188,9 +189,9 @@ _SC = """, ci AS (SELECT c.*, f.vocal AS hook, f.onset, f.rms, f.frame_idx, f.fr
 
 @query("d12_score_candidates", WR + _NUC + _SUP + _EXP + _SC + " SELECT series_id, nucleus_id, start_idx, end_idx, round(ev, 6) AS event_score, round(ed, 6) AS edit_score, round(greatest(0.0, least(1.0, 0.85 * ev + 0.15 * ed)), 6) AS structure_score, round(arc, 6) AS measured_arc FROM cu")
 def d12(spark, d):
-    f = _frames(spark, d)
-    n = _suppressed(f)
-    x = W.score_candidates(_expanded(f, n), f, n, 3, 2, 5, 14, 17, 21, 24)
+    f = _frames(spark, d).cache()
+    n = _suppressed(f).cache()
+    x = W.score_candidates(_expanded(f, n).cache(), f, n, 3, 2, 5, 14, 17, 21, 24)
     return x.select("series_id", "nucleus_id", "start_idx", "end_idx", *[r6(c) for c in ("event_score", "edit_score", "structure_score")], r6(F.col("breakdown")["measured_arc"], "measured_arc"))
 
 
@@ -271,6 +272,11 @@ def e6(spark, d):
     return x.select("series_id", "pick", "candidate_id")
 
 
+@query("g2_greedy_marginal", registry.sql_of("e6_select_diverse") + " AND pick <= 2")
+def g2(spark, d):
+    return E.select_diverse(R.candidates(spark, d), 2, score="quality_score").select("series_id", "pick", "candidate_id")
+
+
 @query("e7_topk_per_series", WC + " SELECT series_id, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY quality_score DESC, candidate_id) AS rank FROM cand) WHERE rank <= 3")
 def e7(spark, d):
     return E.top_k(R.candidates(spark, d), [F.desc("quality_score"), F.col("candidate_id")], 3).select("series_id", "candidate_id", "rank")

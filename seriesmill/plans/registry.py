@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from seriesmill.plans import candidate_queries, curve_queries, run_queries, scalar_queries, text_queries  # noqa: F401
 
