@@ -73,7 +73,7 @@ _IN = ", ins AS (SELECT w.*, f.*  EXCLUDE (series_id), f.frame_idx - w.start_idx
     "d5_window_features_core",
     WS + _WIN + _IN + """, m AS (SELECT series_id, start_idx, end_idx, avg(rms) AS rms, avg(bass) AS bass, avg(onset) AS onset, avg(density) AS density, avg(novelty) AS flux, quantile_cont(rms, 0.9) - quantile_cont(rms, 0.1) AS contrast, avg(rms) FILTER (k < 10) AS r1, avg(rms) FILTER (k >= 10) AS r2 FROM ins GROUP BY ALL)
 , p AS (SELECT m.*, CASE WHEN start_idx < 15 THEN 0.5 * (1 - start_idx / 15.0) ELSE 0.0 END + CASE WHEN end_idx > duration - 15 THEN 0.5 * (1 - (duration - end_idx) / 15.0) ELSE 0.0 END AS edge, CASE WHEN rms < 0.08 THEN 1.0 ELSE 0.0 END + CASE WHEN r2 > 0.1 AND r1 / r2 < 0.2 THEN 0.3 ELSE 0.0 END AS silence FROM m JOIN series USING (series_id))
-SELECT series_id, start_idx, end_idx, round(contrast, 6) AS contrast, round(silence, 6) AS silence_penalty, round(edge, 6) AS edge_penalty, round(greatest(0.0, 0.25 * rms + 0.20 * bass + 0.15 * onset + 0.15 * density + 0.15 * flux + 0.10 * contrast - 0.40 * silence - 0.30 * edge), 6) AS core_score FROM p""",
+SELECT series_id, start_idx, end_idx, round(contrast, 6) AS contrast, round(silence, 6) AS silence_penalty, round(edge, 6) AS edge_penalty, round(greatest(0.0, 0.25 * rms + 0.20 * bass + 0.15 * onset + 0.15 * density + 0.15 * flux + 0.10 * contrast - 0.40 * silence - 0.30 * edge), 6) AS core_score FROM p""", silence_penalty="DOUBLE",
 )
 def d5(spark, d):
     f = _frames(spark, d)

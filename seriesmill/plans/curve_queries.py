@@ -108,7 +108,7 @@ def c8(spark, d):
 
 @query(
     "c9_pulse_curve",
-    WP + ", h AS (SELECT f.series_id, f.frame_idx, CASE WHEN EXISTS (SELECT 1 FROM points p WHERE p.series_id = f.series_id AND CAST(round_even(p.t, 0) AS INT) = f.frame_idx) THEN 1.0 ELSE 0.0 END AS hit FROM frames f) SELECT series_id, frame_idx, round(greatest(0.0, least(1.0, 0.15 * coalesce(lead(hit, 2) OVER w, 0) + 0.45 * coalesce(lead(hit) OVER w, 0) + hit + 0.45 * coalesce(lag(hit) OVER w, 0) + 0.15 * coalesce(lag(hit, 2) OVER w, 0))), 6) AS pulse FROM h WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)",
+    WP + ", h AS (SELECT f.series_id, f.frame_idx, CASE WHEN EXISTS (SELECT 1 FROM points p WHERE p.series_id = f.series_id AND CAST(round_even(p.t, 0) AS INT) = f.frame_idx) THEN 1.0 ELSE 0.0 END AS hit FROM frames f) SELECT series_id, frame_idx, round(greatest(0.0, least(1.0, 0.15 * coalesce(lead(hit, 2) OVER w, 0) + 0.45 * coalesce(lead(hit) OVER w, 0) + hit + 0.45 * coalesce(lag(hit) OVER w, 0) + 0.15 * coalesce(lag(hit, 2) OVER w, 0))), 6) AS pulse FROM h WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)", pulse="DOUBLE",
 )
 def c9(spark, d):
     f = R.frames(spark, d)

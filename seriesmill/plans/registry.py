@@ -12,8 +12,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under a name, with the SQL of its result."""
+def query(name: str, sql: str | None = None, **casts: str):
+    """Registers a function of (spark, sf_dir) under a name, with the SQL of its result; casts: types of some columns of that."""
+    if sql and casts:
+        sql = "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in casts.items()) + f") FROM ({sql})"
 
     def keep(f: Callable[[SparkSession, str], DataFrame]):
         _QUERIES[name] = f

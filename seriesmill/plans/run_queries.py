@@ -304,7 +304,7 @@ def k2(spark, d):
 _RETRY = ", qr AS (SELECT *, sum(CASE WHEN failure_class = 'quota-or-refusal' THEN 1 ELSE 0 END) OVER (PARTITION BY stage ORDER BY attempt ROWS UNBOUNDED PRECEDING) AS quota_refusals FROM cls)"
 
 
-@query("k3_retry_plan", WL + _FAIL + _RETRY + " SELECT stage, attempt, quota_refusals, quota_refusals >= 5 AS long_mode, CASE WHEN quota_refusals >= 5 AND failure_class = 'quota-or-refusal' THEN 3600 WHEN failure_class = 'quota-or-refusal' THEN 300 ELSE 30 END AS wait_seconds FROM qr")
+@query("k3_retry_plan", WL + _FAIL + _RETRY + " SELECT stage, attempt, quota_refusals, quota_refusals >= 5 AS long_mode, CASE WHEN quota_refusals >= 5 AND failure_class = 'quota-or-refusal' THEN 3600 WHEN failure_class = 'quota-or-refusal' THEN 300 ELSE 30 END AS wait_seconds FROM qr", quota_refusals="BIGINT")
 def k3(spark, d):
     return K.retry_plan(_classes(spark, d), ["stage"], "attempt", 5, 30, 300, 3600).select("stage", "attempt", "quota_refusals", "long_mode", "wait_seconds")
 
@@ -337,7 +337,7 @@ def k7(spark, d):
 _ACC = "WITH a AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS progress, event_type IN ('error', 'view') AS failed, event_id % 2 = 0 AS transient FROM events), b AS (SELECT *, sum(CAST(progress AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a), c AS (SELECT *, sum(CAST(NOT progress AND failed AS INT)) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS failures, sum(CAST(progress OR (failed AND NOT transient) AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM b)"
 
 
-@query("k8_attempt_accounting", _ACC + " SELECT event_id, failures, used, CASE WHEN NOT failed THEN 'none' WHEN failures >= 3 THEN 'long' ELSE 'short' END AS wait_class FROM c")
+@query("k8_attempt_accounting", _ACC + " SELECT event_id, failures, used, CASE WHEN NOT failed THEN 'none' WHEN failures >= 3 THEN 'long' ELSE 'short' END AS wait_class FROM c", failures="BIGINT", used="BIGINT")
 def k8(spark, d):
     t = F.col("event_type")
     a = R.table(spark, d, "events").select("user_id", "ts", "event_id", (t == "purchase").alias("progress"), t.isin("error", "view").alias("failed"), (F.col("event_id") % 2 == 0).alias("transient"))

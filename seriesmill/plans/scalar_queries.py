@@ -61,13 +61,13 @@ def b8(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.required_clips(F.col("o_totalprice"), 1 + F.col("o_orderkey") % 9).alias("clips"))
 
 
-@query("b9_crossfade", "SELECT o_orderkey, CASE WHEN o_totalprice <= 4.0 THEN 1 ELSE CAST(ceil((o_totalprice - 0.5) / (4.0 - 0.5)) AS BIGINT) END AS clips, round((o_orderkey % 50 + 1) * 4.0 - (o_orderkey % 50) * 0.5, 6) AS duration FROM orders")
+@query("b9_crossfade", "SELECT o_orderkey, CASE WHEN o_totalprice <= 4.0 THEN 1 ELSE CAST(ceil((o_totalprice - 0.5) / (4.0 - 0.5)) AS BIGINT) END AS clips, round((o_orderkey % 50 + 1) * 4.0 - (o_orderkey % 50) * 0.5, 6) AS duration FROM orders", duration="DOUBLE")
 def b9(spark, d):
     n = F.col("o_orderkey") % 50 + 1
     return table(spark, d, "orders").select("o_orderkey", S.required_crossfade_clips(F.col("o_totalprice"), F.lit(4.0), F.lit(0.5)).alias("clips"), F.round(S.crossfade_duration(n, F.lit(4.0), F.lit(0.5)), 6).alias("duration"))
 
 
-@query("b10_crossfade_offsets", "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) * 3.5 AS off FROM lineitem")
+@query("b10_crossfade_offsets", "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) * 3.5 AS off FROM lineitem", off="DOUBLE")
 def b10(spark, d):
     from pyspark.sql import Window
 
@@ -75,7 +75,7 @@ def b10(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) * F.lit(4.0 - 0.5)).alias("off"))
 
 
-@query("b11_effective_seed", "SELECT o_orderkey, (o_custkey * 7919 + (o_orderkey % 6) * 104729) % 2147483648 AS seed, round(least(0.30, 0.15 + 0.05 * (o_orderkey % 6)), 9) AS scale FROM orders")
+@query("b11_effective_seed", "SELECT o_orderkey, (o_custkey * 7919 + (o_orderkey % 6) * 104729) % 2147483648 AS seed, round(least(0.30, 0.15 + 0.05 * (o_orderkey % 6)), 9) AS scale FROM orders", scale="DOUBLE")
 def b11(spark, d):
     k = F.col("o_orderkey") % 6
     return table(spark, d, "orders").select("o_orderkey", S.effective_seed(F.col("o_custkey") * 7919, k).alias("seed"), F.round(S.noise_scale(k), 9).alias("scale"))
@@ -107,6 +107,6 @@ def b14(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.round_half_even((k % 1000) / 8.0, 2).alias("x"), S.round_half_even((k % 101) / 2.0).alias("y"))
 
 
-@query("f10_cross_expand", "SELECT s_suppkey, o, p FROM supplier, (VALUES (0), (3), (6)) a(o), (VALUES (0.25), (0.55)) b(p)")
+@query("f10_cross_expand", "SELECT s_suppkey, o, p FROM supplier, (VALUES (0), (3), (6)) a(o), (VALUES (0.25), (0.55)) b(p)", p="DOUBLE")
 def f10(spark, d):
     return joins.cross_expand(table(spark, d, "supplier").select("s_suppkey"), o=[0, 3, 6], p=[0.25, 0.55]).select("s_suppkey", "o", "p")
