@@ -10,7 +10,8 @@ the copies, and with full weight for rare shingles a large family would not be s
    threshold has no near-duplicate. The others get `samples` weighted samples (improved consistent weighted sampling).
 3. Bands of samples make buckets of candidates. First every member is compared with its bucket's head; the verified
    links make components. Then members of one bucket that are in different components are compared with each other, in
-   pieces of bounded size, so no link between components is left out and no family is expanded into all its pairs.
+   pieces of bounded size; a task returns only links that join components, so no pairs are written out, and no link
+   between components is left out.
 4. A candidate pair counts as a link if its weighted Jaccard similarity, from the shingles themselves, reaches the threshold.
 """
 
@@ -167,9 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _blobs(out)
 
     def describe(t: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["id", "digest", "total", "sample", "features"]
+        names = ["id", "digest", "total", "shared", "sample", "features"]
         if not t.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))})
+            return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()))})
         t = in_order(t)
         ids = t.column("id").to_pylist()
         h, row, tf = block_shingles(t.column("text").combine_chunks(), words)
@@ -207,18 +208,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sample[row[a]] = got[k].tobytes()
                 feature[row[a]] = (hs & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (hs >> U(32)).astype(np.uint16).tobytes() + w[a:b][s].astype(np.float32).tobytes()
         marks = digest.view(np.int64).tolist()
-        return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array([m if a else None for m, a in zip(marks, able)], pa.int64()), "total": pa.array(sums), "sample": pa.array(sample, pa.binary()), "features": pa.array(feature, pa.binary())})
+        return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array([m if a else None for m, a in zip(marks, able)], pa.int64()), "total": pa.array(sums), "shared": pa.array(shared), "sample": pa.array(sample, pa.binary()), "features": pa.array(feature, pa.binary())})
 
     hashes = dealt.groupBy("block").applyInArrow(send_hashes, _ROWS)
     answers = hashes.groupBy("bucket").applyInArrow(answer, _ROWS)
-    seen = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(describe, "id long, digest long, total double, sample binary, features binary"))
+    seen = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(describe, "id long, digest long, total double, shared double, sample binary, features binary"))
 
     # one node for each different content, named by its smallest id
-    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.max("sample").alias("sample"), F.max("total").alias("total")))
-    features = seen.where("features is not null").select("digest", "features")
+    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.max("sample").alias("sample"), F.max("total").alias("total"), F.max("shared").alias("shared")))
+    features = seen.where("features is not null").groupBy("digest").agg(F.max("features").alias("features"))
+    full = nodes.select("digest", "node", "total").join(features, "digest").select("node", "total", "features")
     size = 4 * rows
     bands = [F.xxhash64(F.lit(i), F.substring("sample", i * size + 1, size)) for i in range(n_samples // rows)]
-    banded = nodes.select("node", F.explode(F.array(*bands)).alias("key"))
+    banded = nodes.select("node", F.posexplode(F.array(*bands)).alias("band", "key"))
     heads = banded.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(banded.join(heads, "key"))
     agree = lambda a, b: sum(F.when(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4), 1).otherwise(0) for i in range(n_samples))
@@ -226,7 +228,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold. b's features travel to a's; a has as many places as it has hundreds of pairs."""
         sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-        full = nodes.select("digest", "node", "total").join(features.groupBy("digest").agg(F.max("features").alias("features")), "digest").select("node", "total", "features")
         far = sized.select("a", "salt", F.col("b").alias("node")).join(full, "node").select("a", "salt", "node", "total", "features")
         near = sized.select("a", "salt").distinct().withColumnRenamed("a", "node").join(full, "node").select(F.col("node").alias("head"), F.col("salt").alias("head_salt"), F.col("total").alias("head_total"), F.col("features").alias("head_features"))
 
@@ -244,36 +245,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return near.groupBy("head", "head_salt").cogroup(far.groupBy("a", "salt")).applyInArrow(verify, "a long, b long")
 
-    with_sample = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.col("sample").alias(f"s_{c}")), c)
+    facts = ("sample", "total", "shared")
+    with_facts = lambda df, c: df.join(nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in facts]), c)
+    # two documents share no more than the smaller of their shingles of frequency two or more
+    within = lambda m, t: m >= (threshold - 1e-6) * (t - m)
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = with_sample(with_sample(stars, "a"), "b").where(agree("s_a", "s_b") >= int(_AGREE * n_samples)).select("a", "b")
+    stars = with_facts(with_facts(stars, "a"), "b").where(within(F.least("shared_a", "shared_b"), F.col("total_a") + F.col("total_b"))).where(agree("sample_a", "sample_b") >= int(_AGREE * n_samples)).select("a", "b")
     found = stored(links(stored(stars)))
     roots = components(found)
 
     # members of one bucket that are in different components so far
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
-    cross = placed.join(mixed, "key").join(nodes.select("node", "sample"), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int"))
+    cross = placed.join(mixed, "key").join(nodes.select("node", *facts), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int"))
     cross = cross.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    cross = cross.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "sample")
+    cross = cross.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", *facts)
 
     def compare(t: pa.Table) -> pa.Table:
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        """Links between the pieces p and q of a bucket; of those that join the same two components here, one."""
+        p, q, band = (t.column(c)[0].as_py() for c in ("p", "q", "band"))
         own, node, root = (np.array(t.column(c).to_pylist(), np.int64) for c in ("own", "node", "root"))
+        total, shared = (np.array(t.column(c).to_pylist()) for c in ("total", "shared"))
         s = np.frombuffer(b"".join(t.column("sample").to_pylist()), np.uint32).reshape(-1, n_samples)
+        _, part = np.unique(root, return_inverse=True)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        a_out, b_out = [], []
+        feature: dict[int, tuple] = {}
+        out: list[tuple[int, int]] = []
         for i in left:
-            js = right[(root[right] != root[i]) & ((node[right] > node[i]) | (p != q))]
-            js = js[(s[js] == s[i]).sum(1) >= int(_AGREE * n_samples)]
-            a_out += np.minimum(node[i], node[js]).tolist()
-            b_out += np.maximum(node[i], node[js]).tolist()
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    more = cross.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
-    more = stored(more.join(stars, ["a", "b"], "left_anti"))
+            js = right[(part[right] != part[i]) & ((node[right] > node[i]) | (p != q))]
+            js = js[within(np.minimum(shared[js], shared[i]), total[js] + total[i])]
+            same = s[js] == s[i]
+            first = same.reshape(len(js), n_samples // rows, rows).all(2).argmax(1)  # a pair counts in the first bucket that it shares
+            js = js[(first == band) & (same.sum(1) >= int(_AGREE * n_samples))]
+            for j in js:
+                if part[i] == part[j]:
+                    continue
+                for k in (i, j):
+                    if k not in feature:
+                        feature[k] = _features(t.column("features")[int(k)].as_py())
+                if jaccard(*feature[i], total[i], *feature[j], total[j]) >= threshold - 1e-6:
+                    out.append((int(node[i]), int(node[j])))
+                    part[part == part[j]] = part[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    more = stored(cross.join(full.select("node", "features"), "node").groupBy("key", "p", "q").applyInArrow(compare, "a long, b long"))
     if not more.isEmpty():
-        roots = components(found.unionByName(links(more)))
+        roots = components(found.unionByName(more))
     classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
     out = seen.select("id", "digest").join(classes, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     sizes = out.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
