@@ -43,7 +43,7 @@ def _byte_alphabet() -> list[str]:
 class BpeCodec:
     """The vocabulary of a tokenizers file of the word-end kind: NFC, white space, lower case, split, byte-level BPE."""
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         """most_words: distinct words to keep; beyond that they are forgotten and encoded anew when they return."""
         spec = json.load(open(path, encoding="utf-8"))
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""

@@ -150,8 +150,13 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def words_of(arr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each lower-cased word, each row's first word (one more than rows), and the rows' bytes."""
     data, off = flat(pc.utf8_lower(pc.fill_null(arr, "")))
-    start, end, first = word_spans(data, off)
-    return span_hashes(data, start, end), first, np.diff(off)
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in chunks(off, 1 << 19):
+        part = data[off[i] : off[j]]
+        start, end, first = word_spans(part, off[i : j + 1] - off[i])
+        hashes.append(span_hashes(part, start, end))
+        counts.append(np.diff(first))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.diff(off)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
