@@ -1,9 +1,13 @@
 """Line dedup by pairwise alignment (operator 9).
 
-Documents that share lines are found through the lines' hashes: for each line a document is paired with the nearest
-earlier document that has the line, so a line of any frequency makes at most one pair for each document. The pairs are
-ranked by the rarity of what they share (the sum of 1/df over the shared lines that led to them). Each pair is aligned
-by patience diff, and the aligned common blocks are deleted from the later document; blocks are judged on the input.
+A line goes if any earlier document's alignment with its own document deletes it. Documents that may be paired are found
+through hashes of what they share, whatever its frequency. Each pair is aligned by patience diff, and the aligned common
+blocks are deleted from the later document; blocks are judged on the input.
+
+Not all pairs need aligning for the result of all. Lines of one document only count alike in any alignment with others,
+so documents that are equal but for them (of the same form) do the same to a later document, and the first stands for
+all. A document's partners are tried from the nearest backwards, in rounds that grow eightfold, until all that it shares
+is deleted or no partner is left.
 """
 
 from __future__ import annotations
@@ -93,6 +97,19 @@ def common_blocks(a: list[int], b: list[int], words_b: list[int], least_words: i
     return out
 
 
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and sizes of all lines of a batch of documents, and where each document begins (one more than documents)."""
+    lines, sizes = batch.column("lines"), batch.column("sizes")
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    return lines.flatten().to_numpy(zero_copy_only=False), sizes.flatten().to_numpy(zero_copy_only=False), first
+
+
+def runs(lines: np.ndarray, sizes: np.ndarray, first: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each line of at least least_words words, by start."""
+    start = np.flatnonzero((sizes >= least_words) & (lines != 0))
+    return lines[start], start, start + 1
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, chunk: int = 4096, keep_text: bool = True) -> DataFrame:
     """id, n_lines, n_removed, partners, kept_sha256, and kept_text if asked: one row for each row of docs.
 
@@ -100,8 +117,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     between rows that repeat an id; rows that repeat both are one document, and all of them get the same result. Lines
     of fewer than least_words words lead to no pair, and go only as part of a block with so many words. Null text is
     empty and has one empty line; null ids come first; an empty table gives an empty result; other columns stay out.
-    A line's documents are never gathered: within chunks of ids the earlier neighbour is found by a window, across
-    chunks from one row for each line and chunk.
+    partners counts the alignments made. A line's documents are never gathered: within chunks of ids they are numbered
+    by a window, across chunks from one row for each line and chunk.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
@@ -115,33 +132,104 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keyed = rows.select(key.alias("k"), "text").select(F.col("k.i").alias("id"), F.col("k.t").alias("t"), "text")
     split_up = stored(keyed.mapInArrow(split, "i long, t long, lines array<long>, sizes array<int>").dropDuplicates(["i", "t"]))
-    has = split_up.select("i", "t", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).where((F.col("x.sizes") >= least_words) & (F.col("x.lines") != 0)).select(F.col("x.lines").alias("h"), F.struct("i", "t").alias("d")).distinct()
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, sizes, first = _arrays(batch)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            h, start, _ = runs(lines, sizes, first, least_words)
+            leads = np.concatenate([np.ones(len(h), bool), np.zeros(len(lines), bool)])
+            h, doc = np.concatenate([h, lines]), np.concatenate([doc[start], doc])
+            order = np.lexsort((~leads, h, doc))
+            h, doc, leads = h[order], doc[order], leads[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            new &= h != 0
+            at = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), batch.column("i").take(at), batch.column("t").take(at), pa.array(leads[new])], names=["h", "i", "t", "leads"])
+
+    has = split_up.mapInArrow(units, "h long, i long, t long, leads boolean").select("h", F.struct("i", "t").alias("d"), "leads")
     df = has.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     n = split_up.count()
     pieces = max(1, min(1024, -(-n // chunk)))  # edges are literals of the plan; a piece of a frequent line may be long, and spills
     edges = split_up.approxQuantile("i", [k / pieces for k in range(1, pieces)], 0.25 / pieces) if pieces > 1 else []
-    shared = has.join(df, "h")
     piece = F.size(F.filter(F.array(*[F.lit(int(e)) for e in sorted(set(edges))]), lambda e: e <= F.col("d.i"))) if edges else F.lit(0)
-    shared = stored(shared.withColumn("piece", piece))
+    shared = stored(has.join(df, "h").select("h", "d", "leads"))
+    text_of = split_up.select(F.struct("i", "t").alias("d"), "lines", "sizes")
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, whole = [], []
+            for lines, own in zip(batch.column("lines").to_pylist(), batch.column("own").to_pylist()):
+                own = {0, *own}
+                left = [x if x in own else None for x in lines]
+                kept = [x for k, x in enumerate(left) if x is not None or not k or left[k - 1] is not None]
+                out.append(hashlib.blake2b(repr(kept).encode(), digest_size=16).digest())
+                whole.append(None not in kept)
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, pa.binary()), pa.array(whole), pa.array([sum(x) for x in batch.column("sizes").to_pylist()], pa.int64())], names=["d", "form", "whole", "words"])
+
+    own = shared.groupBy("d").agg(F.collect_list("h").alias("own"), F.max("leads").alias("leads")).where("leads").select("d", "own")
+    forms = stored(text_of.join(own, "d").mapInArrow(form, "d struct<i:long,t:long>, form binary, whole boolean, words long"))
+    firsts = forms.groupBy("form").agg(F.min("d").alias("d")).select("d", F.lit(1).alias("first"))
+    forms = stored(forms.drop("form").join(firsts, "d", "left").withColumn("first", F.coalesce("first", F.lit(0))))
+    copies = forms.where("whole and first = 0")  # the first of the form is the same text but for white space
     from pyspark.sql import Window
 
-    inner = shared.withColumn("before", F.lag("d").over(Window.partitionBy("h", "piece").orderBy("d")))
-    tops = shared.groupBy("h", "piece").agg(F.max("d").alias("top"))
-    tops = tops.withColumn("outer", F.lag("top").over(Window.partitionBy("h").orderBy("piece"))).drop("top")
-    links = inner.join(tops, ["h", "piece"]).select("h", "df", F.col("d").alias("later"), F.coalesce("before", "outer").alias("earlier")).where("earlier is not null")
-    pairs = links.groupBy("later", "earlier").agg(F.sum(1 / F.col("df")).alias("rarity"), F.count(F.lit(1)).alias("shared"))
-    text_of = split_up.select(F.struct("i", "t").alias("d"), "lines", "sizes")
+    leads = stored(shared.where("leads").join(forms, "d").withColumn("piece", piece).select("h", "d", "first", "piece", (F.col("whole") & (F.col("first") == 0)).alias("copy")))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    tops = leads.groupBy("h", "piece").agg(F.sum("first").alias("top"))
+    tops = tops.withColumn("outer", F.coalesce(F.sum("top").over(before("h").orderBy("piece")), F.lit(0))).drop("top")
+    inner = leads.withColumn("inner", F.coalesce(F.sum("first").over(before("h", "piece").orderBy("d")), F.lit(0)))
+    placed = stored(inner.join(tops, ["h", "piece"]).select("h", "d", "first", "copy", (F.col("inner") + F.col("outer")).alias("r")))  # r: firsts before d
+    holders = placed.where("first = 1").select("h", F.col("r").alias("place"), F.col("d").alias("earlier"))
+    todo = placed.where("r > 0 and not copy").groupBy("d").agg(F.collect_list(F.struct("h", "r")).alias("todo"))
     early = text_of.select(F.col("d").alias("earlier"), F.col("lines").alias("early_lines"))
-    late = text_of.select(F.col("d").alias("later"), F.col("lines").alias("late_lines"), F.col("sizes").alias("late_sizes"))
-    both = pairs.join(early, "earlier").join(late, "later").select("later", "early_lines", "late_lines", "late_sizes")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [common_blocks(a, b, w, least_words) for a, b, w in zip(*(batch.column(c).to_pylist() for c in ("early_lines", "late_lines", "late_sizes")))]
+            gone = [common_blocks(a, b, w, least_words) for a, b, w in zip(*(batch.column(c).to_pylist() for c in ("early_lines", "lines", "sizes")))]
             yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
 
-    aligned = both.mapInArrow(align, "later struct<i:long,t:long>, gone array<int>")
-    gone = aligned.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count(F.lit(1)).alias("partners"))
+    def rest(tried: int):
+        """What is still to do after the nearest `tried` partners: hashes of runs that aren't deleted as a whole."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lines, sizes, first = _arrays(batch)
+                h, start, end = runs(lines, sizes, first, least_words)
+                left, dead = [], []
+                at = np.searchsorted(start, first)
+                for k, (todo, new, old) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("todo", "gone", "dead")))):
+                    both = sorted({*(new or ()), *(old or ())})
+                    open_ = np.ones(first[k + 1] - first[k] + 1, np.int64)
+                    open_[both] = 0
+                    total = np.concatenate([[0], np.cumsum(open_)])
+                    a, b = slice(at[k], at[k + 1]), first[k]
+                    some = set(h[a][total[end[a] - b] > total[start[a] - b]].tolist())
+                    left.append([x for x in todo if x["r"] > tried and x["h"] in some])
+                    dead.append(both)
+                keep = pa.array([k for k, x in enumerate(left) if x], pa.int64())
+                cols = [batch.column("d"), batch.column("lines"), batch.column("sizes"), pa.array(left, batch.column("todo").type), pa.array(dead, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([x.take(keep) for x in cols], names=["d", "lines", "sizes", "todo", "dead"])
+
+        return run
+
+    state = stored(text_of.join(todo, "d").withColumn("dead", F.array().cast("array<int>")))
+    parts = [copies.where(F.col("words") >= least_words).join(text_of, "d").select(F.col("d").alias("later"), F.sequence(F.lit(0), F.size("lines") - 1).alias("gone"), F.lit(1).cast("long").alias("partners"))]
+    tried, upto = 0, 1
+    while state.limit(1).count():
+        want = state.select(F.col("d").alias("later"), F.explode("todo").alias("x")).select("later", F.col("x.h").alias("h"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("x.r") - upto), F.col("x.r") - 1 - tried)).alias("place"))
+        pairs = want.join(holders, ["h", "place"]).select("later", "earlier").distinct()
+        both = pairs.join(early, "earlier").join(state.select(F.col("d").alias("later"), "lines", "sizes"), "later").select("later", "early_lines", "lines", "sizes")
+        aligned = both.mapInArrow(align, "later struct<i:long,t:long>, gone array<int>")
+        part = stored(aligned.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count(F.lit(1)).alias("partners")))
+        parts.append(part)
+        state = stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(upto), state.schema))
+        tried, upto = upto, upto * 8
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    gone = every.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.sum("partners").alias("partners"))
     out = rows.withColumn("k", key).join(gone, F.col("k") == F.col("later"), "left").select("id", "text", "gone", F.coalesce("partners", F.lit(0).cast("long")).alias("partners"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -365,6 +365,26 @@ def test_line_dedup_removes_shared_blocks_from_the_later_document(spark):
     assert [r["n_removed"] for r in twice] == [0, 0]
 
 
+def brute_lines(texts, least_words=5):
+    """How many lines go from each text when it is aligned with all earlier ones."""
+    split = [t.split("\n") for t in texts]
+    hashes, sizes = [[line_dedup.line_hash(x) for x in own] for own in split], [[len(x.split()) for x in own] for own in split]
+    return [len({j for i in range(k) for j in line_dedup.common_blocks(hashes[i], hashes[k], sizes[k], least_words)}) for k in range(len(texts))]
+
+
+def test_line_dedup_aligns_with_all_earlier_documents(spark):
+    rng = random.Random(9)
+    x, y, z = (prose(rng, 9) for _ in range(3))
+    texts = ["\n".join(t) for t in ([x, y, z], [z, y, x], [x, y, z, "own"])]
+    got = {r["id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(3)] == brute_lines(texts) == [0, 1, 3]
+    lines = [prose(rng, 6) for _ in range(7)]
+    texts = ["\n".join(rng.choice(lines) if rng.random() < 0.8 else prose(rng, 6) for _ in range(rng.randint(1, 7))) for _ in range(120)]  # permuted and doubled lines
+    for chunk in (4096, 16):
+        got = {r["id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, texts), chunk=chunk).collect()}
+        assert [got[k] for k in range(len(texts))] == brute_lines(texts)
+
+
 # ---------------------------------------------------------------- the queries and the pipeline
 
 
