@@ -105,9 +105,26 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(lines: np.ndarray, sizes: np.ndarray, first: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each line of at least least_words words, by start."""
-    start = np.flatnonzero((sizes >= least_words) & (lines != 0))
-    return lines[start], start, start + 1
+    """(hash, start, end) of runs of neighbouring lines, by start: from and up to each line the shortest of at least least_words words.
+
+    Every block of so many words is covered by the runs inside it, and documents that share the block share their hashes.
+    """
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    k, words = np.arange(len(lines)), np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    ends = np.maximum(np.searchsorted(words, words[:-1] + least_words, "left"), k + 1)
+    starts = np.minimum(np.searchsorted(words, words[1:] - least_words, "right") - 1, k)
+    down, up = ends <= first[doc + 1], starts >= first[doc]
+    span = np.unique(np.concatenate([np.stack([k[down], ends[down]], 1), np.stack([starts[up], k[up] + 1], 1)]), axis=0)
+    start, end = span[:, 0], span[:, 1]
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.cumprod(np.full(len(lines) + 1, np.uint64(pow(int(base), -1, 1 << 64)))) * base
+    ahead = np.cumprod(np.full(len(lines) + 1, base)) * np.uint64(pow(int(base), -1, 1 << 64))
+    value = lines.astype(np.int64).view(np.uint64) + np.uint64(0xD1B54A32D192ED03)  # empty lines count too
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * back[:-1])])
+    h = ((total[end] - total[start]) * ahead[start]).view(np.int64)
+    one = end - start == 1
+    h[one] = lines[start[one]]
+    return h, start, end
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, chunk: int = 4096, keep_text: bool = True) -> DataFrame:
@@ -115,7 +132,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at \\n and are equal if equal without white space at their ends. "Earlier" is by id, and by the text's hash
     between rows that repeat an id; rows that repeat both are one document, and all of them get the same result. Lines
-    of fewer than least_words words lead to no pair, and go only as part of a block with so many words. Null text is
+    of fewer than least_words words lead to a pair, and go, only as part of a block with so many words. Null text is
     empty and has one empty line; null ids come first; an empty table gives an empty result; other columns stay out.
     partners counts the alignments made. A line's documents are never gathered: within chunks of ids they are numbered
     by a window, across chunks from one row for each line and chunk.

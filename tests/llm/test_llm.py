@@ -385,6 +385,18 @@ def test_line_dedup_aligns_with_all_earlier_documents(spark):
         assert [got[k] for k in range(len(texts))] == brute_lines(texts)
 
 
+def test_line_dedup_finds_blocks_of_short_lines(spark):
+    rng = random.Random(10)
+    verse = [prose(rng, 4) for _ in range(20)]
+    texts = ["\n".join(["own " + prose(rng, 8)] + verse), "\n".join(verse[:10] + ["", prose(rng, 8)]), "\n".join([prose(rng, 8)] + verse[5:7] + [prose(rng, 8)] + verse[11:12])]
+    got = {r["id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(3)] == brute_lines(texts) == [0, 10, 2]
+    lines = ["", *(prose(rng, n) for n in (1, 2, 3, 4, 6))]
+    texts = ["\n".join(rng.choice(lines) if rng.random() < 0.8 else prose(rng, 2) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    got = {r["id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, texts), chunk=32).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_lines(texts)
+
+
 # ---------------------------------------------------------------- the queries and the pipeline
 
 
