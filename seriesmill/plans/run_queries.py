@@ -427,10 +427,10 @@ def _shared(spark) -> str:
 
 
 def _tree(spark, d) -> str:
-    """Report documents of customers in the layout <root>/<run>/shorts/selections.json, some of them broken, with manifests."""
+    """Report documents of all customers, one a line, in folders of runs; some of them broken."""
     root = _shared(spark)
     o = R.table(spark, d, "orders")
-    one = io.report_documents(o.where("o_custkey % 10 = 1"), "o_custkey", 3, ["o_orderkey", "o_orderstatus"], "o_orderkey")
+    one = io.report_documents(o, "o_custkey", 3, ["o_orderkey", "o_orderstatus"], "o_orderkey")
     text = F.when(F.col("o_custkey") % 30 == 1, F.lit("{broken")).otherwise(F.col("document"))
     one.select(text.alias("value"), (F.col("o_custkey") % 20).alias("run")).repartition("run").write.partitionBy("run").text(f"{root}/tree")
     return f"{root}/tree"
@@ -439,7 +439,7 @@ def _tree(spark, d) -> str:
 @query("a1_scan_reports")
 def a1(spark, d):
     root = _tree(spark, d)
-    x = io._documents(spark, f"{root}/*/*.txt", io.REPORT, r"/run=(\d+)/")
+    x = io._documents(spark, f"{root}/*/*.txt", io.REPORT, r"/run=(\d+)/", multi_line=False)
     return x.select("run_id", F.when(F.col("_corrupt_record").isNotNull(), "invalid_json").alias("skip_reason"), F.size("selections").alias("n_selections"))
 
 

@@ -132,3 +132,11 @@ def test_ranking_metrics(spark):
     assert (m["hit_at_1"], m["hit_at_3"], m["mrr"]) == (0.0, 1.0, 0.5)
     empty = V.ranking_metrics(rows.limit(0)).first()
     assert (empty["tracks"], empty["mrr"], empty["median_distance"]) == (0, 0.0, None)
+
+
+def test_scan_reports_reads_the_reports_of_all_customers(spark, small):
+    from seriesmill.plans import registry
+
+    got = registry.queries()["a1_scan_reports"](spark, small)
+    assert got.count() == spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct().count()
+    assert got.select("run_id").distinct().count() == 20
