@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms (operator 10).
 
-A term is a lower-cased word or its first 4, 5 or 6 bytes, as a 64-bit hash; a document has each term once. The machine
-has a weight and a vector for each term, so a pair of terms may count for more than both alone (an insult together with
+A term is a lower-cased word or its first 4, 5 or 6 bytes, as a 64-bit hash, and falls into one of 2^18 buckets; a
+document has each bucket once. The machine has a weight and a vector for each bucket, whatever its terms say alone, so a pair of terms may count for more than both alone (an insult together with
 the mention of a group), which additive weights cannot express.
 """
 
@@ -40,32 +40,29 @@ def term_hashes(arr) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 class FactorizationMachine:
-    """Logistic factorization machine over sets of terms; trained with AdaGrad in a fixed order."""
-
-    def __init__(self, terms: np.ndarray, rank: int = 8, seed: int = 5):
-        self.terms = np.sort(terms.astype(np.uint64))
-        rng = np.random.default_rng(seed)
-        self.bias, self.linear = 0.0, np.zeros(len(terms))
-        self.vectors = rng.normal(0, 0.01, (len(terms), rank))
-        bits = max(10, int(len(terms) * 16).bit_length())
-        self.mask = U((1 << bits) - 1)
-        self.table = np.full(1 << bits, -1, np.int32)  # a first look-up; np.searchsorted decides
-        self.table[(self.terms & self.mask).astype(np.int64)] = 1
+    """Logistic factorization machine over sets of terms; trained with AdaGrad in a fixed order. terms: those it has; None: 2^bits buckets for all."""
+
+    def __init__(self, terms: np.ndarray | None = None, rank: int = 8, seed: int = 5, bits: int = 18):
+        self.terms, self.bits = None if terms is None else np.sort(terms.astype(np.uint64)), bits
+        self.size = 1 << bits if terms is None else len(terms)
+        self.bias, self.linear = 0.0, np.zeros(self.size)
+        self.vectors = np.random.default_rng(seed).normal(0, 0.01, (self.size, rank))
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of h are terms of the machine, and their places."""
-        if not len(self.terms):
+        """Which of h the machine has, and their places."""
+        if self.terms is None:
+            return np.arange(len(h)), (h * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
+        if not self.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        near = np.flatnonzero(self.table[(h & self.mask).astype(np.int64)] > 0)
-        at = np.minimum(np.searchsorted(self.terms, h[near]), len(self.terms) - 1)
-        hit = self.terms[at] == h[near]
-        return near[hit], at[hit]
+        at = np.minimum(np.searchsorted(self.terms, h), self.size - 1)
+        hit = np.flatnonzero(self.terms[at] == h)
+        return hit, at[hit]
 
     def sets(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, place) of each row's different terms, ordered."""
         which, at = self.places(h)
-        both = np.unique(row[which].astype(np.int64) * (len(self.terms) + 1) + at)
-        return both // (len(self.terms) + 1), both % (len(self.terms) + 1)
+        both = np.unique(row[which].astype(np.int64) * self.size + at)
+        return both // max(1, self.size), both % max(1, self.size)
 
     def margin(self, row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
         out = self.bias + np.bincount(row, weights=self.linear[place], minlength=rows)
@@ -75,54 +72,63 @@ class FactorizationMachine:
             out += 0.5 * (s * s - np.bincount(row, weights=v * v, minlength=rows))
         return out
 
-    def fit(self, row: np.ndarray, place: np.ndarray, label: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.1, shrink: float = 1e-5, seed: int = 6) -> None:
-        """row: ordered rows of the terms in place; label: 0 or 1 of each row."""
+    def fit(self, row: np.ndarray, place: np.ndarray, label: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.1, shrink: float = 3e-3, seed: int = 6) -> None:
+        """row: ordered rows of the terms in place; label: 0 or 1 of each row. The first steps of rare terms are kept small, so that they do not learn single rows by heart."""
         n, rank = len(label), self.vectors.shape[1]
         self.bias = float(np.log((label.sum() + 0.5) / (n - label.sum() + 1.5)))
-        if not n or not len(self.terms):
+        if not n or not len(place):
             return
         first = np.searchsorted(row, np.arange(n + 1))
-        rng, gb, gl, gv = np.random.default_rng(seed), 1e-8, np.full(len(self.terms), 1e-8), np.full(self.vectors.shape, 1e-8)
+        rng, gb, gl, gv = np.random.default_rng(seed), 1e-8, np.full(self.size, 1e-2), np.full(self.vectors.shape, 1e-4)
+        order, parts = rng.permutation(n), []
+        for k in range(0, n, batch):  # a batch's rows stay together, so that its terms are sorted once
+            own = order[k : k + batch]
+            count = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            r, p = np.repeat(np.arange(len(own)), count), place[at]
+            by = np.argsort(p, kind="stable")
+            used, start = np.unique(p[by], return_index=True)
+            some = np.flatnonzero(count)
+            parts.append((label[own], some, (np.cumsum(count) - count)[some], np.searchsorted(used, p).astype(np.int32), r[by].astype(np.int32), used.astype(np.int32), start.astype(np.int32)))
         for _ in range(epochs):
-            order = rng.permutation(n)
-            for k in range(0, n, batch):
-                own = order[k : k + batch]
-                count = first[own + 1] - first[own]
-                at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-                r, p = np.repeat(np.arange(len(own)), count), place[at]
-                s = np.zeros((len(own), rank))
-                np.add.at(s, r, self.vectors[p])
-                sq = np.bincount(r, weights=(self.vectors[p] ** 2).sum(1), minlength=len(own))
-                z = self.bias + np.bincount(r, weights=self.linear[p], minlength=len(own)) + 0.5 * ((s * s).sum(1) - sq)
-                e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[own]
+            for k in rng.permutation(len(parts)):
+                y, some, begin, back, r, used, start = parts[k]
+                g = len(y)
+                s, z = np.zeros((g, rank)), np.full(g, self.bias)
+                if len(used):
+                    w, v = self.linear[used], self.vectors[used]
+                    s[some] = np.add.reduceat(v[back], begin)
+                    z[some] += np.add.reduceat((w - 0.5 * (v * v).sum(1))[back], begin)
+                    z += 0.5 * (s * s).sum(1)
+                e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
                 g = e.mean()
                 gb += g * g
                 self.bias -= rate * g / np.sqrt(gb)
-                if not len(p):
+                if not len(used):
                     continue
-                used, back = np.unique(p, return_inverse=True)
-                g1 = np.bincount(back, weights=e[r]) / len(own) + shrink * self.linear[used]
+                both = np.add.reduceat(np.column_stack([e, e[:, None] * s])[r], start)
+                g1 = both[:, 0] / len(y) + shrink * w
                 gl[used] += g1 * g1
-                self.linear[used] -= 3 * rate * g1 / np.sqrt(gl[used])
-                g2 = np.zeros((len(used), rank))
-                np.add.at(g2, back, e[r, None] * (s[r] - self.vectors[p]))
-                g2 = g2 / len(own) + shrink * self.vectors[used]
+                self.linear[used] = w - 3 * rate * g1 / np.sqrt(gl[used])
+                g2 = (both[:, 1:] - both[:, :1] * v) / len(y) + shrink * v
                 gv[used] += g2 * g2
-                self.vectors[used] -= rate * g2 / np.sqrt(gv[used])
+                self.vectors[used] = v - rate * g2 / np.sqrt(gv[used])
 
     def save(self) -> bytes:
-        head = json.dumps({"bias": self.bias, "terms": len(self.terms), "rank": self.vectors.shape[1]}).encode()
-        return len(head).to_bytes(4, "little") + head + self.terms.tobytes() + self.linear.tobytes() + self.vectors.tobytes()
+        head = json.dumps({"bias": self.bias, "terms": None if self.terms is None else len(self.terms), "bits": self.bits, "rank": self.vectors.shape[1]}).encode()
+        terms = b"" if self.terms is None else self.terms.tobytes()
+        return len(head).to_bytes(4, "little") + head + terms + self.linear.astype(np.float32).tobytes() + self.vectors.astype(np.float32).tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> FactorizationMachine:
         n = int.from_bytes(data[:4], "little")
         head = json.loads(data[4 : 4 + n])
         k, rank, at = head["terms"], head["rank"], 4 + n
-        out = cls(np.frombuffer(data, np.uint64, k, at), rank)
+        out = cls(None if k is None else np.frombuffer(data[at : at + 8 * k], np.uint64), rank, bits=head["bits"])
+        at += 8 * (k or 0)
         out.bias = head["bias"]
-        out.linear = np.frombuffer(data, np.float64, k, at + 8 * k)
-        out.vectors = np.frombuffer(data, np.float64, k * rank, at + 16 * k).reshape(k, rank)
+        out.linear = np.frombuffer(data, np.float32, out.size, at).astype(np.float64)
+        out.vectors = np.frombuffer(data, np.float32, out.size * rank, at + 4 * out.size).astype(np.float64).reshape(out.size, rank)
         return out
 
 
@@ -131,14 +137,12 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_terms: int = 4096, least_rows: int = 5, train_on: F.Column | None = None) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, train_on: F.Column | None = None) -> FactorizationMachine:
     """A machine for labels, from at most most_rows labelled rows (those whose ids have the smallest hashes).
 
     Rows with null id or label are left out; of several labels of an id the largest counts; of equal texts one is used,
-    so groups of copies don't count as evidence many times over. The most_terms terms with the largest G statistic (over 12) among
-    those of at least least_rows rows become the machine's features. Only these counts (at most the terms of the
-    sample, grouped by Spark) and the features of the sample's rows leave the executors. Without labels the machine
-    scores below one half.
+    so groups of copies don't count as evidence many times over. All terms of the sample take part. Only the sample's
+    buckets, 4 bytes each, leave the executors. Without labels the machine scores below one half.
     """
     mine = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("id is not null and y is not null")
     if train_on is not None:
@@ -147,39 +151,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "id")
     sample = stored(sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(F.max(F.struct("y", "text")).alias("x")).select(F.col("x.text").alias("text"), (F.col("x.y") > 0).cast("int").alias("y")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = np.array(batch.column(1).to_pylist(), np.int64)
-            for _, _, h, row in term_hashes(batch.column(0)):
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[new], row[new]
-                terms, back, n = np.unique(h, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(np.bincount(back, weights=y[row], minlength=len(terms)).astype(np.int64))], names=["term", "n", "n1"])
-
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
-    counts = sample.mapInArrow(count, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= least_rows)
-    rate = (total["n1"] + 0.5) / (total["n"] + 1)
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
-    score = part(F.col("n1"), F.lit(rate)) + part(F.col("n") - F.col("n1"), F.lit(1 - rate))
-    top = counts.select("term", score.alias("g")).where("g > 12").orderBy(F.desc("g"), "term").limit(most_terms).collect()
-    machine = FactorizationMachine(np.array([r["term"] for r in top], np.int64).view(np.uint64))
+    machine = FactorizationMachine()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = FactorizationMachine(rank=0)
         for batch in batches:
-            n = batch.num_rows
-            own: list = [[] for _ in range(n)]
+            terms: list = [b""] * batch.num_rows
             for i, j, h, row in term_hashes(batch.column(0)):
-                r, p = machine.sets(h, row)
+                r, p = own.sets(h, row)
+                cut = np.searchsorted(r, np.arange(i, j + 1))
                 for k in range(i, j):
-                    own[k] = p[slice(*np.searchsorted(r, [k, k + 1]))].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int64()))], names=["y", "terms"])
+                    terms[k] = p[cut[k - i] : cut[k - i + 1]].astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(terms, pa.binary())], names=["y", "terms"])
 
-    rows = sorted(((r["terms"], r["y"]) for r in sample.mapInArrow(features, "y int, terms array<long>").toLocalIterator()), key=lambda x: (x[1], x[0]))
-    place = np.array([p for t, _ in rows for p in t], np.int64)
-    machine.fit(np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]), place, np.array([y for _, y in rows], np.float64))
+    rows = sorted((r["y"], bytes(r["terms"])) for r in sample.mapInArrow(features, "y int, terms binary").toLocalIterator())
+    place = np.frombuffer(b"".join(t for _, t in rows), np.int32)
+    machine.fit(np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) // 4 for _, t in rows]), place, np.array([y for y, _ in rows], np.float64))
     return machine
 
 

@@ -289,6 +289,23 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(d.limit(0), none).count() == 0
 
 
+def test_toxicity_learns_a_pair_of_words_that_say_nothing_alone(spark):
+    rng = random.Random(12)
+
+    def made(n):
+        """Both words in 4 % of the texts, which are toxic; each alone in 16 %, never toxic; the base rate is 20 %, as among the texts with a word."""
+        kinds = [("alpha beta", 1)] * (n // 25) + [("alpha", 0), ("beta", 0)] * (4 * n // 25) + [("scumbag", 1)] * (4 * n // 25) + [("", 0)] * (12 * n // 25)
+        return [(f"{a} {prose(rng, 6)}", y) for a, y in kinds]
+
+    rows, fresh = made(2000), made(500)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    m = toxicity.train(docs(spark, [t for t, _ in rows]), labels)
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(docs(spark, [t for t, _ in fresh]), m, carry=["doc_id"]).select("row.doc_id", "score").collect()}
+    pair = [got[i] for i, (t, _) in enumerate(fresh) if t.startswith("alpha beta")]
+    rest = [got[i] == bool(y) for i, (t, y) in enumerate(fresh) if not t.startswith("alpha beta")]
+    assert sum(pair) >= 0.9 * len(pair) and sum(rest) >= 0.97 * len(rest)
+
+
 # ---------------------------------------------------------------- 7
 
 
