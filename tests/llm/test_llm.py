@@ -350,11 +350,32 @@ def test_nearest_neighbours_reach_the_recall(spark):
         assert [m[0] for m in mine] == list(range(1, 11)) and all(m[2] == pytest.approx(d[m[1]], abs=1e-12) for m in mine)
         hits += len(set(best) & {m[1] for m in mine})
     assert hits >= 0.9 * 300
+    clashing = df.withColumn("id", F.lit(1)).withColumn("v", F.lit("x")).withColumn("shard", F.lit(3)).withColumn("block", F.lit(9)).withColumn("score", F.lit(0))
+    assert sorted(map(str, ann.nearest(clashing, clashing.where("vec_id % 50 = 0"), shard_rows=400, block_rows=10).collect())) == sorted(map(str, got))
     few = ann.nearest(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
     assert len(few) == 3
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_embeddings_verify_few_vectors(spark):
+    """On the given embeddings: recall of the query, and how many vectors get past the collision threshold."""
+    at = "/root/testdata/sf0.1/embeddings.parquet"
+    rows = [r for r in spark.read.parquet(at).select("vec_id", "embedding").orderBy("vec_id").collect() if r["embedding"] is not None]
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    by = defaultdict(set)
+    for r in queries.op8_ann(spark, "/root/testdata/sf0.1").collect():
+        by[r["query_id"]].add(r["vec_id"])
+    index = ann.CollisionIndex(x, 128, 11)
+    hits, asked = 0, np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & by[int(ids[q])])
+        index.search(x[q], np.array([q]), ids, 10, 0.87, 1.6, 1.1)
+    assert hits >= 0.9 * 10 * len(asked)
+    assert index.verified < 0.1 * len(asked) * len(x)
+
+
 # ---------------------------------------------------------------- 9
 
 
