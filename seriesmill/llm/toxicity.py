@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms (operator 10).
 
 A term is a lower-cased word or its first 4, 5 or 6 bytes, as a 64-bit hash, and falls into one of 2^18 buckets; a
-document has each bucket once. The machine has a weight and a vector for each bucket, whatever its terms say alone, so a pair of terms may count for more than both alone (an insult together with
-the mention of a group), which additive weights cannot express.
+document has each bucket once. The machine has a weight and a vector for each bucket, whatever its terms say alone, so
+a pair of terms may count for more than both alone (an insult together with the mention of a group), which additive
+weights cannot express.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def term_hashes(arr) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 class FactorizationMachine:
-    """Logistic factorization machine over sets of terms; trained with AdaGrad in a fixed order. terms: those it has; None: 2^bits buckets for all."""
+    """Logistic factorization machine over sets of terms, trained in a fixed order. terms: those it has; None: 2^bits buckets for all."""
 
     def __init__(self, terms: np.ndarray | None = None, rank: int = 8, seed: int = 5, bits: int = 18):
         self.terms, self.bits = None if terms is None else np.sort(terms.astype(np.uint64)), bits
@@ -72,47 +73,78 @@ class FactorizationMachine:
             out += 0.5 * (s * s - np.bincount(row, weights=v * v, minlength=rows))
         return out
 
-    def fit(self, row: np.ndarray, place: np.ndarray, label: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.1, shrink: float = 3e-3, seed: int = 6) -> None:
-        """row: ordered rows of the terms in place; label: 0 or 1 of each row. The first steps of rare terms are kept small, so that they do not learn single rows by heart."""
+    def fit(self, row: np.ndarray, place: np.ndarray, label: np.ndarray, epochs: int = 20, visits: float = 2e7, batch: int = 256, rate: float = 0.3, vector_rate: float = 0.02, sparse: float = 1.0, shrink: float = 1e-3, seed: int = 6) -> None:
+        """row: ordered rows of the terms in place; label: 0 or 1 of each row.
+
+        First the weights alone, `epochs` times over the rows, by AdaGrad with an L1 penalty of `sparse` rows' evidence;
+        then weights and vectors together on what the weights leave open, while about `visits` terms are visited, at
+        least twice and at most 60 times over the rows. An eighth of the rows is held back, and the state with the
+        least loss on it stays, so vectors that only learn single rows by heart are dropped.
+        """
         n, rank = len(label), self.vectors.shape[1]
+        label = label.astype(float)
         self.bias = float(np.log((label.sum() + 0.5) / (n - label.sum() + 1.5)))
         if not n or not len(place):
             return
-        first = np.searchsorted(row, np.arange(n + 1))
-        rng, gb, gl, gv = np.random.default_rng(seed), 1e-8, np.full(self.size, 1e-2), np.full(self.vectors.shape, 1e-4)
-        order, parts = rng.permutation(n), []
-        for k in range(0, n, batch):  # a batch's rows stay together, so that its terms are sorted once
-            own = order[k : k + batch]
-            count = first[own + 1] - first[own]
-            at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            r, p = np.repeat(np.arange(len(own)), count), place[at]
-            by = np.argsort(p, kind="stable")
-            used, start = np.unique(p[by], return_index=True)
-            some = np.flatnonzero(count)
-            parts.append((label[own], some, (np.cumsum(count) - count)[some], np.searchsorted(used, p).astype(np.int32), r[by].astype(np.int32), used.astype(np.int32), start.astype(np.int32)))
-        for _ in range(epochs):
-            for k in rng.permutation(len(parts)):
-                y, some, begin, back, r, used, start = parts[k]
-                g = len(y)
-                s, z = np.zeros((g, rank)), np.full(g, self.bias)
-                if len(used):
-                    w, v = self.linear[used], self.vectors[used]
-                    s[some] = np.add.reduceat(v[back], begin)
-                    z[some] += np.add.reduceat((w - 0.5 * (v * v).sum(1))[back], begin)
-                    z += 0.5 * (s * s).sum(1)
+        first, rng = np.searchsorted(row, np.arange(n + 1)), np.random.default_rng(seed)
+        order = rng.permutation(n)
+
+        def parts(rows: np.ndarray) -> list[tuple]:
+            out = []
+            for k in range(0, len(rows), batch):
+                own = rows[k : k + batch]
+                count = first[own + 1] - first[own]
+                at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                used, back = np.unique(place[at], return_inverse=True)
+                out.append((label[own], np.repeat(np.arange(len(own), dtype=np.int32), count), back.astype(np.int32), used.astype(np.int32)))
+            return out
+
+        held, mine = parts(order[: n // 8]), parts(order[n // 8 :])
+        w, v = self.linear, self.vectors
+        squares, vector_squares, bias_squares = np.full(self.size, 1e-4), np.full(v.shape, 1e-4), 1e-8
+
+        def forward(part: tuple, vectors: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Margins and sums of vectors of a part's rows."""
+            y, r, back, used = part
+            z, s = np.bincount(r, weights=w[used][back], minlength=len(y)) + self.bias, np.zeros((len(y), rank))
+            for f in range(rank if vectors else 0):
+                x = v[used, f][back]
+                s[:, f] = np.bincount(r, weights=x, minlength=len(y))
+                z += 0.5 * (s[:, f] ** 2 - np.bincount(r, weights=x * x, minlength=len(y)))
+            return z, s
+
+        def loss(vectors: bool) -> float:
+            return float(sum(np.logaddexp(0, -forward(p, vectors)[0] * (2 * p[0] - 1)).sum() for p in held))
+
+        kept = (np.inf, w.copy(), np.zeros_like(v), self.bias)
+        rounds = max(2, min(60, int(visits / len(place))))
+        for epoch in range(epochs + rounds):
+            vectors = epoch >= epochs
+            if epoch == epochs:
+                _, w[:], _, self.bias = kept
+            for k in rng.permutation(len(mine)):
+                y, r, back, used = mine[k]
+                z, s = forward(mine[k], vectors)
                 e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
                 g = e.mean()
-                gb += g * g
-                self.bias -= rate * g / np.sqrt(gb)
-                if not len(used):
-                    continue
-                both = np.add.reduceat(np.column_stack([e, e[:, None] * s])[r], start)
-                g1 = both[:, 0] / len(y) + shrink * w
-                gl[used] += g1 * g1
-                self.linear[used] = w - 3 * rate * g1 / np.sqrt(gl[used])
-                g2 = (both[:, 1:] - both[:, :1] * v) / len(y) + shrink * v
-                gv[used] += g2 * g2
-                self.vectors[used] = v - rate * g2 / np.sqrt(gv[used])
+                bias_squares += g * g
+                self.bias -= rate * g / np.sqrt(bias_squares)
+                er = e[r]
+                total = np.bincount(back, weights=er, minlength=len(used))
+                g = total / len(y)
+                squares[used] += g * g
+                step = rate / np.sqrt(squares[used])
+                x = w[used] - step * g
+                w[used] = np.sign(x) * np.maximum(np.abs(x) - step * sparse / n, 0)
+                for f in range(rank if vectors else 0):
+                    x = v[used, f]
+                    g = (np.bincount(back, weights=er * s[r, f], minlength=len(used)) - total * x) / len(y) + shrink * x
+                    vector_squares[used, f] += g * g
+                    v[used, f] = x - vector_rate * g / np.sqrt(vector_squares[used, f])
+            now = loss(vectors)
+            if now < kept[0]:
+                kept = (now, w.copy(), v.copy() if vectors else kept[2], self.bias)
+        _, self.linear, self.vectors, self.bias = kept
 
     def save(self) -> bytes:
         head = json.dumps({"bias": self.bias, "terms": None if self.terms is None else len(self.terms), "bits": self.bits, "rank": self.vectors.shape[1]}).encode()
@@ -137,7 +169,7 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, train_on: F.Column | None = None) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 8_000, train_on: F.Column | None = None) -> FactorizationMachine:
     """A machine for labels, from at most most_rows labelled rows (those whose ids have the smallest hashes).
 
     Rows with null id or label are left out; of several labels of an id the largest counts; of equal texts one is used,
