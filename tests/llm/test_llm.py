@@ -135,19 +135,66 @@ def test_packing_places_every_id_once_without_padding(spark, odd, library):
     assert packing.pack(docs(spark, ["x"]).limit(0), queries.vocabulary()).count() == 0
 
 
+def served(batch):
+    """Tokens of each source in each sequence."""
+    used = defaultdict(Counter)
+    for r in batch.to_pylist():
+        used[r["sequence_id"]][r["source"]] += r["length"]
+    return used
+
+
+def fill(mixer, tokens):
+    for s, n in tokens.items():
+        docs = np.array([[k, 0, 77, 77] for k in range(n // 77)], np.int64)
+        mixer.add(np.full(len(docs), mixer.place[s]), docs, np.arange(77 * len(docs), dtype="<u4"))
+
+
 def test_mixer_keeps_proportions_and_carries_deficits():
-    m = packing.Mixer({"a": 0.7, "b": 0.2, "c": 0.1}, 1000, 50, 0)
-    for s, n in (("a", 70), ("b", 20), ("c", 10)):
-        for k in range(n):
-            m.add(s, [k, s, np.arange(777, dtype="<u4"), 0, 777, 0])
-    m.run(False, 0.0)
-    used = Counter()
-    for piece in m.out:
-        used[piece[7]] += piece[2]
-        if piece[6] + piece[2] == 1000:
-            total = sum(used.values())
-            assert all(abs(used[s] - p * total) <= 100 for s, p in (("a", 0.7), ("b", 0.2), ("c", 0.1)))
-    assert sum(used.values()) > 60_000 and abs(sum(m.deficit.values())) < 1
+    shares = {"a": 0.7, "b": 0.2, "c": 0.0955, "d": 0.0045}
+    m = packing.Mixer(shares, 1000, 16, 0)
+    fill(m, {"a": 70_000, "b": 20_000, "c": 10_000, "d": 1_000})
+    used, total = served(m.run(False)), Counter()
+    assert len(used) > 90
+    for k in sorted(used):
+        assert sum(used[k].values()) == 1000
+        total += used[k]
+        assert all(abs(used[k][s] - 1000 * shares[s]) <= 18 for s in "abc") and used[k]["d"] in (0, *range(16, 22))
+        assert all(abs(total[s] - shares[s] * 1000 * (k + 1)) <= 18 for s in shares)  # what a window lacks, the next ones make good
+    assert abs(sum(m.deficit)) < 1e-6
+
+
+def test_mixer_drains_dry_sources_last():
+    m = packing.Mixer({"a": 0.5, "b": 0.25, "c": 0.25, "z": 0.0}, 1024, 16, 0)
+    fill(m, {"a": 40_000, "b": 20_000, "c": 5_005, "z": 3_000})
+    used = served(m.run(True))
+    first = [used[k] for k in range(10)]
+    assert all(abs(u["a"] - 512) <= 2 and abs(u["b"] - 256) <= 2 and abs(u["c"] - 256) <= 2 for u in first)
+    later = [used[k] for k in range(25, 50)]  # without c the others have two thirds and one third
+    assert all(abs(u["a"] - 683) <= 2 and abs(u["b"] - 341) <= 2 for u in later)
+    assert sum(sum(u.values()) for u in used.values()) == sum(n // 77 * 77 for n in (40_000, 20_000, 5_005, 3_000))
+    assert all((n := sum(u.values())) & (n - 1) == 0 for u in used.values()) and not m.held.any()
+
+
+def test_packing_fills_the_windows_of_the_query_in_proportion(spark):
+    """Every full window of the first pass has every source within two tokens of its share; those of the second pass while no source is dry."""
+    at = "/root/testdata/sf0.01"
+    docs_ = spark.read.parquet(f"{at}/documents.parquet").select("source", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    share = {r["source"]: r["n"] for r in docs_.groupBy("source").agg((F.sum("n") + F.count("n")).alias("n")).collect()}
+    total = sum(share.values())
+    rows = queries.op2_packing(spark, at).groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    used = defaultdict(Counter)
+    for r in rows:
+        used[r["sequence_id"]][r["source"]] += r["n"]
+    assert all(sum(u.values()) in [1 << k for k in range(12)] for u in used.values())
+    one = [u for k, u in used.items() if k < 1 << 62]
+    two = [used[k] for k in sorted(used) if k >= 1 << 62]
+    assert len(one) > 50 and all(abs(u[s] - 2048 * n / total) <= 2 for u in one for s, n in share.items())
+    held = sum(two, Counter())
+    for u in two:
+        live = sum(share[s] for s in held if held[s])
+        if all(held[s] > 2048 * share[s] / live + 200 for s in held if held[s]) and sum(u.values()) == 2048 and len(held) == len(share):
+            assert all(abs(u[s] - 2048 * share[s] / total) <= 200 for s in share)  # the first windows also pay the deficits of all partitions
+        held -= u
 
 
 # ---------------------------------------------------------------- 3
