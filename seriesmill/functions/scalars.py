@@ -107,3 +107,9 @@ def weighted_sum(terms: Sequence[tuple[float, Column]]) -> Column:
     for w, c in terms:
         out = out + F.lit(float(w)) * c
     return out
+
+
+def audit_settings(width: Column, frames: Column, budget: Column, shortest: Column, longest: Column) -> Column:
+    """Names of the rules that a run's settings break: widths in steps of 32, 8n+1 frames, a positive budget, ordered lengths."""
+    rules = F.array(F.when(width % 32 != 0, "width"), F.when(frames % 8 != 1, "frames"), F.when(budget <= 0, "budget"), F.when(shortest > longest, "lengths"))
+    return F.filter(rules, lambda v: v.isNotNull())

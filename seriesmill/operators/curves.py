@@ -1,7 +1,7 @@
 """Operators on feature curves: tables of frames (series_id, frame_idx, t, curves...), one row for each frame.
 
-All of them shuffle by series_id only, so a chain of them keeps one partitioning. Frame windows are bounded, so a
-window's state doesn't grow with the series.
+All of them shuffle by series_id only, so a chain of them keeps one partitioning. Frame windows are bounded or running,
+so a window's work for a frame doesn't grow with the series; sequence_repeatability alone compares frames pairwise.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def resample_linear(samples: DataFrame, fps: float, value: str = "v", t: str = "
     grid = s.groupBy(KEY).agg(F.floor(F.max("t") * fps).alias("n")).select(KEY, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("grid_idx"))
     both = s.select(KEY, "t", "v", F.lit(None).cast("long").alias("grid_idx")).unionByName(grid.select(KEY, (F.col("grid_idx") / fps).alias("t"), F.lit(None).cast("double").alias("v"), "grid_idx"))
     back = Window.partitionBy(KEY).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(KEY).orderBy("t").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(KEY).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)  # running frames on both sides
     at = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
     near = both.withColumn("a", F.max(at).over(back)).withColumn("b", F.min(at).over(ahead)).where("grid_idx is not null")
     lerp = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))

@@ -27,6 +27,29 @@ def greedy_suppress(df: DataFrame, by: list[str], order: list[Column], carry: li
     return out.select(*by, (F.col("rank") + 1).alias("rank"), "x.*")
 
 
+def greedy_marginal(df: DataFrame, by: list[str], ident: str, score: Column, carry: list[str], k: int, penalty: Callable[[Column, Column], Column], drop: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """by, pick (from 1), ident, adjusted and carry: in each of k rounds the row with the largest score less its largest penalty against a row picked before.
+
+    penalty and drop are of a row and a picked one, as structs of carry; a row for which drop holds is left out. Ties go
+    to the smaller ident. A native fold over a group's rows, which must be bounded, as above.
+    """
+    row = F.struct(score.cast("double").alias("s"), F.col(ident).alias("i"), F.struct(*carry).alias("x"))
+    types = df.select(F.col(ident).alias("i"), F.struct(*carry).alias("x")).schema
+    kind = f"array<struct<adj:double,i:{types['i'].dataType.simpleString()},x:{types['x'].dataType.simpleString()}>>"
+    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("all"))
+
+    def pick(acc: Column, _: Column) -> Column:
+        most = lambda r: F.aggregate(acc, F.lit(0.0), lambda m, y: F.greatest(m, penalty(r["x"], y["x"])))
+        free = F.filter("all", lambda r: ~F.exists(acc, lambda y: (y["i"] == r["i"]) | (drop(r["x"], y["x"]) if drop else F.lit(False))))
+        scored = F.transform(free, lambda r: F.struct((r["s"] - most(r)).alias("adj"), r["i"].alias("i"), r["x"].alias("x")))
+        best = F.array_max(F.transform(scored, lambda r: r["adj"]))
+        return F.when(F.size(scored) == 0, acc).otherwise(F.concat(acc, F.slice(F.filter(scored, lambda r: r["adj"] == best), 1, 1)))
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast(kind), pick)
+    out = groups.select(*by, F.posexplode(chosen).alias("p", "y"))
+    return out.select(*by, (F.col("p") + 1).alias("pick"), F.col("y.i").alias(ident), F.col("y.adj").alias("adjusted"), "y.x.*")
+
+
 def leader_clusters(df: DataFrame, by: list[str], order: list[Column], ident: str, carry: list[str], same: Callable[[Column, Column], Column]) -> DataFrame:
     """by, ident, cluster (from 1, in order of their leaders), is_leader: each row joins the first cluster whose leader it matches, else leads a new one.
 

@@ -38,6 +38,12 @@ def interval_overlap_join(a: DataFrame, b: DataFrame, key: str, least_ratio: flo
     return both.withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio).select(key, "a_id", "b_id", "ratio")
 
 
+def lag_self_join(df: DataFrame, key: str, order: str, value: str, lag: int, later: str) -> DataFrame:
+    """Rows with a row of the same key `lag` places later, and that row's value as `later`: an equi-join."""
+    b = df.select(key, (F.col(order) - lag).alias(order), F.col(value).alias(later))
+    return df.join(b, [key, order])
+
+
 def cross_expand(df: DataFrame, **values: list) -> DataFrame:
     """Every row with every combination of the literal values."""
     for name, options in values.items():

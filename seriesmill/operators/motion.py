@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesmill.functions.scalars import is_finite
+from seriesmill.operators.evaluate import exact_median
+from seriesmill.sources.shared import stored
+
 
 def to_gray(r: Column, g: Column, b: Column, luma: bool = True) -> Column:
     """Luma of the channels (0.299, 0.587, 0.114), or their plain mean; arrays of equal length."""
@@ -25,9 +29,11 @@ def frame_pair_diff(frames: DataFrame, changed: float = 3.0, by: list[str] | Non
     return p.select(*by, "frame_idx", _mad(F.col("pixels"), F.col("_p")).alias("mad"), share.alias("changed_pct"), (F.col("pixels") == F.col("_p")).alias("duplicate"))
 
 
-def motion_metrics(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def motion_metrics(pairs: DataFrame, by: list[str] | None = None, fps: float = 24.0) -> DataFrame:
+    """For each key: pairs, frames (one more than pairs), duration in seconds, and statistics of the pairs."""
+    frames = F.count(F.lit(1)) + 1
     return pairs.groupBy(*(by or ["video_id"])).agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg("mad").alias("mean_mad"), F.percentile("mad", 0.5).alias("median_mad"), F.max("mad").alias("max_mad"), F.avg("changed_pct").alias("mean_changed_pct"), F.count_if("duplicate").alias("duplicates")
+        F.count(F.lit(1)).alias("pairs"), frames.alias("frames"), (frames / fps).alias("duration"), F.max("changed_pct").alias("max_changed_pct"), F.avg("mad").alias("mean_mad"), F.percentile("mad", 0.5).alias("median_mad"), F.max("mad").alias("max_mad"), F.avg("changed_pct").alias("mean_changed_pct"), F.count_if("duplicate").alias("duplicates")
     )
 
 
@@ -56,9 +62,10 @@ def segment_motion(frames: DataFrame, frames_per_segment: int, most: int) -> Dat
 
 
 def motion_summary(metrics: DataFrame) -> DataFrame:
-    """One row over the classes; shares and means are null without rows."""
+    """One row over the classes; shares and means are null without rows. The median is exact and found by bins, not in one task."""
+    metrics = stored(metrics)
     c = classify_motion(F.col("mean_mad"), F.col("mean_changed_pct"))
-    return metrics.withColumn("c", c).agg(*[F.count_if(F.col("c") == k).alias(k) for k in ("static", "minimal", "visible")], F.avg("mean_mad").alias("mean_mad"), F.percentile("mean_mad", 0.5).alias("median_mad"), F.avg("mean_changed_pct").alias("mean_changed_pct"), (F.count_if(F.col("c") == "static") * 100.0 / F.count(F.lit(1))).alias("static_pct"))
+    return metrics.withColumn("c", c).agg(*[F.count_if(F.col("c") == k).alias(k) for k in ("static", "minimal", "visible")], F.avg("mean_mad").alias("mean_mad"), F.lit(exact_median(metrics, "mean_mad")).cast("double").alias("median_mad"), F.avg("mean_changed_pct").alias("mean_changed_pct"), (F.count_if(F.col("c") == "static") * 100.0 / F.count(F.lit(1))).alias("static_pct"))
 
 
 def motion_gate(metrics: DataFrame, least_mad: float = 0.5, least_changed: float = 2.0) -> DataFrame:
@@ -72,6 +79,17 @@ def anchor_similarity(pairs: DataFrame, ids: list[str], a: str, b: str, flat: fl
     return m.select(*ids, F.when((F.col("sa") < flat) | (F.col("sb") < flat), 1 - F.col("mad") / 255.0).otherwise(F.col("r")).alias("similarity"))
 
 
+def anchor_gate(similarities: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
+    """by and passed: whether all samples of a clip are finite and at least `least`; a null sample fails."""
+    ok = F.coalesce(is_finite(F.col("similarity")) & (F.col("similarity") >= least), F.lit(False))
+    return similarities.groupBy(*by).agg(F.bool_and(ok).alias("passed"))
+
+
+def error_summary(df: DataFrame, problem: Column) -> DataFrame:
+    """One row: good and bad rows, in one pass."""
+    return df.select(problem.alias("e")).agg(F.count_if(F.col("e").isNull()).alias("good"), F.count_if(F.col("e").isNotNull()).alias("bad"))
+
+
 def isolate_errors(df: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with column error): problem is a message, or null for a good row."""
     x = df.withColumn("error", problem)

@@ -72,12 +72,11 @@ def metric_grid(points: DataFrame, frames: DataFrame, fps: float) -> DataFrame:
 
 
 def nearest_distance(queries: DataFrame, points: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, t and distance to the nearest point (null if the series has none): an as-of join in both directions by one sort."""
+    """ids, t and distance to the nearest point (null if the series has none): an as-of join in both directions by a sort each way."""
     none = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in ids if c != KEY]
     both = queries.select(KEY, "t", *[c for c in ids if c != KEY], F.lit(None).cast("double").alias("p")).unionByName(points.select(KEY, "t", *none, F.col("t").alias("p")))
-    w = Window.partitionBy(KEY).orderBy("t")
-    back = F.last("p", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("p", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    running = lambda by: Window.partitionBy(KEY).orderBy(by).rangeBetween(Window.unboundedPreceding, 0)
+    back, ahead = F.max("p").over(running(F.col("t"))), F.min("p").over(running(F.desc("t")))
     near = both.withColumn("_b", back).withColumn("_a", ahead).where("p is null")
     return near.select(*ids, "t", F.least(F.col("t") - F.col("_b"), F.col("_a") - F.col("t")).alias("distance"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +22,13 @@ def history_diagnostics(reports: DataFrame, current_track: Column | None = None)
     return reports.withColumn("skip_reason", reason)
 
 
-def diagnostics_counts(diagnosed: DataFrame) -> DataFrame:
-    return diagnosed.agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("skip_reason").isNull()).alias("used"), *[F.count_if(F.col("skip_reason") == r).alias(r) for r in ("missing_track", "current_track", "invalid_json", "ambiguous_choice", "invalid_selections")])
+def diagnostics_counts(diagnosed: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """One row: reports found and used, those skipped for each reason, and repeated pairs (the sum of duplicates.duplicates)."""
+    rows = diagnosed.select("skip_reason", F.lit(1).alias("r"), F.lit(0).cast("long").alias("d"))
+    if duplicates is not None:
+        rows = rows.unionByName(duplicates.select(F.lit(None).cast("string").alias("skip_reason"), F.lit(0).alias("r"), F.col("duplicates").alias("d")))
+    reasons = ("missing_track", "current_track", "invalid_json", "ambiguous_choice", "invalid_selections")
+    return rows.agg(F.count_if(F.col("r") == 1).alias("found"), F.count_if((F.col("r") == 1) & F.col("skip_reason").isNull()).alias("used"), *[F.count_if(F.col("skip_reason") == r).alias(r) for r in reasons], F.coalesce(F.sum("d"), F.lit(0)).alias("duplicate_pairs"))
 
 
 def strict_features(df: DataFrame, breakdown: str, names: list[str], group: list[str]) -> DataFrame:
@@ -64,12 +71,17 @@ def dedupe_pairs(df: DataFrame, track: str, columns: list[str], order: list[str]
     return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", *[f"_r{i}" for i in range(len(columns))])
 
 
+def duplicate_pairs(df: DataFrame, track: str, columns: list[str], digits: int = 8) -> DataFrame:
+    """(track, pairs, duplicates): how many pairs dedupe_pairs keeps and drops."""
+    once = df.groupBy(track, *[F.round(c, digits).alias(f"_r{i}") for i, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy(track).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n") - 1).alias("duplicates"))
+
+
 def group_grams(pairs: DataFrame, track: str, columns: list[str]) -> DataFrame:
     """For each track the sums that a ridge fit needs: g_i_j, b_i and n, each pair weighted by one over the track's pairs."""
-    w = Window.partitionBy(track)
-    x = pairs.withColumn("_w", 1.0 / F.count(F.lit(1)).over(w))
-    k = range(len(columns))
-    return x.groupBy(track).agg(*[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"g_{i}_{j}") for i in k for j in k if i <= j], *[F.sum(F.col("_w") * F.col(columns[i])).alias(f"b_{i}") for i in k], F.count(F.lit(1)).alias("n"))
+    k, n = range(len(columns)), F.count(F.lit(1))
+    mean = lambda c: F.sum(c) / n
+    return pairs.groupBy(track).agg(*[mean(F.col(columns[i]) * F.col(columns[j])).alias(f"g_{i}_{j}") for i in k for j in k if i <= j], *[mean(F.col(columns[i])).alias(f"b_{i}") for i in k], n.alias("n"))
 
 
 def _system(row, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +113,8 @@ def leave_one_group_out(pairs: DataFrame, track: str, columns: list[str], ridge:
     """(track, n, correct): pairs of each track that the weights fitted without it get right; margins of at most 1e-12 count one half.
 
     The sums without a track are the total less its own, so nothing is fitted from rows again. The total (k x k numbers)
-    is the only thing that all tracks share.
+    is the only thing that all tracks share. A track's weights are solved from its sums, and its pairs are judged by
+    columns, wherever they lie: no task holds a track's pairs.
     """
     k = len(columns)
     sums = group_grams(pairs, track, columns)
@@ -111,13 +124,15 @@ def leave_one_group_out(pairs: DataFrame, track: str, columns: list[str], ridge:
         return pairs.sparkSession.createDataFrame([], out)
     g, b = _system(total, k)
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(float)
-        own = x.T @ x / len(x), x.sum(0) / len(x)
-        margin = x @ _solve(g - own[0], b - own[1], ridge)
-        return pd.DataFrame({"track": [pdf[track].iloc[0]], "n": [len(x)], "correct": [float(np.where(np.abs(margin) <= 1e-12, 0.5, margin > 0).sum())]})
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            weights = [_solve(g - own[0], b - own[1], ridge).tolist() for own in (_system(row, k) for _, row in pdf.iterrows())]
+            yield pd.DataFrame({"track": pdf[track], "w": weights})
 
-    return pairs.select(track, *columns).groupBy(track).applyInPandas(judge, out)
+    solved = sums.mapInPandas(solve, f"track {pairs.schema[track].dataType.simpleString()}, w array<double>")
+    margin = sum(F.col(c) * F.col("w")[i] for i, c in enumerate(columns))
+    right = F.when(F.abs(margin) <= 1e-12, 0.5).otherwise((margin > 0).cast("double"))
+    return pairs.select(F.col(track).alias("track"), *columns).join(solved, "track").groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("correct"))
 
 
 def gate_model(validation: DataFrame, min_tracks: int = 10, threshold: float = 0.55) -> DataFrame:
@@ -127,8 +142,10 @@ def gate_model(validation: DataFrame, min_tracks: int = 10, threshold: float = 0
     return m.withColumn("reason", reason).withColumn("enabled", F.col("reason").isNull())
 
 
-def score_preference(df: DataFrame, group: list[str], weights: dict[str, float]) -> DataFrame:
-    """preference: logistic of the weighted z-scores in the group; values that aren't finite become the group's median (0 if it has none)."""
+def score_preference(df: DataFrame, group: list[str], weights: dict[str, float] | None, enabled: bool = True) -> DataFrame:
+    """preference: logistic of the weighted z-scores in the group; values that aren't finite become the group's median (0 if it has none). 0.5 if the model is disabled or has no weights."""
+    if not enabled or weights is None:
+        return df.withColumn("preference", F.lit(0.5))
     w = Window.partitionBy(*group)
     names = list(weights)
     meds = df.groupBy(*group).agg(*[F.percentile(F.when(is_finite(F.col(c)), F.col(c)), 0.5).alias(f"_m{i}") for i, c in enumerate(names)])
@@ -143,5 +160,12 @@ def score_preference(df: DataFrame, group: list[str], weights: dict[str, float])
 
 
 def history_fingerprint(pairs: DataFrame, track: str, value: Column) -> DataFrame:
-    """(track, fingerprint): SHA-256 over the sorted values of a track, so the order of rows doesn't matter."""
-    return pairs.groupBy(track).agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(value.cast("string")))), 256).alias("fingerprint"))
+    """(track, fingerprint): SHA-256 over the values of a track, whatever the order of rows.
+
+    The values' hashes are put into 4096 parts by their first three digits; a part's sorted hashes are hashed, and the
+    parts' hashes again, so no task holds a track's values.
+    """
+    hashed = pairs.select(track, F.sha2(value.cast("string"), 256).alias("h"))
+    parts = hashed.groupBy(track, F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: F.concat(x["p"], x["h"])), "")
+    return parts.groupBy(track).agg(F.sha2(ordered, 256).alias("fingerprint"))

@@ -49,6 +49,12 @@ def idle_gaps(lines: DataFrame, by: list[str], limit: float) -> DataFrame:
     return lines.withColumn("gap", s(F.col("ts")) - s(F.lag("ts").over(w))).where(F.col("gap") > limit)
 
 
+def stage_overruns(lines: DataFrame, by: list[str], limit: float) -> DataFrame:
+    """by and seconds of the stages that lasted longer than `limit` from their first line to their last."""
+    s = lambda c: F.unix_micros(c) / 1e6
+    return lines.groupBy(*by).agg((s(F.max("ts")) - s(F.min("ts"))).alias("seconds")).where(F.col("seconds") > limit)
+
+
 def run_progress(now: DataFrame, before: DataFrame, run: str, ident: str, done: str = "done") -> DataFrame:
     """For each run: items, finished, newly finished since the earlier snapshot, remaining."""
     a, b = now.select(run, ident, (F.col("status") == done).alias("d")), before.select(run, ident, (F.col("status") == done).alias("was"))

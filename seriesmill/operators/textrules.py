@@ -73,6 +73,16 @@ def normalise(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
+def _best_ratio(text: str, others: list[str], autojunk: bool) -> float:
+    """The largest matching-block ratio; a pair whose lengths or letters bound it by the best so far isn't aligned."""
+    best = 0.0
+    for other in sorted(others, key=lambda o: abs(len(o) - len(text))):
+        m = difflib.SequenceMatcher(None, text, other, autojunk)
+        if m.real_quick_ratio() > best and m.quick_ratio() > best:
+            best = max(best, m.ratio())
+    return best
+
+
 def near_duplicate_recent(history: DataFrame, last: int = 8, threshold: float = 0.82, autojunk: bool = True) -> DataFrame:
     """similarity to the most similar of the last texts (matching-block ratio), and is_duplicate. Windows collect at most `last` texts for a row."""
     x = history.withColumn("_n", normalise(F.col("text")))
@@ -81,7 +91,7 @@ def near_duplicate_recent(history: DataFrame, last: int = 8, threshold: float =
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for mine, prior in batches:
-            yield pd.Series([max([difflib.SequenceMatcher(None, a, b, autojunk).ratio() for b in bs], default=0.0) for a, bs in zip(mine, prior)], dtype=float)
+            yield pd.Series([_best_ratio(a, bs, autojunk) for a, bs in zip(mine, prior)], dtype=float)
 
     x = x.withColumn("similarity", ratio("_n", "_p"))
     return x.withColumn("is_duplicate", F.col("similarity") >= threshold).drop("_n", "_p")
@@ -119,11 +129,12 @@ def prompt_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def batch_hash(df: DataFrame, batch: str, ident: str, prompt: str) -> DataFrame:
-    """(batch, batch_sha256): SHA-256 over (id, prompt hash) in order of the ids."""
+def batch_hash(df: DataFrame, batch: str, ident: str, prompt: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """(batch, batch_sha256): SHA-256 over the settings in order of their names, and (id, prompt hash) in order of the ids. A batch is of bounded size."""
+    head = "".join(f"{k}={v};" for k, v in sorted((settings or {}).items()))
     item = F.struct(F.col(ident).alias("i"), F.sha2(prompt, 256).alias("p"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["i"].cast("string"), F.lit(":"), x["p"])), ",")
-    return df.groupBy(batch).agg(F.sha2(text, 256).alias("batch_sha256"))
+    return df.groupBy(batch).agg(F.sha2(F.concat(F.lit(head), text), 256).alias("batch_sha256"))
 
 
 def diversity_assignment(history: DataFrame, modes: list[str], families: int, period: int, phrases: list[str]) -> DataFrame:

@@ -272,9 +272,23 @@ def e6(spark, d):
     return x.select("series_id", "pick", "candidate_id")
 
 
-@query("g2_greedy_marginal", registry.sql_of("e6_select_diverse") + " AND pick <= 2")
+_NEAR = "greatest(0.0, 1 - abs(p - k.p) / 400.0)"
+
+
+@query(
+    "g2_greedy_marginal",
+    f"""WITH RECURSIVE part AS (SELECT l_orderkey AS grp, l_linenumber AS item, max(l_extendedprice) / 100000.0 AS s, CAST(max(l_partkey) AS DOUBLE) AS p FROM lineitem GROUP BY ALL)
+, g AS (SELECT grp, 0 AS pick, []::STRUCT(p DOUBLE, item INT)[] AS kept, NULL::INT AS item FROM part GROUP BY grp
+ UNION ALL SELECT grp, pick + 1, list_append(kept, {{'p': x[1], 'item': x[2]}}), x[2] FROM (SELECT g.grp, g.pick, any_value(g.kept) AS kept, arg_max((c.p, c.item), (c.s - coalesce(list_max([{_NEAR} FOR k IN g.kept]), 0.0), -c.item)) AS x
+  FROM g JOIN part c USING (grp) WHERE g.pick < 3 AND NOT list_contains([k.item FOR k IN g.kept], c.item) AND len([k FOR k IN g.kept IF abs(c.p - k.p) < 20]) = 0 GROUP BY g.grp, g.pick))
+SELECT grp, pick, item FROM g WHERE pick > 0""",
+)
 def g2(spark, d):
-    return E.select_diverse(R.candidates(spark, d), 2, score="quality_score").select("series_id", "pick", "candidate_id")
+    from seriesmill.operators.greedy import greedy_marginal
+
+    part = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("item")).agg((F.max("l_extendedprice") / 100000.0).alias("s"), F.max("l_partkey").cast("double").alias("p"))
+    near = lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x["p"] - y["p"]) / 400.0)
+    return greedy_marginal(part, ["grp"], "item", F.col("s"), ["p"], 3, near, lambda x, y: F.abs(x["p"] - y["p"]) < 20).select("grp", "pick", "item")
 
 
 @query("e7_topk_per_series", WC + " SELECT series_id, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY quality_score DESC, candidate_id) AS rank FROM cand) WHERE rank <= 3")

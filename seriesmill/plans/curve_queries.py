@@ -272,6 +272,6 @@ def f8(spark, d):
 
 @query("f9_lag_self_join", WF + " SELECT a.series_id, a.frame_idx, round(a.rms * b.rms, 6) AS product FROM frames a JOIN frames b ON b.series_id = a.series_id AND b.frame_idx = a.frame_idx + 7")
 def f9(spark, d):
-    f = R.frames(spark, d)
-    b = f.select("series_id", (F.col("frame_idx") - 7).alias("frame_idx"), F.col("rms").alias("later"))
-    return f.join(b, K).select(*K, r6(F.col("rms") * F.col("later"), "product"))
+    from seriesmill.operators.joins import lag_self_join
+
+    return lag_self_join(R.frames(spark, d), "series_id", "frame_idx", "rms", 7, "later").select(*K, r6(F.col("rms") * F.col("later"), "product"))

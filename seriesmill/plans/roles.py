@@ -48,13 +48,14 @@ def series(f: DataFrame) -> DataFrame:
 
 SERIES = "series AS (SELECT series_id, max(frame_idx) + 1 AS n, CAST(max(frame_idx) + 1 AS DOUBLE) AS duration FROM frames GROUP BY series_id)"
 
-DIMS = 6
+#: Components of the given embeddings.
+DIMS = 64
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of a label as a series of vectors (their first six components)."""
+    """Embeddings of a label as a series of vectors ."""
     w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("series_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("vec"))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("series_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
 VECTORS = (

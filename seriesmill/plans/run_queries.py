@@ -11,8 +11,10 @@ from seriesmill.operators import planning as J
 from seriesmill.operators import prefs as P
 from seriesmill.operators import runlogs as K
 from seriesmill.plans import roles as R
+from seriesmill.plans import text_queries
 from seriesmill.plans.registry import query
 from seriesmill.sources import io
+from seriesmill.sources.shared import shared_dir, stored
 
 
 def r6(c, name=None):
@@ -21,19 +23,25 @@ def r6(c, name=None):
 
 # ---------------------------------------------------------------- P: evaluation, the flagship
 
-_EVAL = f"""WITH {R.CANDIDATES}, ch AS (SELECT series_id AS run_id, candidate_id, quality_score AS quality, row_number() OVER (PARTITION BY series_id ORDER BY candidate_id) AS quality_rank, nucleus_start, nucleus_end, start_time, end_time FROM cand)
+_EVAL = f"""WITH {R.CANDIDATES}, ch AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY candidate_id) AS quality_rank FROM (SELECT series_id * 100 + CAST(floor((start_time + 1200) / 365) AS BIGINT) AS run_id, candidate_id, quality_score AS quality, nucleus_start, nucleus_end, start_time, end_time FROM cand))
 , choice AS (SELECT run_id, start_time + 3 AS chosen_start, start_time + 33 AS chosen_end FROM ch WHERE quality_rank = 2)
 , rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY quality DESC, quality_rank) AS rank FROM ch)
 , ds AS (SELECT rk.run_id, rank, greatest(chosen_start - (nucleus_start + nucleus_end) / 2, (nucleus_start + nucleus_end) / 2 - chosen_end, 0.0) AS d FROM rk JOIN choice USING (run_id))
-, ev AS (SELECT run_id, min(rank) FILTER (d <= 2.0) AS matched_rank, arg_min(rank, (d, rank)) AS closest_rank, min(d) AS closest_distance FROM ds GROUP BY run_id)"""
+, ev AS (SELECT run_id, min(rank) FILTER (d <= 2.0) AS matched_rank, arg_min(rank, (d, rank)) AS closest_rank, min(d) AS closest_distance, count(*) AS selected FROM ds GROUP BY run_id)"""
 
 
-def _evaluation(spark, d):
+def _champions(spark, d):
+    """A customer's orders of a year as the champions of a run; the customer is the track."""
     from pyspark.sql import Window
 
-    c = R.candidates(spark, d)
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("candidate_id"))
-    ch = c.select(F.col("series_id").alias("run_id"), F.col("quality_score").alias("quality"), rank.alias("quality_rank"), "nucleus_start", "nucleus_end", "start_time")
+    run = (F.col("series_id") * 100 + F.floor((F.col("start_time") + 1200) / 365)).cast("long")
+    c = R.candidates(spark, d).withColumn("run_id", run)
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("candidate_id"))
+    return c.select("run_id", F.col("quality_score").alias("quality"), rank.alias("quality_rank"), "nucleus_start", "nucleus_end", "start_time")
+
+
+def _evaluation(spark, d):
+    ch = _champions(spark, d)
     choice = ch.where("quality_rank = 2").select("run_id", (F.col("start_time") + 3).alias("chosen_start"), (F.col("start_time") + 33).alias("chosen_end"))
     return V.evaluate_ranking(ch, choice)
 
@@ -43,15 +51,23 @@ def p11(spark, d):
     return _evaluation(spark, d).select("run_id", "matched_rank", "closest_rank", r6("closest_distance"))
 
 
-@query("p12_first_per_track", _EVAL + " SELECT run_id % 40 AS track, min(run_id) AS run_id FROM ev GROUP BY 1")
+@query("p12_first_per_track", _EVAL + " SELECT run_id // 100 AS track, min(run_id) AS run_id FROM ev GROUP BY 1")
 def p12(spark, d):
-    return V.first_per_track(_evaluation(spark, d).withColumn("track", F.col("run_id") % 40), "track", "run_id").select("track", "run_id")
+    return V.first_per_track(_evaluation(spark, d).withColumn("track", F.floor(F.col("run_id") / 100)), "track", "run_id").select("track", "run_id")
 
 
-@query("p13_ranking_metrics", _EVAL + ", f AS (SELECT ev.* FROM ev JOIN (SELECT min(run_id) AS run_id FROM ev GROUP BY run_id % 400) USING (run_id)) SELECT count(*) AS tracks, round(avg(CASE WHEN matched_rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN matched_rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_3, round(avg(CASE WHEN matched_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5, round(avg(CASE WHEN matched_rank IS NULL THEN 0.0 ELSE 1.0 / matched_rank END), 6) AS mrr, round(quantile_cont(closest_distance, 0.5), 6) AS median_distance FROM f")
+@query(
+    "p13_ranking_metrics",
+    _EVAL + """, lab AS (SELECT run_id // 100 AS track, run_id FROM ch GROUP BY run_id), f AS (SELECT ev.* FROM ev JOIN (SELECT min(run_id) AS run_id FROM ev GROUP BY run_id // 100) USING (run_id))
+, n AS (SELECT (SELECT count(*) FROM lab) AS labelled, (SELECT count(*) FROM ev) AS evaluated)
+SELECT count(*) AS tracks, round(avg(CASE WHEN matched_rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN matched_rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_3, round(avg(CASE WHEN matched_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5, round(avg(CASE WHEN matched_rank IS NULL THEN 0.0 ELSE 1.0 / matched_rank END), 6) AS mrr, round(quantile_cont(closest_distance, 0.5), 6) AS median_distance,
+ round(avg(selected), 6) AS mean_selected, any_value(labelled) AS labelled, any_value(evaluated) AS evaluated, any_value(evaluated) - count(*) AS duplicate, any_value(labelled) - any_value(evaluated) AS skipped FROM f, n""",
+)
 def p13(spark, d):
-    rows = V.first_per_track(_evaluation(spark, d).withColumn("track", F.col("run_id") % 400), "track", "run_id")
-    return V.ranking_metrics(rows).select("tracks", *[r6(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "median_distance")])
+    track = F.floor(F.col("run_id") / 100).alias("track")
+    labelled = _champions(spark, d).select("run_id", track).distinct()  # runs with a single order have no choice and are skipped
+    m = V.ranking_metrics(labelled, _evaluation(spark, d))
+    return m.select("tracks", *[r6(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "median_distance", "mean_selected")], "labelled", "evaluated", "duplicate", "skipped")
 
 
 _REPORTS = "SELECT o_orderkey AS run_id, o_orderkey % 3 AS schema_version, CASE WHEN o_custkey % 5 <> 0 THEN o_orderpriority END AS algorithm, o_orderdate AS generated_at, 'v/' || CAST(o_custkey AS VARCHAR) AS video FROM orders"
@@ -67,15 +83,22 @@ def f1(spark, d):
 # ---------------------------------------------------------------- P: learning
 
 
-@query("p1_history_diagnostics", """WITH r AS (SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 50 END AS track_id, o_orderkey % 13 <> 0 AS valid_json, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 5 END AS chosen_index, n AS n_selections FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
-SELECT run_id, CASE WHEN track_id IS NULL THEN 'missing_track' WHEN track_id = 7 THEN 'current_track' WHEN NOT valid_json THEN 'invalid_json' WHEN chosen_index IS NULL THEN 'ambiguous_choice' WHEN n_selections < 2 OR chosen_index >= n_selections THEN 'invalid_selections' END AS skip_reason FROM r""")
-def p1(spark, d):
+_HISTORY = """WITH r AS (SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 50 END AS track_id, o_orderkey % 13 <> 0 AS valid_json, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 5 END AS chosen_index, n AS n_selections FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT run_id, CASE WHEN track_id IS NULL THEN 'missing_track' WHEN track_id = 7 THEN 'current_track' WHEN NOT valid_json THEN 'invalid_json' WHEN chosen_index IS NULL THEN 'ambiguous_choice' WHEN n_selections < 2 OR chosen_index >= n_selections THEN 'invalid_selections' END AS skip_reason FROM r"""
+
+
+def _diagnosed(spark, d):
     n = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count(F.lit(1)).alias("n_selections"))
     o, k = R.table(spark, d, "orders"), F.col("o_orderkey")
     r = o.select(k.alias("run_id"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey") % 50).alias("track_id"), (k % 13 != 0).alias("valid_json"), F.when(k % 4 != 0, k % 5).alias("chosen_index")).join(n, "run_id", "left")
     return P.history_diagnostics(r, F.lit(7)).select("run_id", "skip_reason")
 
 
+@query("p1_history_diagnostics", _HISTORY)
+def p1(spark, d):
+    return _diagnosed(spark, d)
+
+
 _BAD = "CASE WHEN l_partkey % 97 = 0 THEN 'NaN'::DOUBLE WHEN l_partkey % 89 = 0 THEN NULL ELSE l_discount END"
 
 
@@ -124,19 +147,51 @@ def p5(spark, d):
     return P.dedupe_pairs(_pairs(spark, d), "track", _DC[:2], ["report", "item", "l_partkey"], 1).groupBy("track").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("p6_fit_pairwise_ridge")
+_ROUNDED = ", ".join(f"round(d{i}, 1) AS r{i}" for i in range(2))
+
+
+@query("p5_duplicate_counts", f"WITH {R.SELECTIONS}{_PAIRS} SELECT track, count(*) AS pairs, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT track, {_ROUNDED}, count(*) AS n FROM pairs GROUP BY ALL) GROUP BY track")
+def p5c(spark, d):
+    return P.duplicate_pairs(_pairs(spark, d), "track", _DC[:2], 1)
+
+
+_REASONS = ("missing_track", "current_track", "invalid_json", "ambiguous_choice", "invalid_selections")
+
+
+@query("p1_history_counts", f"WITH {R.SELECTIONS}{_PAIRS}, h AS ({_HISTORY}), dup AS (SELECT CAST(sum(n - 1) AS BIGINT) AS x FROM (SELECT track, {_ROUNDED}, count(*) AS n FROM pairs GROUP BY ALL)) SELECT count(*) AS found, count(*) FILTER (skip_reason IS NULL) AS used, " + ", ".join(f"count(*) FILTER (skip_reason = '{r}') AS {r}" for r in _REASONS) + ", (SELECT x FROM dup) AS duplicate_pairs FROM h")
+def p1c(spark, d):
+    return P.diagnostics_counts(_diagnosed(spark, d), P.duplicate_pairs(_pairs(spark, d), "track", _DC[:2], 1))
+
+
+def _solved(source: str, k: int = 4) -> str:
+    """SQL of the weights w0.. of ridge systems (g_i_j, b_i) in source, by elimination, a step of columns at a time."""
+    columns = lambda step: [f"a{i}_{j}_{step}" for i in range(k) for j in range(k + 1)]
+    first = ", ".join([f"g_{min(i, j)}_{max(i, j)}" + (" + 4.0" if i == j else "") + f" AS a{i}_{j}_0" for i in range(k) for j in range(k)] + [f"b_{i} AS a{i}_{k}_0" for i in range(k)])
+    out = f"(SELECT track, {first} FROM {source})"
+    for p in range(k):
+        cell = lambda i, j: f"a{i}_{j}_{p} - a{i}_{p}_{p} * a{p}_{j}_{p} / a{p}_{p}_{p}" if i != p else f"a{p}_{j}_{p} / a{p}_{p}_{p}"  # noqa: B023, E731
+        out = f"(SELECT track, {', '.join(f'{cell(i, j)} AS a{i}_{j}_{p + 1}' for i in range(k) for j in range(k + 1))} FROM {out})"
+    return f"(SELECT track, {', '.join(f'a{i}_{k}_{k} AS w{i}' for i in range(k))} FROM {out})"
+
+
+_GRAM = [f"g_{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"b_{i}" for i in range(4)]
+_SUMS = ", sums AS (SELECT track, " + ", ".join([f"avg(d{i} * d{j}) AS g_{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"avg(d{i}) AS b_{i}" for i in range(4)]) + " FROM pairs GROUP BY track), total AS (SELECT 0 AS track, " + ", ".join(f"sum({c}) AS {c}" for c in _GRAM) + " FROM sums)"
+_LOGO = _SUMS + ", without AS (SELECT s.track, " + ", ".join(f"t.{c} - s.{c} AS {c}" for c in _GRAM) + f" FROM sums s, total t), solved AS {_solved('without')}, judged AS (SELECT track, count(*) AS n, sum(CASE WHEN abs(m) <= 1e-12 THEN 0.5 WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS correct FROM (SELECT track, d0 * w0 + d1 * w1 + d2 * w2 + d3 * w3 AS m FROM pairs JOIN solved USING (track)) GROUP BY track)"
+
+
+@query("p6_fit_pairwise_ridge", f"WITH {R.SELECTIONS}{_PAIRS}{_SUMS}, solved AS {_solved('total')} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(w{i}, 6) AS weight FROM solved" for i, c in enumerate(_DC)))
 def p6(spark, d):
-    return P.fit_pairwise_ridge(_pairs(spark, d), "track", _DC).select("feature", F.round("weight", 8).alias("weight"))
+    return P.fit_pairwise_ridge(_pairs(spark, d), "track", _DC).select("feature", r6("weight"))
 
 
-@query("p7_leave_one_group_out")
+@query("p7_leave_one_group_out", f"WITH {R.SELECTIONS}{_PAIRS}{_LOGO} SELECT track, n, CAST(correct AS DOUBLE) AS correct FROM judged")
 def p7(spark, d):
     return P.leave_one_group_out(_pairs(spark, d), "track", _DC)
 
 
-@query("p8_gate_model")
+@query("p8_gate_model", f"WITH {R.SELECTIONS}{_PAIRS}{_LOGO}, m AS (SELECT count(*) AS tracks, CAST(sum(n) AS BIGINT) AS pairs, sum(correct) / sum(n) AS accuracy FROM judged) SELECT tracks, pairs, round(CAST(accuracy AS DOUBLE), 6) AS accuracy, CASE WHEN tracks < 10 THEN 'too_few_tracks' WHEN accuracy <= 0.55 THEN 'accuracy_too_low' END AS reason, tracks >= 10 AND accuracy > 0.55 AS enabled FROM m")
 def p8(spark, d):
-    return P.gate_model(P.leave_one_group_out(_pairs(spark, d), "track", _DC))
+    return P.gate_model(P.leave_one_group_out(_pairs(spark, d), "track", _DC)).select("tracks", "pairs", r6("accuracy"), "reason", "enabled")
 
 
 @query("p9_score_preference", f"WITH {R.SELECTIONS}, f AS (SELECT report, item, l_partkey, l_quantity AS a, {_BAD} AS b0 FROM sel), g AS (SELECT *, CASE WHEN coalesce(isfinite(b0), false) THEN b0 END AS b1 FROM f), m AS (SELECT report, quantile_cont(b1, 0.5) AS med FROM g GROUP BY report), h AS (SELECT g.*, coalesce(b1, med, 0.0) AS b FROM g JOIN m USING (report)), u AS (SELECT report, item, l_partkey, 0.7 * (a - avg(a) OVER w) / CASE WHEN stddev_pop(a) OVER w > 1e-8 THEN stddev_pop(a) OVER w ELSE 1.0 END - 0.4 * (b - avg(b) OVER w) / CASE WHEN stddev_pop(b) OVER w > 1e-8 THEN stddev_pop(b) OVER w ELSE 1.0 END AS u FROM h WINDOW w AS (PARTITION BY report)) SELECT report, item, l_partkey, round(1 / (1 + exp(-greatest(-40.0, least(40.0, u)))), 6) AS preference FROM u")
@@ -145,7 +200,12 @@ def p9(spark, d):
     return P.score_preference(x, ["report"], {"a": 0.7, "b": -0.4}).select("report", "item", "l_partkey", r6("preference"))
 
 
-@query("p10_history_fingerprint", f"WITH {R.SELECTIONS} SELECT track, sha256(string_agg(k, '|' ORDER BY k)) AS fingerprint FROM (SELECT track, CAST(report AS VARCHAR) || ':' || CAST(item AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) AS k FROM sel) GROUP BY track")
+@query("p9_score_disabled", f"WITH {R.SELECTIONS} SELECT report, item, l_partkey, CAST(0.5 AS DOUBLE) AS preference FROM sel")
+def p9d(spark, d):
+    return P.score_preference(R.selections(spark, d), ["report"], {"l_quantity": 0.7}, enabled=False).select("report", "item", "l_partkey", "preference")
+
+
+@query("p10_history_fingerprint", f"WITH {R.SELECTIONS}, k AS (SELECT track, sha256(CAST(report AS VARCHAR) || ':' || CAST(item AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)) AS h FROM sel), p AS (SELECT track, h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM k GROUP BY ALL) SELECT track, sha256(string_agg(p || h, '' ORDER BY p)) AS fingerprint FROM p GROUP BY track")
 def p10(spark, d):
     key = F.concat_ws(":", F.col("report").cast("string"), F.col("item").cast("string"), F.col("l_partkey").cast("string"))
     return P.history_fingerprint(R.selections(spark, d), "track", key)
@@ -164,9 +224,9 @@ def h1(spark, d):
     return H.frame_pair_diff(R.pixels(spark, d)).select("video_id", "frame_idx", r6("mad"), r6("changed_pct"), "duplicate")
 
 
-@query("h2_motion_metrics", WX + _PD.format(seg="0") + f" SELECT video_id, {_MM} FROM pf GROUP BY video_id")
+@query("h2_motion_metrics", WX + _PD.format(seg="0") + f" SELECT video_id, {_MM}, count(*) + 1 AS frames, round((count(*) + 1) / 24.0, 6) AS duration, round(max(changed_pct), 6) AS max_changed_pct FROM pf GROUP BY video_id")
 def h2(spark, d):
-    return H.motion_metrics(H.frame_pair_diff(R.pixels(spark, d))).select("video_id", "pairs", *[r6(c) for c in _MC], "duplicates")
+    return H.motion_metrics(H.frame_pair_diff(R.pixels(spark, d))).select("video_id", "frames", r6("duration"), r6("max_changed_pct"), "pairs", *[r6(c) for c in _MC], "duplicates")
 
 
 @query("h3_first_last_mad", WX + ", e AS (SELECT video_id, arg_min(pixels, frame_idx) AS a, arg_max(pixels, frame_idx) AS b FROM pixels GROUP BY video_id) SELECT video_id, round(list_sum([abs(a[i] - b[i]) FOR i IN range(1, len(a) + 1)]) / len(a), 6) AS first_last_mad FROM e")
@@ -214,11 +274,24 @@ def h8(spark, d):
     return H.motion_gate(_user_motion(spark, d)).select("user_id")
 
 
-@query("h9_anchor_similarity", WX + ", p AS (SELECT a.video_id, a.frame_idx, unnest(a.pixels) AS x, unnest(b.pixels) AS y FROM pixels a JOIN pixels b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx + 1), m AS (SELECT video_id, frame_idx, corr(x, y) AS r, stddev_pop(x) AS sa, stddev_pop(y) AS sb, avg(abs(x - y)) AS mad FROM p GROUP BY ALL) SELECT video_id, frame_idx, round(CASE WHEN sa < 60 OR sb < 60 THEN 1 - mad / 255.0 ELSE r END, 6) AS similarity FROM m")
-def h9(spark, d):
+_SIMILAR = ", p AS (SELECT a.video_id, a.frame_idx, unnest(a.pixels) AS x, unnest(b.pixels) AS y FROM pixels a JOIN pixels b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx + 1), m AS (SELECT video_id, frame_idx, corr(x, y) AS r, stddev_pop(x) AS sa, stddev_pop(y) AS sb, avg(abs(x - y)) AS mad FROM p GROUP BY ALL), sim AS (SELECT video_id, frame_idx, CASE WHEN sa < 60 OR sb < 60 THEN 1 - mad / 255.0 ELSE r END AS similarity FROM m)"
+
+
+def _similarities(spark, d):
     x = R.pixels(spark, d)
     b = x.select("video_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("pixels").alias("next"))
-    return H.anchor_similarity(x.join(b, ["video_id", "frame_idx"]), ["video_id", "frame_idx"], "pixels", "next", 60.0).select("video_id", "frame_idx", r6("similarity"))
+    return H.anchor_similarity(x.join(b, ["video_id", "frame_idx"]), ["video_id", "frame_idx"], "pixels", "next", 60.0)
+
+
+@query("h9_anchor_similarity", WX + _SIMILAR + " SELECT video_id, frame_idx, round(similarity, 6) AS similarity FROM sim")
+def h9(spark, d):
+    return _similarities(spark, d).select("video_id", "frame_idx", r6("similarity"))
+
+
+@query("h9_anchor_gate", WX + _SIMILAR + " SELECT video_id, frame_idx // 2 AS clip, bool_and(coalesce(isfinite(similarity) AND similarity >= 0.5, false)) AS passed FROM sim GROUP BY ALL")
+def h9g(spark, d):
+    clips = _similarities(spark, d).withColumn("clip", F.floor(F.col("frame_idx") / 2).cast("int"))
+    return H.anchor_gate(clips, ["video_id", "clip"])
 
 
 @query("h10_to_gray", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 0.299 + l_discount * 0.587 + l_tax * 0.114, 6) AS luma, round((l_quantity + l_discount + l_tax) / 3.0, 6) AS mean FROM lineitem")
@@ -230,8 +303,13 @@ def h10(spark, d):
 @query("h11_error_isolation", "SELECT count(*) AS good, (SELECT count(*) FROM events WHERE NOT isfinite(CASE WHEN event_id % 50 = 0 THEN 'NaN'::DOUBLE ELSE value END)) AS bad FROM events WHERE event_id % 50 <> 0")
 def h11(spark, d):
     e = R.table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 50 == 0, float("nan")).otherwise(F.col("value")))
-    good, bad = H.isolate_errors(e, F.when(~is_finite(F.col("v")), "non-finite value"))
-    return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))
+    return H.error_summary(e, F.when(~is_finite(F.col("v")), "non-finite value"))
+
+
+@query("h11_isolated_errors", "SELECT event_id, 'non-finite value' AS error FROM events WHERE event_id % 50 = 0")
+def h11b(spark, d):
+    e = R.table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 50 == 0, float("nan")).otherwise(F.col("value")))
+    return H.isolate_errors(e, F.when(~is_finite(F.col("v")), "non-finite value"))[1].select("event_id", "error")
 
 
 # ---------------------------------------------------------------- J
@@ -314,6 +392,18 @@ def k4(spark, d):
     return K.idle_gaps(R.log_lines(spark, d), ["attempt"], 86400.0).select("line_no", F.round("gap", 3).alias("gap"))
 
 
+@query("k4_stage_overruns", WL + " SELECT attempt, round(s, 3) AS seconds FROM (SELECT attempt, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS s FROM lines GROUP BY attempt) WHERE s > 2500000")
+def k4b(spark, d):
+    return K.stage_overruns(R.log_lines(spark, d), ["attempt"], 2_500_000.0).select("attempt", F.round("seconds", 3).alias("seconds"))
+
+
+@query("k7_exit_classes", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'finished' WHEN 1 THEN 'allocation' WHEN 2 THEN 'stalled' WHEN 3 THEN 'timeout' ELSE 'failed' END AS outcome FROM events")
+def k7b(spark, d):
+    k = F.col("event_id") % 6
+    code = F.when(k == 0, 0).when(k == 1, 75).when(k == 2, 76).when(k == 3, 124).otherwise(k)
+    return R.table(spark, d, "events").select("event_id", K.exit_class(code).alias("outcome"))
+
+
 @query("k5_run_progress", "WITH n AS (SELECT doc_id % 20 AS run, doc_id, CASE WHEN quality = 1 THEN 'done' ELSE 'open' END AS status, CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'done' ELSE 'open' END AS was FROM labels) SELECT run, count(*) AS items, count(*) FILTER (status = 'done') AS finished, count(*) FILTER (status = 'done' AND was <> 'done') AS newly_finished, count(*) FILTER (status <> 'done') AS remaining FROM n GROUP BY run")
 def k5(spark, d):
     la = R.table(spark, d, "labels")
@@ -372,9 +462,9 @@ def a6(spark, d):
     return io.latest_only(R.table(spark, d, "events"), "user_id", "event_id", "ts").select("user_id", "event_id")
 
 
-@query("a8_publish_generation")
+@query("a8_publish_generation", "SELECT doc_id, lang FROM documents")
 def a8(spark, d):
-    path = _shared(spark)
+    path = shared_dir(spark)
     docs = R.table(spark, d, "documents").select("doc_id", "lang")
     io.publish_generation(docs.limit(0), path)
     io.publish_generation(docs, path)
@@ -383,21 +473,36 @@ def a8(spark, d):
 
 @query("a9_content_inventory")
 def a9(spark, d):
-    path = _shared(spark) + "/inventory"
+    path = shared_dir(spark) + "/inventory"
     R.table(spark, d, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).write.json(path)
     return io.content_inventory(spark, path).select("relative_path", "bytes", "sha256")
 
 
-@query("a10_validate_artifacts", """WITH a AS (SELECT page_id % 25 AS contract_id, CASE WHEN page_id % 9 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN page_id % 8 = 0 THEN 'other' ELSE 'clip' END AS kind, CASE WHEN page_id % 7 = 0 THEN '' ELSE '/' END || CAST(page_id % 40 AS VARCHAR) AS path, CASE WHEN page_id % 6 = 0 THEN -1 ELSE strlen(html) END AS bytes, CASE WHEN page_id % 5 = 0 THEN upper(sha256(html)) ELSE sha256(html) END AS sha, page_id FROM pages)
-SELECT page_id, concat_ws(',', CASE WHEN version <> 1 THEN 'version' END, CASE WHEN kind <> 'clip' THEN 'kind' END, CASE WHEN NOT starts_with(path, '/') THEN 'relative_path' END, CASE WHEN NOT regexp_full_match(sha, '[0-9a-f]{64}') THEN 'digest' END, CASE WHEN bytes < 0 THEN 'bytes' END, CASE WHEN count(*) OVER (PARTITION BY contract_id, path) > 1 THEN 'duplicate_path' END) AS violations FROM a""")
-def a10(spark, d):
+_ARTIFACTS = """WITH a AS (SELECT page_id % 25 AS contract_id, CASE WHEN page_id % 9 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN page_id % 8 = 0 THEN 'other' ELSE 'clip' END AS kind, CASE WHEN page_id % 7 = 0 THEN '' ELSE '/' END || CAST(page_id % 40 AS VARCHAR) AS path, CASE WHEN page_id % 6 = 0 THEN -1 ELSE strlen(html) END AS bytes, CASE WHEN page_id % 5 = 0 THEN upper(sha256(html)) ELSE sha256(html) END AS sha, page_id FROM pages)
+SELECT page_id, concat_ws(',', CASE WHEN version <> 1 THEN 'version' END, CASE WHEN kind <> 'clip' THEN 'kind' END, CASE WHEN NOT starts_with(path, '/') THEN 'relative_path' END, CASE WHEN NOT regexp_full_match(sha, '[0-9a-f]{64}') THEN 'digest' END, CASE WHEN bytes < 0 THEN 'bytes' END, CASE WHEN count(*) OVER (PARTITION BY contract_id, path) > 1 THEN 'duplicate_path' END) AS violations FROM a"""
+
+
+def _artifacts(spark, d):
     k = F.col("page_id")
     sha = F.sha2("html", 256)
-    a = R.table(spark, d, "pages").select(
+    return R.table(spark, d, "pages").select(
         "page_id", (k % 25).alias("contract_id"), F.when(k % 9 == 0, 2).otherwise(1).alias("version"), F.when(k % 8 == 0, "other").otherwise("clip").alias("kind"),
         F.concat(F.when(k % 7 == 0, "").otherwise("/"), (k % 40).cast("string")).alias("path"), F.when(k % 6 == 0, -1).otherwise(F.octet_length("html")).alias("bytes"), F.when(k % 5 == 0, F.upper(sha)).otherwise(sha).alias("sha256"),
     )
-    return io.validate_artifacts(a, 1, ["clip"]).select("page_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("a10_validate_artifacts", _ARTIFACTS)
+def a10(spark, d):
+    return io.validate_artifacts(_artifacts(spark, d), 1, ["clip"]).select("page_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("a10_verify_artifacts", "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'bytes,changed' WHEN page_id % 5 = 0 OR page_id % 4 = 0 THEN 'changed' ELSE '' END AS violations FROM pages")
+def a10v(spark, d):
+    k, size = F.col("page_id"), F.octet_length("html")
+    path = F.concat(F.lit("/"), k.cast("string"))
+    named = R.table(spark, d, "pages").select("page_id", F.lit(1).alias("contract_id"), F.lit(1).alias("version"), F.lit("clip").alias("kind"), path.alias("path"), F.when(k % 6 == 0, -1).otherwise(size).alias("bytes"), F.sha2("html", 256).alias("sha256"))
+    there = R.table(spark, d, "pages").where(k % 5 != 0).select(path.alias("path"), size.alias("bytes"), F.sha2(F.when(k % 4 == 0, "other").otherwise(F.col("html")), 256).alias("sha256"))
+    return io.validate_artifacts(named, 1, ["clip"], there).select("page_id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("a11_missing_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)")
@@ -411,16 +516,12 @@ def a12(spark, d):
     return io.report_documents(R.table(spark, d, "orders"), "o_custkey", 3, ["o_orderkey", "o_orderstatus"], "o_orderkey")
 
 
-def _shared(spark) -> str:
-    """A new folder that all executors share, for queries that write and read."""
-    import os
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SERIESMILL_SHARED")
-    if not root:
-        root = os.environ["SERIESMILL_SHARED"] = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
-    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+@query("a12_written_reports", "SELECT 3 AS schema_version, count(*) AS selections, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey", schema_version="BIGINT")
+def a12w(spark, d):
+    path = shared_dir(spark)
+    io.write_report_json(R.table(spark, d, "orders"), path, "o_custkey", 3, ["o_orderkey", "o_orderstatus"], "o_orderkey")
+    x = spark.read.schema("schema_version long, selections array<struct<o_orderkey:long>>").json(path)
+    return x.select("schema_version", F.size("selections").cast("long").alias("selections"), F.col("selections")[0]["o_orderkey"].alias("first_order"))
 
 
 # ---------------------------------------------------------------- A: report trees, L: streams
@@ -428,7 +529,7 @@ def _shared(spark) -> str:
 
 def _tree(spark, d) -> str:
     """Report documents of all customers, one a line, in folders of runs; some of them broken."""
-    root = _shared(spark)
+    root = shared_dir(spark)
     o = R.table(spark, d, "orders")
     one = io.report_documents(o, "o_custkey", 3, ["o_orderkey", "o_orderstatus"], "o_orderkey")
     text = F.when(F.col("o_custkey") % 30 == 1, F.lit("{broken")).otherwise(F.col("document"))
@@ -436,31 +537,57 @@ def _tree(spark, d) -> str:
     return f"{root}/tree"
 
 
-@query("a1_scan_reports")
+@query("a1_scan_reports", "SELECT CAST(o_custkey % 20 AS VARCHAR) AS run_id, CASE WHEN o_custkey % 30 = 1 THEN 'invalid_json' END AS skip_reason, CASE WHEN o_custkey % 30 <> 1 THEN CAST(count(*) AS INT) END AS n_selections FROM orders GROUP BY o_custkey")
 def a1(spark, d):
-    root = _tree(spark, d)
-    x = io._documents(spark, f"{root}/*/*.txt", io.REPORT, r"/run=(\d+)/", multi_line=False)
-    return x.select("run_id", F.when(F.col("_corrupt_record").isNotNull(), "invalid_json").alias("skip_reason"), F.size("selections").alias("n_selections"))
+    x = io.scan_reports(spark, _tree(spark, d), "run=*/*.txt", r"/run=(\d+)/", lines=True)
+    return x.select("run_id", "skip_reason", F.when(F.col("selections").isNotNull(), F.size("selections")).alias("n_selections"))
 
 
-@query("a2_scan_manifests")
+@query("a2_scan_manifests", "SELECT CAST(page_id % 5 AS VARCHAR) AS run_id, 2::BIGINT AS version, CASE WHEN page_id % 7 <> 0 THEN regexp_replace(lower(url) || '/a/b.wav', '/+', '/', 'g') END AS track_id FROM pages WHERE url IS NOT NULL")
 def a2(spark, d):
-    root = _shared(spark)
-    m = R.table(spark, d, "pages").where("url is not null").select((F.col("page_id") % 5).alias("run"), F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.col("url").alias("path")).alias("music"))).alias("value"))
+    root = shared_dir(spark)
+    m = R.table(spark, d, "pages").where("url is not null").select((F.col("page_id") % 5).alias("run"), F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.when(F.col("page_id") % 7 != 0, F.concat("url", F.lit("\\A\\.\\b.WAV"))).alias("path")).alias("music"))).alias("value"))
     m.write.partitionBy("run").text(root)
-    x = spark.read.schema(io.MANIFEST).json(f"{root}/*/*.txt")
-    return x.select("version", io.normalise_path(F.col("music.path")).alias("track_id"))
+    return io.scan_manifests(spark, root, "run=*/*.txt", r"/run=(\d+)/", lines=True).select("run_id", "version", "track_id")
 
 
 def _stream(spark, d, df, per_trigger: int = 1):
-    """df written as a few files and read back as a stream of files, in their order."""
+    """df written as a few files and read back as a stream of files."""
     from seriesmill.streaming.streams import stream_chunks
 
-    path = _shared(spark)
+    path = shared_dir(spark)
     df.write.parquet(f"{path}/in")
     return stream_chunks(spark, f"{path}/in", df.schema, per_trigger), path
 
 
+FILES = 4
+
+
+def _stream_of(spark, parts: list, by: str | None = None):
+    """Tables of one schema that arrive one after the other, each in one trigger of FILES files; by: the column that deals a table's rows."""
+    from seriesmill.streaming.streams import stream_chunks
+
+    path = shared_dir(spark)
+    for part in parts:
+        (part.repartition(FILES, by) if by else part.repartition(FILES)).write.mode("append").parquet(f"{path}/in")
+    return stream_chunks(spark, f"{path}/in", parts[0].schema, FILES), path
+
+
+def _thirds(df, order: str) -> list:
+    """Three tables of about equal size, in order of a column."""
+    df = stored(df)
+    edges = df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [1 / 3, 2 / 3], 0.001)
+    x = F.col(order).cast("double")
+    return [df.where(x <= edges[0]), df.where((x > edges[0]) & (x <= edges[1])), df.where(x > edges[1])]
+
+
+def _late_stream(spark, d):
+    """Log lines in three triggers by time, then lines of the first third once more, which come too late, and two lines far ahead."""
+    one, two, three = _thirds(R.log_lines(spark, d), "ts")
+    ahead = [one.limit(1).withColumn("ts", F.expr(f"ts + INTERVAL {years} YEARS")).withColumn("stage", F.lit("ahead")).withColumn("stream", F.lit("stderr")) for years in (20, 40)]
+    return _stream_of(spark, [one, two, three, one, *ahead])
+
+
 @query("l1_stream_chunks", "SELECT event_id, user_id FROM events")
 def l1(spark, d):
     from seriesmill.streaming.streams import run_to_table
@@ -469,37 +596,30 @@ def l1(spark, d):
     return run_to_table(s, path)
 
 
-def _run_complete(df, path: str):
-    """Runs an aggregate over a stream to its end; each trigger's whole result replaces the one before."""
-    q = df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda part, _: part.write.mode("overwrite").parquet(f"{path}/out")).start()
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
-
-
 @query("l2_stream_error_counts", WL + f" SELECT time_bucket(INTERVAL '6 hours', ts) AS start, stage, count(*) AS errors FROM lines WHERE {_ERR} GROUP BY ALL")
 def l2(spark, d):
-    from seriesmill.streaming.streams import error_counts
+    from seriesmill.streaming.streams import error_counts, run_to_table
 
-    s, path = _stream(spark, d, R.log_lines(spark, d), 8)
-    x = _run_complete(error_counts(s, "6 hours", "40 days"), path)
-    return x.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    s, path = _late_stream(spark, d)
+    x = run_to_table(error_counts(s, "6 hours", "1 hour"), path)
+    return x.where("stage <> 'ahead'").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("l3_stream_idle_sessions", WL + ", g AS (SELECT stage, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY stage ORDER BY ts) + INTERVAL '90 minutes' OR lag(ts) OVER (PARTITION BY stage ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM lines), h AS (SELECT *, sum(n) OVER (PARTITION BY stage ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT stage, min(ts) AS start, max(ts) + INTERVAL '90 minutes' AS end, count(*) AS lines FROM h GROUP BY stage, k".replace(" AS end,", ' AS "end",'))
 def l3(spark, d):
-    from seriesmill.streaming.streams import idle_sessions
+    from seriesmill.streaming.streams import idle_sessions, run_to_table
 
-    s, path = _stream(spark, d, R.log_lines(spark, d), 8)
-    x = _run_complete(idle_sessions(s, "stage", "90 minutes", "40 days"), path)
-    return x.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    s, path = _late_stream(spark, d)
+    x = run_to_table(idle_sessions(s, "stage", "90 minutes", "1 hour"), path)
+    return x.where("stage <> 'ahead'").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("l4_stream_dedupe_reports", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("l4_stream_dedupe_reports", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def l4(spark, d):
     from seriesmill.streaming.streams import dedupe_reports, run_to_table
 
-    x = R.table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    s, path = _stream(spark, d, x.unionByName(x).repartition(4))
+    x = R.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    s, path = _stream_of(spark, [x, x])
     return run_to_table(dedupe_reports(s, ["l_orderkey", "l_linenumber"]), path).select("l_orderkey", "l_linenumber")
 
 
@@ -507,16 +627,16 @@ def l4(spark, d):
 def l5(spark, d):
     from seriesmill.streaming.streams import quota_state, run_to_table
 
-    s, path = _stream(spark, d, _classes(spark, d).repartition(1), 1)
+    s, path = _stream_of(spark, _thirds(_classes(spark, d), "attempt"), "stage")
     return run_to_table(quota_state(s, 5), path)
 
 
-@query("l6_stream_recent_rules")
+@query("l6_stream_recent_rules", text_queries.bans_sql())
 def l6(spark, d):
     from seriesmill.plans.text_queries import PHRASES
     from seriesmill.streaming.streams import recent_rules, run_to_table
 
-    s, path = _stream(spark, d, R.prompts(spark, d).repartition(1), 1)
+    s, path = _stream_of(spark, _thirds(R.prompts(spark, d), "idx"), "run_id")
     return run_to_table(recent_rules(s, PHRASES, 2, 4), path).select("run_id", "idx", F.array_join("bans", ",").alias("bans"))
 
 
@@ -524,6 +644,6 @@ def l6(spark, d):
 def l7(spark, d):
     from seriesmill.streaming.streams import run_to_table, tail
 
-    path = _shared(spark)
+    path = shared_dir(spark)
     R.log_lines(spark, d).select("line").repartition(3).write.text(f"{path}/in")
     return run_to_table(tail(spark, f"{path}/in", 2), path).select("line")

@@ -97,8 +97,7 @@ def b13(spark, d):
         "o_orderkey", (32 * (1 + c % 40) + F.when(k % 5 == 0, 8).otherwise(0)).alias("width"), (8 * (k % 30) + F.when(c % 4 == 0, 3).otherwise(1)).alias("frames"),
         (F.col("o_totalprice") - 2000).alias("budget"), (k % 70).alias("shortest"), (c % 90).alias("longest"),
     )
-    rules = F.array(F.when(F.col("width") % 32 != 0, "width"), F.when(F.col("frames") % 8 != 1, "frames"), F.when(F.col("budget") <= 0, "budget"), F.when(F.col("shortest") > F.col("longest"), "lengths"))
-    return s.select("o_orderkey", F.array_join(F.filter(rules, lambda v: v.isNotNull()), ",").alias("violations"))
+    return s.select("o_orderkey", F.array_join(S.audit_settings(*[F.col(x) for x in ("width", "frames", "budget", "shortest", "longest")]), ",").alias("violations"))
 
 
 @query("b14_round_half_even", "SELECT o_orderkey, round_even((o_orderkey % 1000) / 8.0, 2) AS x, round_even((o_orderkey % 101) / 2.0, 0) AS y FROM orders")

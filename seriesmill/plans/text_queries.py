@@ -67,7 +67,11 @@ _LIST = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 _BANS = f", bans AS (SELECT run_id, idx, [p FOR p IN {_LIST} IF contains(r, p)][1:4] AS bans FROM (SELECT run_id, idx, lower(coalesce(string_agg(text, ' ') OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS r FROM prompts))"
 
 
-@query("t5_recent_phrase_bans", WP + _BANS + " SELECT run_id, idx, array_to_string(bans, ',') AS bans FROM bans")
+def bans_sql() -> str:
+    return WP + _BANS + " SELECT run_id, idx, array_to_string(bans, ',') AS bans FROM bans"
+
+
+@query("t5_recent_phrase_bans", bans_sql())
 def t5(spark, d):
     return T.recent_phrase_bans(R.prompts(spark, d), PHRASES, 2, 4).select("run_id", "idx", F.array_join("bans", ",").alias("bans"))
 
@@ -128,6 +132,12 @@ def t12b(spark, d):
     return T.batch_hash(R.table(spark, d, "documents"), "source", "doc_id", "text").withColumnRenamed("source", "batch")
 
 
+@query("t12_batch_hash_with_settings", "SELECT source AS batch, sha256('encoder=e5;negative=blur;' || string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), ',' ORDER BY doc_id)) AS batch_sha256 FROM documents GROUP BY source")
+def t12c(spark, d):
+    x = T.batch_hash(R.table(spark, d, "documents"), "source", "doc_id", "text", {"negative": "blur", "encoder": "e5"})
+    return x.withColumnRenamed("source", "batch")
+
+
 @query("t13_diversity_assignment", WP + _BANS.replace("2 PRECEDING AND", "8 PRECEDING AND").replace("[1:4]", "[1:12]") + f" SELECT run_id, idx, 'mode: ' || {_MODES}[idx % 7 + 1] || '; effect: ' || CAST((idx * 7 + idx // 7) % 12 AS VARCHAR) || '; reaction: ' || CASE WHEN idx % 5 = 4 THEN 'allowed' ELSE 'none' END || CASE WHEN len(bans) > 0 THEN '; avoid: ' || array_to_string(bans, ', ') ELSE '' END AS assignment FROM bans")
 def t13(spark, d):
     return T.diversity_assignment(R.prompts(spark, d), MODES, 12, 7, PHRASES).select("run_id", "idx", "assignment")
