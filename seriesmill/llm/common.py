@@ -1,17 +1,15 @@
-"""Shared helpers: byte-level hashing in numpy, Arrow text access, and the folder that all executors share."""
+"""Shared helpers: byte-level hashing in numpy, Arrow text access, and sizes of blocks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesmill.sources.shared import shared_dir, stored  # noqa: F401
+
 U = np.uint64
 _A, _B, _C = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 #: A random 64-bit odd number for each byte value.
@@ -25,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SERIESMILL_SHARED")
-    if not root:
-        root = os.environ["SERIESMILL_SHARED"] = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
-    return f"{root.rstrip('/')}/seriesmill-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def blocks_for(docs: DataFrame, text: str, block_bytes: int, least: int = 64) -> int:
     """How many blocks of about block_bytes of text docs make."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
