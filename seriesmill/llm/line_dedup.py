@@ -1,13 +1,14 @@
 """Line dedup by pairwise alignment (operator 9).
 
 A line goes if any earlier document's alignment with its own document deletes it. Documents that may be paired are found
-through hashes of what they share, whatever its frequency. Each pair is aligned by patience diff, and the aligned common
-blocks are deleted from the later document; blocks are judged on the input.
+through hashes of shared lines, rare ones first: a line that at most `rare` earlier documents hold leads to all of them.
+Each pair is aligned by patience diff, and the aligned common blocks are deleted from the later document; blocks are
+judged on the input.
 
 Not all pairs need aligning for the result of all. Lines of one document only count alike in any alignment with others,
 so documents that are equal but for them (of the same form) do the same to a later document, and the first stands for
-all. A document's partners are tried from the nearest backwards, in rounds that grow eightfold, until all that it shares
-is deleted or no partner is left.
+all. What the rare lines' partners leave of frequent lines is tried exactly as well: with the documents that hold them,
+from the nearest backwards, in rounds that grow eightfold, until all that is shared is deleted or no partner is left.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def runs(lines: np.ndarray, sizes: np.ndarray, first: np.ndarray, least_words: i
     return h, start, end
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, chunk: int = 4096, keep_text: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, chunk: int = 4096, rare: int = 4, keep_text: bool = True) -> DataFrame:
     """id, n_lines, n_removed, partners, kept_sha256, and kept_text if asked: one row for each row of docs.
 
     Lines end at \\n and are equal if equal without white space at their ends. "Earlier" is by id, and by the text's hash
@@ -208,7 +209,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
 
     def rest(tried: int):
-        """What is still to do after the nearest `tried` partners: hashes of runs that aren't deleted as a whole."""
+        """What is still to do after the nearest `tried` partners of frequent lines: hashes of runs that aren't deleted as a whole."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,7 +224,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     total = np.concatenate([[0], np.cumsum(open_)])
                     a, b = slice(at[k], at[k + 1]), first[k]
                     some = set(h[a][total[end[a] - b] > total[start[a] - b]].tolist())
-                    left.append([x for x in todo if x["r"] > tried and x["h"] in some])
+                    left.append([x for x in todo if x["r"] > max(tried, rare) and x["h"] in some])
                     dead.append(both)
                 keep = pa.array([k for k, x in enumerate(left) if x], pa.int64())
                 cols = [batch.column("d"), batch.column("lines"), batch.column("sizes"), pa.array(left, batch.column("todo").type), pa.array(dead, pa.list_(pa.int32()))]
@@ -233,16 +234,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     state = stored(text_of.join(todo, "d").withColumn("dead", F.array().cast("array<int>")))
     parts = [copies.where(F.col("words") >= least_words).join(text_of, "d").select(F.col("d").alias("later"), F.sequence(F.lit(0), F.size("lines") - 1).alias("gone"), F.lit(1).cast("long").alias("partners"))]
-    tried, upto = 0, 1
+    tried, upto = 0, rare
     while state.limit(1).count():
-        want = state.select(F.col("d").alias("later"), F.explode("todo").alias("x")).select("later", F.col("x.h").alias("h"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("x.r") - upto), F.col("x.r") - 1 - tried)).alias("place"))
+        todo = state.select(F.col("d").alias("later"), F.explode("todo").alias("x")).select("later", "x.h", "x.r")
+        todo = todo.where(F.col("r") <= rare) if upto == rare else todo  # the first round is that of rare lines
+        want = todo.select("later", "h", F.explode(F.sequence(F.greatest(F.lit(0), F.col("r") - upto), F.col("r") - 1 - tried)).alias("place"))
         pairs = want.join(holders, ["h", "place"]).select("later", "earlier").distinct()
         both = pairs.join(early, "earlier").join(state.select(F.col("d").alias("later"), "lines", "sizes"), "later").select("later", "early_lines", "lines", "sizes")
         aligned = both.mapInArrow(align, "later struct<i:long,t:long>, gone array<int>")
         part = stored(aligned.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count(F.lit(1)).alias("partners")))
         parts.append(part)
-        state = stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(upto), state.schema))
-        tried, upto = upto, upto * 8
+        state = stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(tried if upto == rare else upto), state.schema))
+        tried, upto = (0, 1) if upto == rare else (upto, upto * 8)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
