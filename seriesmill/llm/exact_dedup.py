@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.llm.common import stored
+
 #: Runs of these become one space before texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -113,21 +115,19 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE, " ")
 
 
-_LAST = 2**63 - 1  # stands for a null id: it sorts last
-
-
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
     for batch in batches:
         for key, low, n in zip(batch.column("digest").to_pylist(), batch.column("low").to_pylist(), batch.column("n").to_pylist()):
-            low = _LAST if low is None else low
             had = index.get(key)
-            index.set(key, (low, n) if had is None else (min(low, had[0]), n + had[1]))
+            if had is not None:
+                low, n = had[0] if low is None else low if had[0] is None else min(low, had[0]), n + had[1]
+            index.set(key, (low, n))
     rows = list(index.items())
     for i in range(0, len(rows), 20_000):
         part = rows[i : i + 20_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in part], pa.binary()), pa.array([None if v[0] == _LAST else v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())],
+            [pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())],
             names=["digest", "low", "n"],
         )
 
@@ -135,10 +135,15 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOLDED = "digest binary, low long, n long"
 
 
-def group_digests(digests: DataFrame) -> DataFrame:
-    """(digest, low, n) of (digest, id): smallest id and number of rows of every digest. Null ids count as rows and sort last."""
+def group_digests(digests: DataFrame, index_rows: int = 500_000) -> DataFrame:
+    """(digest, low, n) of (digest, id): smallest id and number of rows of every digest. Null ids count as rows and sort last.
+
+    Each input partition folds its own copies; then shards of the digest space, so many that one gets about index_rows of
+    the rows at most, whatever the session's number of shuffle partitions: that bounds an index.
+    """
     own = digests.select("digest", F.col("id").alias("low"), F.lit(1).cast("long").alias("n")).mapInArrow(_fold, _FOLDED)
-    return own.repartition("digest").mapInArrow(_fold, _FOLDED)
+    shards = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-digests.count() // index_rows))
+    return own.repartition(shards, "digest").mapInArrow(_fold, _FOLDED)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -147,13 +152,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text is the empty text. The row with the smallest id stays; rows that repeat that id and text are told apart by
     nothing, so all of them say kept, and `keep_rows` thins them to one. If all ids of a group are null, keep_id is null
     and all its rows are kept. An empty table gives an empty result. Other columns, whatever their names, pass through.
-    The digest join moves only the carried columns; groups of one aren't joined, and Spark may split a group's rows.
+    Digests are SHA-256, which stand for the texts that they are taken from. If the text isn't carried, rows are written
+    with their digests and read twice; else the digests are taken twice, which is less than writing the texts. The digest
+    join moves only the carried columns; groups of one aren't joined, and Spark may split a group's rows.
     """
+    names = docs.columns if carry is None else carry
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col(f"`{id_col}`").alias("me"),
         F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest"),
     )
+    rows = rows if text_col in names else stored(rows)
     groups = group_digests(rows.select("digest", F.col("me").alias("id"))).where("n > 1")
     out = rows.join(groups, "digest", "left")
     keep = F.when(F.col("n").isNull(), F.col("me")).otherwise(F.col("low"))
