@@ -1,7 +1,7 @@
 """Near-duplicates by consistent weighted sampling (operator 3).
 
-A document is its set of five-word shingles, weighted by TF-IDF over the whole corpus, w = (1 + ln tf)(1 + IDF ln(N/df) / ln N).
-The inverse document frequency is damped by IDF = 0.1: shingles that a family of copies shares are frequent because of
+A document is its set of five-word shingles, weighted by TF-IDF over the whole corpus, w = (1 + ln tf)(1 + idf ln(N/df) / ln N).
+The inverse document frequency is damped by idf (0.1): shingles that a family of copies shares are frequent because of
 the copies, and with full weight for rare shingles a large family would not be similar to itself any more.
 
 1. Blocks of documents send their shingles' hashes to buckets (ordered, as differences), which return the document
@@ -27,14 +27,11 @@ from pyspark.sql import functions as F
 from seriesmill.llm.common import U, _A, _B, _C, blocks_for, mix, shingle_hashes, stored, words_of
 from seriesmill.llm.components import components
 
-IDF = 0.1
 _LOW16, _ROWS = U(0xFFFF), "block int, bucket int, blob binary"
-#: Pairs that agree in fewer samples than this part are far below the threshold (six standard deviations for 64 samples).
-_AGREE = 0.45
 
 
-def weights(tf: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
-    return (1 + np.log(tf)) * (1 + IDF * np.log(np.maximum(total / df, 1.0)) / max(np.log(total), 1e-9) if total > 1 else np.ones(len(tf)))
+def weights(tf: np.ndarray, df: np.ndarray, total: int, idf: float) -> np.ndarray:
+    return (1 + np.log(tf)) * (1 + idf * np.log(np.maximum(total / df, 1.0)) / max(np.log(total), 1e-9) if total > 1 else np.ones(len(tf)))
 
 
 def block_shingles(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,10 +107,12 @@ def _features(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.uint64) | (high.astype(np.uint64) << U(32)), np.frombuffer(blob, np.float32, n, 6 * n)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, n_samples: int = 64, rows: int = 4, block_bytes: int = 4 << 20, piece: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, n_samples: int = 64, rows: int = 4, idf: float = 0.1, agree_from: float = 0.45, block_bytes: int = 4 << 20, piece: int = 256) -> DataFrame:
     """id, class_id, class_size, kept: one row for each row of docs; class_id is the smallest id of its class.
 
-    Documents are in one class if a chain of links of at least `threshold` joins them. Words are runs of letters, digits
+    Documents are in one class if a chain of links of at least `threshold` joins them. idf: how much rare shingles weigh
+    more than frequent ones. Candidates that agree in fewer of the samples than agree_from aren't verified: for 64
+    samples and a threshold of 0.8 that is six standard deviations below what a link has; 0 verifies all. Words are runs of letters, digits
     and characters outside ASCII, in lower case; a text of 1 to words-1 words is one shingle, and a text without words
     (null, empty, punctuation) is like no other. A row with a null id is in no class (class_id null) and kept. Rows that
     repeat an id are rows of one class, and all of them say kept if their id is the class's. Empty tables give an empty
@@ -182,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             df_of[at + np.cumsum(gap)] = value
             at += n
         df, size = df_of[run], len(ids)
-        w = weights(tf, df, total)
+        w = weights(tf, df, total, idf)
         sums, shared = np.bincount(row, weights=w, minlength=size), np.bincount(row, weights=w * (df > 1), minlength=size)
         able = (sums > 0) & (shared >= threshold * sums * (1 - 1e-9)) & np.array([i is not None for i in ids])
         pick = np.flatnonzero(able[row])
@@ -215,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(describe, "id long, digest long, total double, shared double, sample binary, features binary"))
 
     # one node for each different content, named by its smallest id
-    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.max("sample").alias("sample"), F.max("total").alias("total"), F.max("shared").alias("shared")))
+    nodes = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.max("sample").alias("sample"), F.max("total").alias("total"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies")))
     features = seen.where("features is not null").groupBy("digest").agg(F.max("features").alias("features"))
     full = nodes.select("digest", "node", "total").join(features, "digest").select("node", "total", "features")
     size = 4 * rows
@@ -250,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # two documents share no more than the smaller of their shingles of frequency two or more
     within = lambda m, t: m >= (threshold - 1e-6) * (t - m)
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = with_facts(with_facts(stars, "a"), "b").where(within(F.least("shared_a", "shared_b"), F.col("total_a") + F.col("total_b"))).where(agree("sample_a", "sample_b") >= int(_AGREE * n_samples)).select("a", "b")
+    stars = with_facts(with_facts(stars, "a"), "b").where(within(F.least("shared_a", "shared_b"), F.col("total_a") + F.col("total_b"))).where(agree("sample_a", "sample_b") >= int(agree_from * n_samples)).select("a", "b")
     found = stored(links(stored(stars)))
     roots = components(found)
 
@@ -276,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             js = js[within(np.minimum(shared[js], shared[i]), total[js] + total[i])]
             same = s[js] == s[i]
             first = same.reshape(len(js), n_samples // rows, rows).all(2).argmax(1)  # a pair counts in the first bucket that it shares
-            js = js[(first == band) & (same.sum(1) >= int(_AGREE * n_samples))]
+            js = js[(first == band) & (same.sum(1) >= int(agree_from * n_samples))]
             for j in js:
                 if part[i] == part[j]:
                     continue
@@ -291,10 +290,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = stored(cross.join(full.select("node", "features"), "node").groupBy("key", "p", "q").applyInArrow(compare, "a long, b long"))
     if not more.isEmpty():
         roots = components(found.unionByName(more))
-    classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
-    out = seen.select("id", "digest").join(classes, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    sizes = out.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
-    return out.join(sizes, "class_id", "left").select("id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    # sizes of classes from the numbers of copies of their contents; only rows of contents that are in a class are joined
+    classes = nodes.join(roots, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("class_id"))
+    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
+    classes = classes.join(sizes, "class_id").where("class_size > 1").select("digest", "class_id", "class_size")
+    out = seen.select("id", "digest").join(classes, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
 
 
 def _blobs(rows: list[tuple]) -> pa.Table:

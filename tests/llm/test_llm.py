@@ -208,7 +208,7 @@ def brute_near(texts, threshold=0.8):
         w = regex.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", (t or "").lower())
         sh[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
     df, n = Counter(k for c in sh.values() for k in c), len(texts)
-    w = {i: {k: (1 + math.log(v)) * (1 + near_dedup.IDF * math.log(n / df[k]) / math.log(n)) for k, v in c.items()} for i, c in sh.items()}
+    w = {i: {k: (1 + math.log(v)) * (1 + 0.1 * math.log(n / df[k]) / math.log(n)) for k, v in c.items()} for i, c in sh.items()}
     root = {i: i for i in texts}
 
     def find(x):
