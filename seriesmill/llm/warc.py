@@ -3,16 +3,17 @@
 A capture is three records: a request, a response (or a revisit that refers to an earlier response with the same
 payload), and metadata; the last two name the request in WARC-Concurrent-To. Archives are written by Spark's text
 writer, whose record separator is the two line ends that close a WARC record, so they go through Spark's commit
-protocol to whatever store the shared folder is in. Reading takes whole files as binary, so the writer bounds a file
-by `captures_per_file`.
+protocol to whatever store the shared folder is in. Reading takes whole compressed files as binary, so the writer bounds
+a file by `file_bytes` of payload; a file's records are inflated and parsed as a stream, one after the other.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +60,26 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return rows.join(groups, "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_archives(captures: DataFrame, path: str, captures_per_file: int = 5000) -> None:
-    """Writes the three records of each capture of plan_captures as gzipped WARC files below path."""
+def write_archives(captures: DataFrame, path: str, file_bytes: int = 256 << 20, captures_per_file: int = 5000) -> None:
+    """Writes the three records of each capture of plan_captures as gzipped WARC files below path.
+
+    A file holds at most captures_per_file captures and about file_bytes of payload: captures are written by classes of
+    payload size (a factor of 16 wide), each with as many to a file as its largest payload allows; a larger one has a
+    file of its own. Classes that don't occur aren't run; most corpora have one or two.
+    """
+    size = F.octet_length("payload")
+    small = file_bytes // captures_per_file
+    width = lambda k: small * 16**k
+    place = F.when(size <= small, 0)
+    for k in range(1, 9):
+        place = place.when(size <= width(k), k)
+    place = place.otherwise(9)
+    classes = sorted(r["k"] for r in captures.select(place.alias("k")).distinct().collect())
+    for k in classes:
+        _write(captures if len(classes) == 1 else captures.where(place == k), path, max(1, min(captures_per_file, file_bytes // width(k))))
+
+
+def _write(captures: DataFrame, path: str, captures_per_file: int) -> None:
     key, empty = F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("")
     rows = captures.withColumn("row", F.uuid())
     request = _uuid(F.lit("request"), F.col("row"))
@@ -79,38 +98,61 @@ def write_archives(captures: DataFrame, path: str, captures_per_file: int = 5000
     meta = _record("metadata", _uuid(F.lit("metadata"), F.col("row")), F.col("url"), "application/warc-fields", fields, with_request)
     records = F.array(_record("request", request, F.col("url"), "application/http; msgtype=request", get), F.when(F.col("refers_to").isNull(), full).otherwise(again), meta)
     out = rows.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
-
-
-def _inflate(data: bytes) -> bytes:
-    """Plain, gzipped as one member, or one member for each record."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):  # cut short: what can be read
-        d = zlib.decompressobj(31)
-        return d.decompress(data)
-
-
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record, by Content-Length. Stops at what isn't a record."""
-    at, n = 0, len(data)
-    while at < n:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
+    out.write.mode("append").option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+
+
+class _Members(io.RawIOBase):
+    """The plain bytes of a gzip file of any number of members; ends where the file is cut short or broken."""
+
+    def __init__(self, data: bytes, step: int = 1 << 16):
+        self.data, self.step, self.at = data, step, 0
+        self.inflate, self.rest = zlib.decompressobj(31), memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.rest:
+            if self.inflate.eof:
+                self.at -= len(self.inflate.unused_data)
+                self.inflate = zlib.decompressobj(31)
+            piece = self.data[self.at : self.at + self.step]
+            self.at += len(piece)
+            try:
+                self.rest = memoryview(self.inflate.decompress(piece))
+            except zlib.error:
+                return 0
+            if not piece:
+                break
+        n = min(len(out), len(self.rest))
+        out[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _opened(data: bytes) -> BinaryIO:
+    """The file's plain bytes as a stream, if it is plain, gzipped as one member, or in a member for each record."""
+    return io.BufferedReader(_Members(data), 1 << 20) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+
+
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record, by Content-Length. Stops at what isn't a record, or where the file is cut short."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line.startswith(b"WARC/"):
             return
         head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             name, _, value = line.partition(b":")
             head[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
         size = head.get("content-length", "")
         if not size.isdigit():
             return
-        at = end + 4 + int(size)
-        yield head, data[end + 4 : at]
+        block = stream.read(int(size))
+        if len(block) < int(size):
+            return
+        yield head, block
 
 
 RECORD = "record_id string, concurrent_to string, warc_type string, target_uri string, payload_digest string, refers_to string, http_head string, payload binary, payload_bytes long, payload_sha1 string"
@@ -121,7 +163,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column("content"):
             rows, held = [], 0
-            for head, block in parse_records(_inflate(raw.as_py())):
+            for head, block in parse_records(_opened(raw.as_py())):
                 http, payload = None, block
                 if head.get("content-type", "").startswith("application/http"):
                     a, _, payload = block.partition(b"\r\n\r\n")
@@ -141,7 +183,7 @@ def _batch(rows: list, names: list) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the WARC files (plain or gzipped) below path."""
+    """One row for each record of the WARC files (plain or gzipped) below path; none if there are no files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(_parsed, RECORD)
 
