@@ -94,16 +94,17 @@ class LabelModel:
     """Each class's rates of the labellers' votes, and the classes' shares. Class 0 is good, class k + 1 bad in the way that labeller k sees.
 
     One labeller sees one kind of junk, so a bad document gets good votes from most of them; a single bad class would
-    fit one kind and leave the others among the good. A rate of votes against good documents is held to `alarm`, the
-    rate that the labellers' limits are set for.
+    fit one kind and leave the others among the good. What is known beforehand enters as priors that count as many
+    documents as `trust` says, in parts of all: that a labeller seldom votes against a good document (`alarm`), and
+    often against its own kind of bad ones. The votes move every rate from there.
     """
 
-    def __init__(self, labellers: int, alarm: float = 0.005):
-        self.alarm = alarm
+    def __init__(self, labellers: int, alarm: float = 0.002, trust: float = 0.25):
         self.share = np.array([0.85] + [0.15 / labellers] * labellers)
-        self.rate = np.tile(np.array([0.02, 0.1, 0.88]), (labellers + 1, labellers, 1))
+        self.rate = np.tile(np.array([alarm, 0.1, 0.9 - alarm]), (labellers + 1, labellers, 1))
         for k in range(labellers):
             self.rate[k + 1, k] = 0.8, 0.1, 0.1
+        self.prior, self.trust = self.rate.copy(), trust
 
     def classes(self, v: np.ndarray) -> np.ndarray:
         """The probability of each class for documents with these votes."""
@@ -118,16 +119,13 @@ class LabelModel:
 
     def fit(self, v: np.ndarray, n: np.ndarray, rounds: int = 200) -> LabelModel:
         """v: different vote patterns; n: how often each comes."""
+        votes_against = np.stack([v == k for k in (BAD, NONE, GOOD)], 2).astype(float)
         for _ in range(rounds):
             w, before = self.classes(v) * n[:, None], self.rate.copy()
-            self.share = w.sum(0) + 0.1
-            self.share /= self.share.sum()
-            for c in range(len(self.share)):
-                for k in range(v.shape[1]):
-                    seen = np.bincount(v[:, k] + 1, weights=w[:, c], minlength=3) + 0.1
-                    self.rate[c, k] = seen / seen.sum()
-                    if c == 0 and self.rate[0, k, 0] > self.alarm:
-                        self.rate[0, k] = self.alarm, *(self.rate[0, k, 1:] * (1 - self.alarm) / self.rate[0, k, 1:].sum())
+            total = w.sum(0)
+            self.share = (total + 0.1) / (total + 0.1).sum()
+            seen = np.einsum("pc,pkt->ckt", w, votes_against) + self.prior * (self.trust * total + 1)[:, None, None]
+            self.rate = seen / seen.sum(2, keepdims=True)
             if np.abs(self.rate - before).max() < 1e-7:
                 break
         return self
@@ -155,25 +153,27 @@ def hashed_features(m: np.ndarray, words: np.ndarray, first: np.ndarray) -> tupl
     )
 
 
-def fit_linear(row, bucket, value, target: np.ndarray, weight: np.ndarray, epochs: int = 30, rate: float = 0.5, shrink: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic scorer for soft targets, with the bias last."""
+def fit_linear(row, bucket, value, target: np.ndarray, weight: np.ndarray, steps: int = 800, rate: float = 0.5, shrink: float = 1e-5) -> np.ndarray:
+    """Weights of a logistic scorer for soft targets, with the bias last: `steps` steps at least, and 12 times over the rows."""
     w, g = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-6)
     n = len(target)
     order = np.argsort(row, kind="stable")
     row, bucket, value = row[order], bucket[order], value[order]
     first = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(2)
-    for _ in range(epochs):
-        perm = rng.permutation(n)
-        for k in range(0, n, 512):
-            own = perm[k : k + 512]
-            c = first[own + 1] - first[own]
-            at = np.repeat(first[own] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
-            r = np.repeat(np.arange(len(own)), c)
-            z = np.bincount(r, weights=w[bucket[at]] * value[at], minlength=len(own)) + w[-1]
+    parts, perm = [], rng.permutation(n)
+    for k in range(0, n, 512):  # a batch's rows stay together, so that its buckets are sorted once
+        own = perm[k : k + 512]
+        c = first[own + 1] - first[own]
+        at = np.repeat(first[own] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
+        used, back = np.unique(bucket[at], return_inverse=True)
+        parts.append((own, np.repeat(np.arange(len(own), dtype=np.int32), c), back.astype(np.int32), used, value[at]))
+    for _ in range(max(12, -(-steps // max(1, len(parts))))):
+        for k in rng.permutation(len(parts)):
+            own, r, back, used, x = parts[k]
+            z = np.bincount(r, weights=w[used][back] * x, minlength=len(own)) + w[-1]
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[own]) * weight[own] / len(own)
-            used, back = np.unique(bucket[at], return_inverse=True)
-            d = np.bincount(back, weights=e[r] * value[at]) + shrink * w[used]
+            d = np.bincount(back, weights=e[r] * x, minlength=len(used)) + shrink * w[used]
             g[used] += d * d
             w[used] -= rate * d / np.sqrt(g[used])
             g[-1] += e.sum() ** 2
@@ -189,7 +189,7 @@ def _each(batches: Iterator[pa.RecordBatch], column: str):
             yield batch.slice(i, j - i), m, words, first
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, most_rows: int = 20_000, keep_from: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, most_rows: int = 8_000, keep_from: float = 0.5) -> DataFrame:
     """struct `row` of the columns carry (all, by default), votes (array), posterior, score (0 to 1) and kept, for each row.
 
     posterior: the label model's probability that a document with these votes is good, from the votes of all documents;
@@ -199,7 +199,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """
     names = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.length(f"`{text_col}`"))
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}

@@ -305,10 +305,28 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     junk = ["BUY!!! NOW$$$ " * 40, "### *** @@@ " * 30, "ha ha ha ha " * 50] * 6
     got = quality.quality(docs(spark, [*good, *junk, None, ""])).select("row.doc_id", "score", "kept").orderBy("doc_id").collect()
     assert sum(r["kept"] for r in got[:60]) == 60
-    assert np.mean([r["score"] for r in got[60:78]]) < np.mean([r["score"] for r in got[:60]])
+    assert sum(r["kept"] for r in got[60:78]) == 0
+    assert all(0 <= r["score"] <= 1 for r in got)
+    twice = quality.quality(docs(spark, [good[0], good[0], junk[0], junk[0]], [1, 1, None, None])).select("row.doc_id", "score").collect()
+    assert len(twice) == 4 and len({(r["doc_id"], r["score"]) for r in twice}) == 2  # rows that repeat get the same score
     assert quality.quality(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_quality_agrees_with_labels_it_never_sees(spark):
+    at = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = [(truth[r["doc_id"]], r["kept"]) for r in queries.op6_quality(spark, at).collect() if r["doc_id"] in truth]
+    good, bad = [k for q, k in got if q == 1], [k for q, k in got if q == 0]
+    assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.05
+
+
+def test_toxicity_of_the_query_on_held_out_labels(spark):
+    at = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = [(truth[r["doc_id"]], r["predicted"]) for r in queries.op10_toxicity(spark, at).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([p for t, p in got if t == 1]) >= 0.8 and np.mean([p for t, p in got if t == 0]) <= 0.005
+
+
 def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 6)) < 0.5
@@ -372,7 +390,37 @@ def test_warc_round_trip(spark, tmp_path):
         if by[k]["record_type"] == "response":
             assert bytes(by[k]["reply"]["payload"]) == raw
     assert by[1]["request"]["http_head"].startswith("GET http://a/%20b%0D%0A")
-    warc.write_archives(warc.plan_captures(pages.limit(0)), str(tmp_path / "none"))
+    none = str(tmp_path / "none")
+    (tmp_path / "none").mkdir()
+    warc.write_archives(warc.plan_captures(pages.limit(0)), none)
+    assert warc.captures_of(warc.read_archives(spark, none)).count() == 0
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefgh") for _ in range(n)), "x", "y", 3) for i, n in enumerate([10, 500, 2_000, 90_000, 90_001, 1_500_000, 2_000, 10])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, payload string, id int")  # clashing names
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.plan_captures(pages), path, file_bytes=100_000, captures_per_file=100)
+    got = {r["page_id"]: r["payload_digest"] for r in warc.captures_of(warc.read_archives(spark, path)).collect()}
+    assert got == {r[0]: hashlib.sha1(r[2].encode()).hexdigest() for r in rows}
+    import gzip
+    from pathlib import Path
+
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in Path(path).rglob("*.gz")]
+    assert sum(n > 200_000 for n in sizes) == 1  # only the capture that is larger by itself
+
+
+def test_warc_reads_what_a_cut_file_holds():
+    import gzip
+    import io as _io
+
+    one = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for data in (one * 3, gzip.compress(one * 3), gzip.compress(one) * 3):
+        assert [b for _, b in warc.parse_records(warc._opened(data))] == [b"abc"] * 3
+    assert len(list(warc.parse_records(warc._opened((one * 3)[:-30])))) == 2
+    assert len(list(warc.parse_records(warc._opened((gzip.compress(one) * 3)[:-20])))) >= 2
+    assert list(warc.parse_records(_io.BytesIO(b"plain text"))) == []
 
 
 # ---------------------------------------------------------------- 8
