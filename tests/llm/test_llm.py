@@ -52,7 +52,7 @@ def brute_suffix(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [100_000, 1])
 def test_suffix_dedup_equals_brute_force(spark, odd, hot):
     rng = random.Random(hot)
     passages = [prose(rng, n) for n in (35, 41, 60, 200)]
@@ -71,7 +71,7 @@ def test_suffix_dedup_on_nothing_and_whole_characters(spark):
 def test_loser_tree_merges_runs_in_order_with_true_prefixes():
     rng = random.Random(1)
     every = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) for _ in range(200)]
-    runs = [suffix_dedup.Run(suffix_dedup.pack_run([(s, b"", i, 0, 1) for i, s in enumerate(every[k::7])]), k) for k in range(7)]
+    runs = [suffix_dedup.Run(suffix_dedup.pack_run([(s, b"", 1) for s in sorted(every[k::7])]), k) for k in range(7)]
     last, out = b"", []
     for run, lcp in suffix_dedup.merge_runs(runs):
         assert lcp == suffix_dedup.common(last, run.suffix, 0)
@@ -80,6 +80,30 @@ def test_loser_tree_merges_runs_in_order_with_true_prefixes():
     assert out == sorted(every)
 
 
+def test_the_merged_order_decides_what_is_repeated(monkeypatch):
+    """Repeated windows come from common prefixes of neighbours: without them nothing is found."""
+    rng = random.Random(2)
+    gram = bytes(rng.choice(b"xyz") for _ in range(64))
+    lefts, rights = [bytes(rng.choice(b"abc") for _ in range(136)) for _ in range(3)], [bytes(rng.choice(b"abc") for _ in range(136)) for _ in range(3)]
+    items = [(gram + rng.choice(rights)[: rng.randint(60, 136)], rng.choice(lefts)[-rng.randint(60, 136) :]) for _ in range(60)]
+    made = lambda: [suffix_dedup.Run(suffix_dedup.pack_run([(*x, 1) for x in sorted(set(items[k::5]))]), k) for k in range(5)]
+    got = {(k, *row) for k, rows in suffix_dedup.repeated_windows(made(), 200).items() for row in rows.tolist()}
+    want, runs = set(), [sorted(set(items[k::5])) for k in range(5)]
+    seen = Counter((before + suffix)[i : i + 200] for run in runs for suffix, before in run for i in range(len(before + suffix) - 199))
+    for k, run in enumerate(runs):
+        for number, (suffix, before) in enumerate(run):
+            text, starts = before + suffix, []
+            for i in range(len(text) - 199):
+                if seen[text[i : i + 200]] > 1:
+                    starts.append(i)
+            cut = [i for i in starts if i - 1 not in starts]
+            want |= {(k, number, i, next(j for j in range(i, len(text)) if j + 1 not in starts) + 200) for i in cut}
+    assert got == want and got
+    merged = suffix_dedup.merge_runs
+    monkeypatch.setattr(suffix_dedup, "merge_runs", lambda runs: ((r, 0) for r, _ in merged(runs)))
+    assert not suffix_dedup.repeated_windows(made(), 200) or not any(len(x) for x in suffix_dedup.repeated_windows(made(), 200).values())
+
+
 # ---------------------------------------------------------------- 2, 5
 
 
