@@ -45,7 +45,7 @@ def exact_median(rows: DataFrame, value: str, bins: int = 1000) -> float | None:
     """
     x = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
     edges = sorted(set(x.approxQuantile("v", [k / bins for k in range(1, bins)], 0.25 / bins))) if bins > 1 else []
-    place = F.coalesce(F.array_position(F.transform(F.array(*[F.lit(e) for e in edges]), lambda e: e >= F.col("v")), True).cast("int"), F.lit(len(edges) + 1)) if edges else F.lit(1)
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
     counts = sorted((r["b"], r["n"]) for r in x.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
     if not n:

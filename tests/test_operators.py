@@ -127,10 +127,11 @@ def test_ranking_metrics(spark):
     ch = spark.createDataFrame([("r", 0.9, 1, 10.0, 20.0), ("r", 0.8, 2, 100.0, 120.0)], "run_id string, quality double, quality_rank int, nucleus_start double, nucleus_end double")
     choice = spark.createDataFrame([("r", 105.0, 150.0)], "run_id string, chosen_start double, chosen_end double")
     rows = V.evaluate_ranking(ch, choice)
-    assert tuple(rows.first()) == ("r", 2, 2, 0.0)
-    m = V.ranking_metrics(rows).first()
+    assert tuple(rows.first()) == ("r", 2, 2, 0.0, 2)
+    labelled = rows.select("run_id", F.col("run_id").alias("track"))
+    m = V.ranking_metrics(labelled, rows).first()
     assert (m["hit_at_1"], m["hit_at_3"], m["mrr"]) == (0.0, 1.0, 0.5)
-    empty = V.ranking_metrics(rows.limit(0)).first()
+    empty = V.ranking_metrics(labelled.limit(0), rows.limit(0)).first()
     assert (empty["tracks"], empty["mrr"], empty["median_distance"]) == (0, 0.0, None)
 
 
@@ -140,3 +141,99 @@ def test_scan_reports_reads_the_reports_of_all_customers(spark, small):
     got = registry.queries()["a1_scan_reports"](spark, small)
     assert got.count() == spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct().count()
     assert got.select("run_id").distinct().count() == 20
+
+
+def test_quota_state_over_triggers_and_batches(spark, tmp_path):
+    """25,000 attempts of a stage arrive in reverse within each of three triggers; counts go on from trigger to trigger."""
+    from seriesmill.streaming import streams
+
+    rows = [("s", k, "quota-or-refusal" if k % 3 == 0 else "fatal") for k in range(25_000)]
+    schema = "stage string, attempt long, failure_class string"
+    for a, b in ((0, 9_000), (9_000, 20_000), (20_000, 25_000)):
+        spark.createDataFrame(rows[a:b][::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = streams.stream_chunks(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    got = {r["attempt"]: (r["quota_refusals"], r["long_mode"]) for r in streams.run_to_table(streams.quota_state(s, 5), str(tmp_path)).collect()}
+    assert got == {k: (k // 3 + 1, k // 3 + 1 >= 5) for k in range(25_000)}
+
+
+def test_recent_rules_over_triggers(spark, tmp_path):
+    from seriesmill.streaming import streams
+
+    texts = [None if k % 5 == 4 else f"word{k} red" if k % 2 else f"word{k} blue" for k in range(30)]
+    schema = "run_id long, idx long, text string"
+    for a, b in ((0, 11), (11, 30)):
+        spark.createDataFrame([(1, k, texts[k]) for k in range(a, b)][::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = streams.stream_chunks(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    got = {r["idx"]: r["bans"] for r in streams.run_to_table(streams.recent_rules(s, ["red", "blue", "word2 "], 2, 12), str(tmp_path)).collect()}
+    for k in range(30):
+        recent = " ".join(t for t in texts[max(0, k - 2) : k] if t is not None)
+        assert got[k] == [p for p in ("red", "blue", "word2 ") if p in recent]
+
+
+def test_scans_of_a_tree_of_runs(spark, tmp_path):
+    import json
+
+    from seriesmill.sources import io
+
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("r1/shorts/selections.json", json.dumps({"schema_version": 3, "selections": [{"candidate_id": "a", "breakdown": {"x": 1.0}}, {"candidate_id": "b"}]}, indent=1))
+    put("r2/shorts/selections.json", "{broken")
+    put("r3/shorts/selections.json", json.dumps({"schema_version": 3}))
+    for run, path in (("r1", "C:\\Music\\.\\Song.MP3"), ("r2", "./a//b.wav"), ("r3", " ")):
+        put(f"{run}/manifest.json", json.dumps({"version": 2, "music": {"path": path}}))
+    put("r1/shorts/1This/short_2_x.mp4", "x")
+    put("r2/shorts/1This/short_1_x.mp4", "x")
+    put("r2/shorts/1This/short_3_x.mp4", "x")
+    root = f"file://{tmp_path}"
+    reports = {r["run_id"]: (r["skip_reason"], len(r["selections"] or [])) for r in io.scan_reports(spark, root).collect()}
+    assert reports == {"r1": (None, 2), "r2": ("invalid_json", 0), "r3": ("invalid_selections", 0)}
+    tracks = {r["run_id"]: r["track_id"] for r in io.scan_manifests(spark, root).collect()}
+    assert tracks == {"r1": "c:/music/song.mp3", "r2": "a/b.wav", "r3": None}
+    assert [tuple(r) for r in io.scan_choices(spark, root, "1This").collect()] == [("r1", 1)]
+    media = [r["path"].rsplit("/", 1)[-1] for r in io.scan_media(spark, root, ["MP4"]).collect()]
+    assert media == ["short_1_x.mp4", "short_2_x.mp4", "short_3_x.mp4"]
+    found = {r["relative_path"]: r["bytes"] for r in io.content_inventory(spark, root).collect()}
+    assert found["r2/shorts/selections.json"] == 7 and len(found) == 9
+
+
+def test_ranking_metrics_count_runs(spark):
+    labelled = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d")], "run_id long, track string")
+    evaluated = spark.createDataFrame([(1, 2, 2, 0.0, 3), (2, 1, 1, 0.0, 9), (3, None, 4, 7.0, 5), (5, 1, 1, 1.0, 1)], "run_id long, matched_rank int, closest_rank int, closest_distance double, selected long")
+    r = V.ranking_metrics(labelled, evaluated).first().asDict()
+    assert {k: r[k] for k in ("tracks", "labelled", "evaluated", "duplicate", "skipped")} == {"tracks": 3, "labelled": 5, "evaluated": 4, "duplicate": 1, "skipped": 1}
+    assert r["hit_at_1"] == pytest.approx(1 / 3) and r["hit_at_3"] == pytest.approx(2 / 3) and r["mrr"] == pytest.approx(0.5) and r["median_distance"] == 1.0 and r["mean_selected"] == 3.0
+    none = V.ranking_metrics(labelled, evaluated.limit(0)).first().asDict()
+    assert (none["tracks"], none["hit_at_5"], none["mrr"], none["median_distance"], none["skipped"]) == (0, 0.0, 0.0, None, 5)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60))
+def test_exact_median(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert V.exact_median(df, "v", bins=5) == pytest.approx(float(np.median(values)))
+
+
+def test_anchor_gate_needs_every_sample(spark):
+    from seriesmill.operators import motion
+
+    rows = [("a", 0.9), ("a", 0.5), ("b", 0.9), ("b", 0.49), ("c", float("nan")), ("d", None), ("e", 1.0)]
+    got = {r["clip"]: r["passed"] for r in motion.anchor_gate(spark.createDataFrame(rows, "clip string, similarity double"), ["clip"]).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False, "e": True}
+
+
+def test_near_duplicate_ratio_equals_difflib(spark):
+    texts = ["the red car goes", "the red cat goes", "a blue house", "the red car goes!", "", "blue houses a", "zzz"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "run_id long, idx long, text string")
+    got = {r["idx"]: r["similarity"] for r in T.near_duplicate_recent(df, last=3).collect()}
+    clean = [" ".join(__import__("re").findall("[a-z0-9]+", t.lower())) for t in texts]
+    for i in range(len(texts)):
+        assert got[i] == pytest.approx(max([difflib.SequenceMatcher(None, clean[i], b).ratio() for b in clean[max(0, i - 3) : i]], default=0.0))
+
+
+def test_a_disabled_model_scores_one_half(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0)], "g int, x double")
+    assert {r["preference"] for r in prefs.score_preference(df, ["g"], None).collect()} == {0.5}
+    assert {r["preference"] for r in prefs.score_preference(df, ["g"], {"x": 1.0}, enabled=False).collect()} == {0.5}
