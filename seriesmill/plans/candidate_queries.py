@@ -11,6 +11,7 @@ from seriesmill.plans import registry
 from seriesmill.plans import roles as R
 from seriesmill.plans.curve_queries import SCORES, r6, scored_frames
 from seriesmill.plans.registry import query
+from seriesmill.sources.shared import stored
 
 WF = f"WITH {R.FRAMES}"
 WS = f"WITH {R.FRAMES}, {R.SERIES}"
@@ -171,8 +172,8 @@ def _expanded(f, nuclei):
 
 @query("d11_expand_nuclei", WR + _NUC + _SUP + _EXP + " SELECT * FROM expd")
 def d11(spark, d):
-    f = _frames(spark, d).cache()
-    return _expanded(f, _suppressed(f).cache())
+    f = stored(_frames(spark, d))
+    return _expanded(f, stored(_suppressed(f)))
 
 
 _SC = """, ci AS (SELECT c.*, f.vocal AS hook, f.onset, f.rms, f.frame_idx, f.frame_idx - c.start_idx AS k FROM expd c JOIN frames f ON f.series_id = c.series_id AND f.frame_idx >= c.start_idx AND f.frame_idx < c.end_idx)
@@ -189,9 +190,9 @@ _SC = """, ci AS (SELECT c.*, f.vocal AS hook, f.onset, f.rms, f.frame_idx, f.fr
 
 @query("d12_score_candidates", WR + _NUC + _SUP + _EXP + _SC + " SELECT series_id, nucleus_id, start_idx, end_idx, round(ev, 6) AS event_score, round(ed, 6) AS edit_score, round(greatest(0.0, least(1.0, 0.85 * ev + 0.15 * ed)), 6) AS structure_score, round(arc, 6) AS measured_arc FROM cu")
 def d12(spark, d):
-    f = _frames(spark, d).cache()
-    n = _suppressed(f).cache()
-    x = W.score_candidates(_expanded(f, n).cache(), f, n, 3, 2, 5, 14, 17, 21, 24)
+    f = stored(_frames(spark, d))
+    n = stored(_suppressed(f))
+    x = W.score_candidates(stored(_expanded(f, n)), f, n, 3, 2, 5, 14, 17, 21, 24)
     return x.select("series_id", "nucleus_id", "start_idx", "end_idx", *[r6(c) for c in ("event_score", "edit_score", "structure_score")], r6(F.col("breakdown")["measured_arc"], "measured_arc"))
 
 
