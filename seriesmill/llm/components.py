@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import stored
+from seriesmill.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,5 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         small = stored(small)
         mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark(small)) == tuple(mark(now)):
+            discard(large)
+            discard(now)
             return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        discard(large)
+        discard(now)
         now = small

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import stored
+from seriesmill.llm.common import discard, stored
 
 
 def line_hash(line: str) -> int:
@@ -167,7 +167,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(h[new]), batch.column("i").take(at), batch.column("t").take(at), pa.array(leads[new])], names=["h", "i", "t", "leads"])
 
     has = split_up.mapInArrow(units, "h long, i long, t long, leads boolean").select("h", F.struct("i", "t").alias("d"), "leads")
-    df = has.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = stored(has.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # a table, so that Spark can split the rows of a frequent line in the join
     n = split_up.count()
     pieces = max(1, min(1024, -(-n // chunk)))  # edges are literals of the plan; a piece of a frequent line may be long, and spills
     edges = split_up.approxQuantile("i", [k / pieces for k in range(1, pieces)], 0.25 / pieces) if pieces > 1 else []
@@ -244,7 +244,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         aligned = both.mapInArrow(align, "later struct<i:long,t:long>, gone array<int>")
         part = stored(aligned.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count(F.lit(1)).alias("partners")))
         parts.append(part)
-        state = stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(tried if upto == rare else upto), state.schema))
+        before_, state = state, stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(tried if upto == rare else upto), state.schema))
+        discard(before_)
         tried, upto = (0, 1) if upto == rare else (upto, upto * 8)
     every = parts[0]
     for part in parts[1:]:
