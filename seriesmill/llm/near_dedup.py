@@ -220,13 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = 4 * rows
     bands = [F.xxhash64(F.lit(i), F.substring("sample", i * size + 1, size)) for i in range(n_samples // rows)]
     banded = nodes.select("node", F.posexplode(F.array(*bands)).alias("band", "key"))
-    heads = banded.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # what is grouped is a table before it is joined back, so that Spark can split a frequent key's rows in the join
+    heads = stored(banded.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = stored(banded.join(heads, "key"))
     agree = lambda a, b: sum(F.when(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4), 1).otherwise(0) for i in range(n_samples))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold. b's features travel to a's; a has as many places as it has hundreds of pairs."""
-        sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+        sized = pairs.join(stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
         far = sized.select("a", "salt", F.col("b").alias("node")).join(full, "node").select("a", "salt", "node", "total", "features")
         near = sized.select("a", "salt").distinct().withColumnRenamed("a", "node").join(full, "node").select(F.col("node").alias("head"), F.col("salt").alias("head_salt"), F.col("total").alias("head_total"), F.col("features").alias("head_features"))
 
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # members of one bucket that are in different components so far
     placed = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+    mixed = stored(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
     cross = placed.join(mixed, "key").join(nodes.select("node", *facts), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int"))
     cross = cross.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
     cross = cross.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", *facts)
