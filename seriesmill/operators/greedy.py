@@ -53,11 +53,13 @@ def greedy_marginal(df: DataFrame, by: list[str], ident: str, score: Column, car
 def leader_clusters(df: DataFrame, by: list[str], order: list[Column], ident: str, carry: list[str], same: Callable[[Column, Column], Column]) -> DataFrame:
     """by, ident, cluster (from 1, in order of their leaders), is_leader: each row joins the first cluster whose leader it matches, else leads a new one.
 
-    Rows are compared with leaders only, so this isn't the transitive closure.
+    Rows are compared with leaders only, so this isn't the transitive closure. One pass: a group's rows are collected
+    once, folded to their leaders, and matched with these in place.
     """
-    leaders = greedy_suppress(df, by, order, [ident, *[c for c in carry if c != ident]], same)
-    packed = leaders.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(ident, *[c for c in carry if c != ident]).alias("x")))).alias("leaders"))
     me = F.struct(ident, *[c for c in carry if c != ident])
-    both = df.select(*by, me.alias("me")).join(packed, by)
+    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, me.alias("x")))).alias("all"))
+    none = F.array().cast(f"array<{df.select(me.alias('x')).schema['x'].dataType.simpleString()}>")
+    fold = F.aggregate("all", none, lambda acc, r: F.when(F.exists(acc, lambda k: same(r["x"], k)), acc).otherwise(F.concat(acc, F.array(r["x"]))))
+    rows = groups.withColumn("leaders", F.transform(fold, lambda k, i: F.struct((i + 1).alias("rank"), k.alias("x")))).select(*by, "leaders", F.explode("all").alias("r")).select(*by, "leaders", F.col("r.x").alias("me"))
     first = F.filter("leaders", lambda k: (k["x"][ident] == F.col("me")[ident]) | same(F.col("me"), k["x"]))[0]
-    return both.select(*by, F.col("me")[ident].alias(ident), first["rank"].alias("cluster"), (first["x"][ident] == F.col("me")[ident]).alias("is_leader"))
+    return rows.select(*by, F.col("me")[ident].alias(ident), first.alias("f")).select(*by, ident, F.col("f.rank").alias("cluster"), (F.col("f.x")[ident] == F.col(ident)).alias("is_leader"))
