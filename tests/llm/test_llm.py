@@ -264,6 +264,14 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert got == brute_near(texts)
 
 
+def test_near_duplicates_of_the_given_documents_lose_no_link(spark):
+    at = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in queries.op3_near_dedup(spark, at).collect()}
+    want = brute_near(texts)
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
     rows = near_dedup.near_duplicates(docs(spark, ["a b c d e f"] * 3, [5, None, 5])).collect()
@@ -583,3 +591,20 @@ def test_pipeline_keeps_clean_documents_and_their_columns(spark, small):
         d = after
     assert d.count() > 0.7 * before
     assert P.run(spark, small).agg(F.countDistinct("doc_id")).first()[0] > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, small, odd):
+    """Null, empty and very long texts, repeated rows, null ids and empty tables go through every stage."""
+    import corpus_pipeline as P
+    from seriesmill.llm.common import stored
+
+    columns = spark.read.parquet(f"{small}/documents.parquet").columns
+    d = docs(spark, [*odd, odd[5], None], [*range(len(odd)), 5, None]).select(columns)
+    for _, stage in P.STAGES[:-1]:
+        out = stored(stage(spark, d, small))
+        assert out.columns == columns and out.count() > 0
+        assert stage(spark, d.limit(0), small).count() == 0
+        d = out
+    assert {r["doc_id"] for r in d.collect()} >= {0, 3, 7}
+    assert P.STAGES[-1][1](spark, d, small).select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
+    assert P.STAGES[-1][1](spark, d.limit(0), small).count() == 0
