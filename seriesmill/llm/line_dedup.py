@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.llm.common import discard, stored
@@ -128,6 +128,27 @@ def runs(lines: np.ndarray, sizes: np.ndarray, first: np.ndarray, least_words: i
     return h, start, end
 
 
+#: Quantiles of the ids that stand in a plan as literals; beyond them pieces are even parts of what lies between two.
+EDGES = 1024
+
+
+def _pieces(docs: DataFrame, ident: Column, chunk: int) -> Column:
+    """The number of the stretch of ids that ident lies in, ascending with the ids: about chunk of docs (i) in each."""
+    n, low, high = docs.agg(F.count(F.lit(1)), F.min("i"), F.max("i")).first()
+    pieces = -(-n // chunk)
+    if pieces <= 1:
+        return F.lit(0)
+    most = min(EDGES, pieces)
+    edges = sorted({int(e) for e in docs.approxQuantile("i", [k / most for k in range(1, most)], 0.25 / most)})
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= ident)) if edges else F.lit(0)
+    parts = -(-pieces // most)
+    if parts == 1:
+        return at
+    bound = lambda k: F.element_at(F.array(*[F.lit(float(e)) for e in (low, *edges, high + 1)]), at + k)
+    share = (ident.cast("double") - bound(1)) / F.greatest(F.lit(1.0), bound(2) - bound(1))
+    return at * parts + F.least(F.lit(parts - 1), F.floor(share * parts)).cast("int")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, chunk: int = 4096, rare: int = 4, keep_text: bool = True) -> DataFrame:
     """id, n_lines, n_removed, partners, kept_sha256, and kept_text if asked: one row for each row of docs.
 
@@ -168,10 +189,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     has = split_up.mapInArrow(units, "h long, i long, t long, leads boolean").select("h", F.struct("i", "t").alias("d"), "leads")
     df = stored(has.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # a table, so that Spark can split the rows of a frequent line in the join
-    n = split_up.count()
-    pieces = max(1, min(1024, -(-n // chunk)))  # edges are literals of the plan; a piece of a frequent line may be long, and spills
-    edges = split_up.approxQuantile("i", [k / pieces for k in range(1, pieces)], 0.25 / pieces) if pieces > 1 else []
-    piece = F.size(F.filter(F.array(*[F.lit(int(e)) for e in sorted(set(edges))]), lambda e: e <= F.col("d.i"))) if edges else F.lit(0)
+    piece = _pieces(split_up, F.col("d.i"), chunk)
     shared = stored(has.join(df, "h").select("h", "d", "leads"))
     text_of = split_up.select(F.struct("i", "t").alias("d"), "lines", "sizes")
 

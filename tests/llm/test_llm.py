@@ -537,7 +537,7 @@ def brute_lines(texts, least_words=5):
     return [len({j for i in range(k) for j in line_dedup.common_blocks(hashes[i], hashes[k], sizes[k], least_words)}) for k in range(len(texts))]
 
 
-def test_line_dedup_aligns_with_all_earlier_documents(spark):
+def test_line_dedup_aligns_with_all_earlier_documents(spark, monkeypatch):
     rng = random.Random(9)
     x, y, z = (prose(rng, 9) for _ in range(3))
     texts = ["\n".join(t) for t in ([x, y, z], [z, y, x], [x, y, z, "own"])]
@@ -545,7 +545,8 @@ def test_line_dedup_aligns_with_all_earlier_documents(spark):
     assert [got[k] for k in range(3)] == brute_lines(texts) == [0, 1, 3]
     lines = [prose(rng, 6) for _ in range(7)]
     texts = ["\n".join(rng.choice(lines) if rng.random() < 0.8 else prose(rng, 6) for _ in range(rng.randint(1, 7))) for _ in range(120)]  # permuted and doubled lines
-    for chunk in (4096, 16):
+    for chunk, edges in ((4096, 1024), (16, 1024), (8, 3)):
+        monkeypatch.setattr(line_dedup, "EDGES", edges)
         got = {r["id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, texts), chunk=chunk).collect()}
         assert [got[k] for k in range(len(texts))] == brute_lines(texts)
 
