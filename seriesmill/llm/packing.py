@@ -29,19 +29,19 @@ _DDL = "id long, start long, length long, ids_crc32 long, doc_tokens long, seque
 
 
 class Queue:
-    """Documents of one source that wait: what is left of each (key, first id left, ids left, ids in all), and their ids."""
+    """Documents of one source that wait: what is left of each (key, first id left, ids left, ids in all, whether the key is null), and their ids."""
 
     def __init__(self) -> None:
         self.docs: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []
 
     def add(self, docs: np.ndarray, ids: np.ndarray) -> None:
-        """docs: four columns; ids: those left of all these documents, one after the other."""
+        """docs: five columns; ids: those left of all these documents, one after the other."""
         self.docs.append(docs)
         self.ids.append(ids)
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 4), np.int64)
+        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 5), np.int64)
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, "<u4")
         self.docs, self.ids = [docs], [ids]
         return docs, ids
@@ -135,7 +135,7 @@ class Mixer:
             return None
         alloc = np.array(plan)
         begin = np.cumsum(alloc, 1) - alloc
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         for s in np.flatnonzero(alloc.any(0)).tolist():
             docs, ids = self.queues[s].whole()
             cuts, end = np.cumsum(alloc[:, s]), np.cumsum(docs[:, 2])
@@ -146,7 +146,7 @@ class Mixer:
             raw = memoryview(ids[:total].tobytes())
             crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * start).tolist(), (4 * stop).tolist())]
             own = docs[doc]
-            values = own[:, 0], own[:, 1] + start - (end - docs[:, 2])[doc], stop - start, np.array(crc, np.int64), own[:, 3], self.sequence + win, begin[win, s] + start - (cuts - alloc[:, s])[win], np.full(len(doc), s)
+            values = own[:, 0], own[:, 1] + start - (end - docs[:, 2])[doc], stop - start, np.array(crc, np.int64), own[:, 3], self.sequence + win, begin[win, s] + start - (cuts - alloc[:, s])[win], np.full(len(doc), s), own[:, 4]
             for c, v in zip(cols, values):
                 c.append(v)
             self.queues[s].drop(total)
@@ -154,15 +154,17 @@ class Mixer:
         return _pieces([np.concatenate(c) for c in cols], self.names)
 
 
-_NULL = -(2**63)  # stands for a null id inside the queues; a real id of this value keeps its value, as no null then reads so
-
-
 def _pieces(cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    key, *numbers, source = cols
-    arrays = [pa.array(key, mask=key == _NULL), *[pa.array(x) for x in numbers], pa.array(names, pa.string()).take(pa.array(source))]
+    key, *numbers, source, null = cols
+    arrays = [pa.array(key, mask=null > 0), *[pa.array(x) for x in numbers], pa.array(names, pa.string()).take(pa.array(source))]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in _PIECE])
 
 
+def _keys(column) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (0 for null), and which are null."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _split(batch: pa.RecordBatch, most: int = 50_000) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, most):
         yield batch.slice(i, most)
@@ -176,7 +178,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shares
     is placed at the end. While it has documents, a source is in every full window, within two tokens of its share, if
     that is at least least_piece tokens; a smaller one comes when it has earned so many, and the others make room for it
     when it does. Every document ends with end_id, so a null or empty text is one piece of one token. Rows that repeat are packed as often as they come, ids may
-    be null (an id of -2^63 comes back as null), a null source is a source of its own, a document of any length runs on
+    be null, a null source is a source of its own, a document of any length runs on
     from window to window, and an empty table gives no pieces. A partition's memory holds its own queues: at most the
     ids of one input partition. The sources are the parts of a mixture: the driver gets one number for each.
     """
@@ -189,13 +191,13 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shares
         mixer = Mixer(targets, window, least_piece, TaskContext.get().partitionId() << 33)
         names = pa.array(mixer.names, pa.string())
         for batch in batches:
-            keys, texts = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            (keys, null), texts = _keys(batch.column(0)), batch.column(1).to_pylist()
             source = pc.index_in(batch.column(2), names).to_numpy(zero_copy_only=False)
             for begin, part in text_groups(texts):
                 ids, stops = bpe.encode_flat(part)
                 ids = np.insert(ids, stops[1:], end_id).astype("<u4")
                 n = np.diff(stops) + 1
-                mixer.add(source[begin : begin + len(part)], np.stack([keys[begin : begin + len(part)], np.zeros(len(part), np.int64), n, n], 1), ids)
+                mixer.add(source[begin : begin + len(part)], np.stack([keys[begin : begin + len(part)], np.zeros(len(part), np.int64), n, n, null[begin : begin + len(part)]], 1), ids)
                 done = mixer.run(False)
                 if done is not None:
                     yield from (_placed(x) for x in _split(done))
@@ -219,10 +221,10 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shares
         mixer.deficit = np.array([owed.get(s, 0.0) for s in mixer.names])
         names = pa.array(mixer.names, pa.string())
         for batch in batches:
-            key, start, total = (batch.column(k).fill_null(_NULL).to_numpy(zero_copy_only=False) for k in range(3))
+            (key, null), start, total = _keys(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             blobs = batch.column(4).to_pylist()
             source = pc.index_in(batch.column(3), names).to_numpy(zero_copy_only=False)
-            mixer.add(source, np.stack([key, start, np.array([len(x) // 4 for x in blobs], np.int64), total], 1), np.frombuffer(b"".join(blobs), "<u4"))
+            mixer.add(source, np.stack([key, start, np.array([len(x) // 4 for x in blobs], np.int64), total, null], 1), np.frombuffer(b"".join(blobs), "<u4"))
         done = mixer.run(True)
         if done is not None:
             yield from _split(done)
@@ -241,8 +243,7 @@ def _placed(pieces: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _left(docs: np.ndarray, source: str, blobs: list[bytes]) -> pa.RecordBatch:
-    key = docs[:, 0]
-    return _row(len(docs), id=pa.array(key, mask=key == _NULL), start=pa.array(docs[:, 1]), length=pa.array(docs[:, 2]), doc_tokens=pa.array(docs[:, 3]), source=pa.array([source] * len(docs)), ids=pa.array(blobs, pa.binary()))
+    return _row(len(docs), id=pa.array(docs[:, 0], mask=docs[:, 4] > 0), start=pa.array(docs[:, 1]), length=pa.array(docs[:, 2]), doc_tokens=pa.array(docs[:, 3]), source=pa.array([source] * len(docs)), ids=pa.array(blobs, pa.binary()))
 
 
 def _owing(names: list[str], deficit: np.ndarray) -> pa.RecordBatch:

@@ -157,6 +157,8 @@ def test_packing_places_every_id_once_without_padding(spark, odd, library):
     rows = packing.pack(docs(spark, list(texts.values())).repartition(3), queries.vocabulary()).collect()
     assert check_pieces(rows, library, texts)[0] == 0
     assert packing.pack(docs(spark, ["x"]).limit(0), queries.vocabulary()).count() == 0
+    edge = packing.pack(docs(spark, ["x", "y", "z"], [None, -(2**63), 2**63 - 1]), queries.vocabulary()).collect()
+    assert {r["id"] for r in edge} == {None, -(2**63), 2**63 - 1}
 
 
 def served(batch):
@@ -169,7 +171,7 @@ def served(batch):
 
 def fill(mixer, tokens):
     for s, n in tokens.items():
-        docs = np.array([[k, 0, 77, 77] for k in range(n // 77)], np.int64)
+        docs = np.array([[k, 0, 77, 77, 0] for k in range(n // 77)], np.int64)
         mixer.add(np.full(len(docs), mixer.place[s]), docs, np.arange(77 * len(docs), dtype="<u4"))
 
 
