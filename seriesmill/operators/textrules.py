@@ -30,7 +30,7 @@ def parse_response(text: Column, flag: str = "TWO_HANDS_CLEAR", body: str = "PRO
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def rule_violations(text: Column, least: int, most: int, patterns: dict[str, str], phrases: list[str]) -> Column:
@@ -38,7 +38,8 @@ def rule_violations(text: Column, least: int, most: int, patterns: dict[str, str
     n = word_count(text)
     tests = [F.when((n < least) | (n > most), "word_count"), *[F.when(text.rlike(p), name) for name, p in patterns.items()]]
     if phrases:
-        tests.append(F.when(F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.lower(text), p)), "forbidden_phrase"))
+        listed = F.array(*[F.lit(p) for p in phrases])
+        tests.append(F.when(F.exists(F.array(F.lower(text)), lambda low: F.exists(listed, lambda p: F.contains(low, p))), "forbidden_phrase"))  # lower case once for all phrases
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
@@ -51,8 +52,9 @@ def two_stage_rule(text: Column, build: str, payoff: str, connector: str = r"(?i
 def recent_phrase_bans(history: DataFrame, phrases: list[str], last: int = 8, limit: int = 12) -> DataFrame:
     """bans: the dictionary phrases found in the last texts, in the dictionary's order."""
     recent = F.lower(F.concat_ws(" ", F.collect_list("text").over(_run(-last, -1))))
-    x = history.withColumn("_r", recent)
-    return x.withColumn("bans", F.slice(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col("_r"), p)), 1, limit)).drop("_r")
+    listed = F.array(*[F.lit(p) for p in phrases])
+    found = F.transform(F.array(recent), lambda r: F.filter(listed, lambda p: F.contains(r, p)))[0]  # the texts are joined once for all phrases
+    return history.withColumn("bans", F.slice(found, 1, limit))
 
 
 def repeat_lead(history: DataFrame, lead: str, last: int = 8, times: int = 2) -> DataFrame:
