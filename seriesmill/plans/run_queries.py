@@ -560,17 +560,18 @@ def _stream(spark, d, df, per_trigger: int = 1):
     return stream_chunks(spark, f"{path}/in", df.schema, per_trigger), path
 
 
-FILES = 4
-
-
 def _stream_of(spark, parts: list, by: str | None = None):
-    """Tables of one schema that arrive one after the other, each in one trigger of FILES files; by: the column that deals a table's rows."""
+    """Tables of one schema that arrive one after the other, each in one trigger; by: the column that deals a table's rows.
+
+    Each is written as so many files as the session has shuffle partitions, if it has 100 rows for each at least.
+    """
     from seriesmill.streaming.streams import stream_chunks
 
     path = shared_dir(spark)
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts[0].count() // 100))
     for part in parts:
-        (part.repartition(FILES, by) if by else part.repartition(FILES)).write.mode("append").parquet(f"{path}/in")
-    return stream_chunks(spark, f"{path}/in", parts[0].schema, FILES), path
+        (part.repartition(files, by) if by else part.repartition(files)).write.mode("append").parquet(f"{path}/in")
+    return stream_chunks(spark, f"{path}/in", parts[0].schema, files), path
 
 
 def _thirds(df, order: str) -> list:
