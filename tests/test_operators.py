@@ -237,3 +237,34 @@ def test_a_disabled_model_scores_one_half(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 3.0)], "g int, x double")
     assert {r["preference"] for r in prefs.score_preference(df, ["g"], None).collect()} == {0.5}
     assert {r["preference"] for r in prefs.score_preference(df, ["g"], {"x": 1.0}, enabled=False).collect()} == {0.5}
+
+
+def test_seeded_choices_are_stable_and_spread(spark):
+    x = spark.range(3000).select("id", J.assign_choice(["a", "b", "c"], 11, F.col("id")).alias("c"), J.assign_choice(["a", "b", "c"], 12, F.col("id")).alias("other"))
+    first, again = [sorted(map(tuple, x.collect())) for _ in range(2)]
+    assert first == again
+    counts = [sum(r[1] == c for r in first) for c in "abc"]
+    assert sum(counts) == 3000 and min(counts) > 850
+    assert 0.25 < np.mean([r[1] == r[2] for r in first]) < 0.42  # another seed chooses anew
+
+
+def test_planned_runs_number_seed_and_place_their_clips(spark):
+    items = spark.createDataFrame([("a", i) for i in range(4)] + [("b", 9)], "k string, i int").withColumn("n", F.lit(6))
+    got = J.plan_run(items, "k", "i", F.col("n"), 3, ["x", "y", "z"], 6).orderBy("k", "clip_index").collect()
+    for k, pool in (("a", {0, 1, 2, 3}), ("b", {9})):
+        own = [r for r in got if r["k"] == k]
+        assert [r["clip_index"] for r in own] == list(range(6)) and {r["i"] for r in own} <= pool
+        assert [r["mode"] for r in own] == ["x", "y", "z"] * 2 and {r["status"] for r in own} == {"planned"} and {r["contract_version"] for r in own} == {6}
+        assert own[3]["path"] == f"clips/{k}/0003.mp4" and len({r["seed"] for r in own}) == 6
+    assert {r["i"] for r in got if r["k"] == "a" and r["clip_index"] < 4} == {0, 1, 2, 3}  # a full pass first
+    assert J.plan_run(items.limit(0), "k", "i", F.col("n"), 3, ["x"], 6).count() == 0
+
+
+def test_generations_are_seen_whole(spark, tmp_path):
+    from seriesmill.sources import io
+
+    path = f"file://{tmp_path}/g"
+    io.publish_generation(spark.range(3).toDF("x"), path)
+    io.publish_generation(spark.range(5).toDF("x"), path)
+    spark.range(9).toDF("x").write.parquet(f"{path}/data/generation_id=unpublished")  # written, but its pointer isn't
+    assert io.read_generation(spark, path).count() == 5
