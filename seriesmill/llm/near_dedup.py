@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at += n
         df, size = df_of[run], len(ids)
         w = weights(tf, df, total, idf)
-        sums, shared = np.bincount(row, weights=w, minlength=size), np.bincount(row, weights=w * (df > 1), minlength=size)
+        sums, shared = np.bincount(row, weights=w, minlength=size).astype(float), np.bincount(row, weights=w * (df > 1), minlength=size).astype(float)
         able = (sums > 0) & (shared >= threshold * sums * (1 - 1e-9)) & np.array([i is not None for i in ids])
         pick = np.flatnonzero(able[row])
         pick = pick[np.argsort(row[pick], kind="stable")]
