@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold. b's features travel to a's; a has as many places as it has hundreds of pairs."""
-        sized = pairs.join(stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+        sized = pairs.join(stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 100).cast("int").alias("salts"))), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
         far = sized.select("a", "salt", F.col("b").alias("node")).join(full, "node").select("a", "salt", "node", "total", "features")
         near = sized.select("a", "salt").distinct().withColumnRenamed("a", "node").join(full, "node").select(F.col("node").alias("head"), F.col("salt").alias("head_salt"), F.col("total").alias("head_total"), F.col("features").alias("head_features"))
 
