@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from seriesmill.llm import ann, bpe, exact_dedup, fill_middle, line_dedup, near_dedup, packing, quality, spelling, suffix_dedup, toxicity, warc
 from seriesmill.llm.common import shared_dir, table
 
 
@@ -82,11 +82,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256")]
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2, CAST('0x' || h[25:32] AS UBIGINT) AS h4 FROM d),
+c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe,
     "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity,
+    "op11_spelling": op11_spelling, "op13_fill_middle": op13_fill_middle,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL, "op13_fill_middle": OP13_SQL}
 
 
 def queries() -> dict:
