@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_dedup, fill_middle, line_dedup, near_dedup, packing, quality, spelling, suffix_dedup, toxicity, warc
+from seriesmill.llm import ann, bpe, exact_dedup, fill_middle, html_pages, html_text, line_dedup, near_dedup, packing, quality, spelling, suffix_dedup, toxicity, warc
 from seriesmill.llm.common import shared_dir, table
 
 
@@ -86,6 +86,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = html_text.train(html_pages.labelled_pages(spark))
+    return html_text.extract(table(spark, sf_dir, "pages"), field, carry=["page_id", "url"]).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), carry=["doc_id"])
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256")]
@@ -106,7 +111,7 @@ FROM p
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_near_dedup": op3_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_bpe": op5_bpe,
     "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_line_dedup": op9_line_dedup, "op10_toxicity": op10_toxicity,
-    "op11_spelling": op11_spelling, "op13_fill_middle": op13_fill_middle,
+    "op11_spelling": op11_spelling, "op12_html": op12_html, "op13_fill_middle": op13_fill_middle,
 }
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL, "op13_fill_middle": OP13_SQL}
 
