@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.scalars import is_finite
@@ -641,10 +644,112 @@ def l6(spark, d):
     return run_to_table(recent_rules(s, PHRASES, 2, 4), path).select("run_id", "idx", F.array_join("bans", ",").alias("bans"))
 
 
+def _growing_logs(spark, d):
+    """A log file for each attempt that grows in three rounds, each time by a third of its lines and half of the next one; a stream that starts anew after each round tails them."""
+    from seriesmill.streaming.streams import run_to_table
+    from seriesmill.streaming.tail import tail_lines, write_logs
+
+    path = shared_dir(spark)
+    w = Window.partitionBy("attempt")
+    n = F.row_number().over(w.orderBy("ts", "line_no"))
+    lines = stored(R.log_lines(spark, d).select("attempt", "line", n.alias("n"), F.count(F.lit(1)).over(w).alias("of")))
+    for part in (1, 2, 3):
+        edge = F.floor(F.col("of") * part / 3)
+        text = F.when(F.col("n") <= edge, F.concat("line", F.lit("\n"))).otherwise(F.substring(F.col("line"), F.lit(1), F.floor(F.length("line") / 2).cast("int")))
+        written = lines.where(F.col("n") <= edge + 1).select(F.concat(F.lit("run-"), F.col("attempt").cast("string"), F.lit(".log")).alias("file"), "n", text.alias("text"))
+        write_logs(written, f"{path}/logs", "file", ["n"], "text")
+        x = run_to_table(tail_lines(spark, f"{path}/logs", "run-*.log"), path)
+    return x.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("attempt"), "position", "line")
+
+
 @query("l7_stream_tail", WL + " SELECT line FROM lines")
 def l7(spark, d):
+    return _growing_logs(spark, d).select("line")
+
+
+@query("l7_tail_positions", WL + " SELECT attempt, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY attempt ORDER BY ts, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position, line FROM lines", position="BIGINT")
+def l7_positions(spark, d):
+    return _growing_logs(spark, d)
+
+
+@query("l7_stream_new_files", WL + " SELECT line FROM lines")
+def l7_files(spark, d):
     from seriesmill.streaming.streams import run_to_table, tail
 
     path = shared_dir(spark)
     R.log_lines(spark, d).select("line").repartition(3).write.text(f"{path}/in")
     return run_to_table(tail(spark, f"{path}/in", 2), path).select("line")
+
+
+# ---------------------------------------------------------------- streams in order, alarms
+
+
+@query("l6_stream_rules_in_order", text_queries.all_rules_sql())
+def l6_ordered(spark, d):
+    from seriesmill.plans.text_queries import LEAD, PHRASES, REACTION
+    from seriesmill.streaming.stateful import recent_rules_in_order
+    from seriesmill.streaming.streams import run_to_table
+
+    p = stored(R.prompts(spark, d))
+    part = F.pmod(F.xxhash64("run_id", "idx"), F.lit(3))
+    s, path = _stream_of(spark, [p.where(part == k) for k in (2, 0, 1)], "run_id")
+    x = run_to_table(recent_rules_in_order(s, PHRASES, LEAD, REACTION, ban_last=2, ban_limit=4), path)
+    return x.withColumn("bans", F.array_join("bans", ","))
+
+
+_ATTEMPTS = "WITH a AS (SELECT user_id AS run, event_id AS attempt, ts, CASE WHEN event_id % 3 = 0 THEN 'quota-or-refusal' WHEN event_id % 11 = 1 THEN 'fatal' ELSE 'transient-or-unknown' END AS failure_class FROM events WHERE event_type = 'error'), q AS (SELECT *, sum(CASE WHEN failure_class = 'quota-or-refusal' THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts, attempt ROWS UNBOUNDED PRECEDING) AS quota_refusals FROM a)"
+_WAITS = " SELECT run, attempt, quota_refusals, quota_refusals >= 2 AS long_mode, CASE WHEN quota_refusals >= 2 AND failure_class = 'quota-or-refusal' THEN 3600 WHEN failure_class = 'quota-or-refusal' THEN 300 ELSE 30 END AS wait_seconds FROM q"
+
+
+def _user_attempts(spark, d):
+    """Failed attempts of each user, who stands for a run and a stage."""
+    k = F.col("event_id")
+    kind = F.when(k % 3 == 0, "quota-or-refusal").when(k % 11 == 1, "fatal").otherwise("transient-or-unknown")
+    return R.table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("run"), k.alias("attempt"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("failure_class"))
+
+
+@query("k3_retry_plan_by_run", _ATTEMPTS + _WAITS, quota_refusals="BIGINT")
+def k3_runs(spark, d):
+    return K.retry_plan(_user_attempts(spark, d).withColumn("at", F.struct("ts", "attempt")), ["run"], "at", 2, 30, 300, 3600).select("run", "attempt", "quota_refusals", "long_mode", "wait_seconds")
+
+
+@query("l5_quota_in_order", _ATTEMPTS + _WAITS, quota_refusals="BIGINT")
+def l5_ordered(spark, d):
+    from seriesmill.streaming.stateful import quota_in_order
+    from seriesmill.streaming.streams import run_to_table
+
+    a = stored(_user_attempts(spark, d))
+    first, last = a.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    width = (last or 0) - (first or 0) + 1
+    when = F.floor((F.unix_seconds("ts") - first) * 6 / width) + F.when(F.col("attempt") % 3 == 1, 1).otherwise(0)  # a third comes a trigger late
+    ahead = [spark.sql(f"SELECT -1L AS run, {k}L AS attempt, TIMESTAMP '2100-01-01' + INTERVAL {k} YEARS AS ts, 'x' AS failure_class") for k in (1, 2)]
+    s, path = _stream_of(spark, [*[a.where(when == k) for k in range(7)], *ahead], "run")
+    return run_to_table(quota_in_order(s, ["run"], 2, 30, 300, 3600, f"{-(-width // 6) + 1} seconds"), path).where("run >= 0")
+
+
+@query("k7_live_watchdog", "SELECT DISTINCT user_id AS attempt, 'stalled' AS state FROM events")
+def k7_live(spark, d):
+    """All lines come at once and nothing after them, so every run is reported."""
+    from seriesmill.streaming.stateful import live_watchdog
+
+    s, path = _stream_of(spark, [R.log_lines(spark, d)], "attempt")
+    said = live_watchdog(s, "attempt", F.col("line").startswith("purchase"), F.col("line").startswith("view"), 2.0, 1.0)
+    return _until(said, path, R.table(spark, d, "events").select("user_id").distinct().count()).where("state = 'stalled'").select("attempt", "state").distinct()
+
+
+def _until(said, path: str, runs: int, state: str = "stalled", seconds: int = 300):
+    """Runs a stream of alarms until so many runs are in a state."""
+    spark = said.sparkSession
+    q = said.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/data").trigger(processingTime="500 milliseconds").start()
+    out = spark.read.schema(said.schema).format("parquet")
+    end = time.monotonic() + seconds
+    try:
+        while runs and time.monotonic() < end and q.isActive:
+            q.awaitTermination(1)
+            if q.lastProgress and out.load(f"{path}/data").where(F.col("state") == state).select("attempt").distinct().count() >= runs:
+                break
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return out.load(f"{path}/data")

@@ -89,6 +89,15 @@ def t7(spark, d):
     return T.repeat_reaction(R.prompts(spark, d), REACTION).select("run_id", "idx", "repeats", "allowed")
 
 
+def all_rules_sql() -> str:
+    """T5, T6 and T7 of each prompt in one row."""
+    return (
+        WP + _BANS + f", l AS (SELECT run_id, idx, coalesce(lower(regexp_extract(text, '{LEAD}', 0)), '') AS lead, regexp_matches(text, '{_REACT}') AS reaction FROM prompts) "
+        "SELECT run_id, idx, array_to_string(bans, ',') AS bans, lead, lead <> '' AND len([v FOR v IN coalesce(list(lead) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) IF v = lead]) >= 2 AS repeats_lead, "
+        "reaction AND coalesce(sum(CAST(reaction AS INT)) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) >= 2 AS repeats_reaction, NOT reaction OR idx % 5 = 4 AS reaction_allowed FROM l JOIN bans USING (run_id, idx)"
+    )
+
+
 @query("t8_near_duplicate_recent")
 def t8(spark, d):
     return T.near_duplicate_recent(R.prompts(spark, d)).select("run_id", "idx", F.round("similarity", 6).alias("similarity"), "is_duplicate")
