@@ -16,7 +16,8 @@ from seriesmill.operators import runlogs as K
 from seriesmill.plans import roles as R
 from seriesmill.plans import text_queries
 from seriesmill.plans.registry import query
-from seriesmill.sources import io
+from seriesmill.sources import commits, io
+from seriesmill.sources.files import write_files
 from seriesmill.sources.shared import shared_dir, stored
 
 
@@ -465,19 +466,59 @@ def a6(spark, d):
     return io.latest_only(R.table(spark, d, "events"), "user_id", "event_id", "ts").select("user_id", "event_id")
 
 
+_MARKED = "WITH m AS (SELECT c_custkey AS run, unnest([CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 5 + 1 END, CASE WHEN c_custkey % 7 = 0 THEN 9 END, CASE WHEN c_custkey % 13 = 0 THEN 0 END]) AS k FROM customer)"
+
+
+@query("a4_empty_markers", _MARKED + " SELECT run AS run_id, min(k) - 1 AS chosen_index FROM m WHERE k IS NOT NULL GROUP BY run HAVING count(DISTINCT k) = 1 AND min(k) > 0", run_id="BIGINT", chosen_index="INTEGER")
+def a4_tree(spark, d):
+    """Marker files without content in a folder of each run."""
+    path, run = shared_dir(spark), F.col("c_custkey")
+    index = F.array_compact(F.array(F.when(run % 11 != 0, run % 5 + 1), F.when(run % 7 == 0, F.lit(9)), F.when(run % 13 == 0, F.lit(0)), F.lit(-1)))
+    name = F.when(F.col("k") < 0, "notes.txt").otherwise(F.concat(F.lit("short_"), F.col("k").cast("string"), F.lit("_x.mp4")))
+    tree = R.table(spark, d, "customer").select(run, F.explode(index).alias("k")).select(F.concat(run.cast("string"), F.lit("/shorts/picked/"), name).alias("file"), F.lit(None).cast("string").alias("text"))
+    write_files(tree, path, "file", [], "text")
+    return io.scan_choices(spark, path, "picked").withColumn("run_id", F.col("run_id").cast("long"))
+
+
+@query("a5_media_tree", "SELECT 'user=' || (page_id % 40) || '/' || page_id || CASE page_id % 3 WHEN 0 THEN '.PNG' ELSE '.jpg' END AS relative, CASE WHEN page_id % 4 = 0 THEN 0 ELSE strlen(coalesce(html, '')) END AS length FROM pages WHERE page_id % 3 < 2", length="BIGINT")
+def a5_tree(spark, d):
+    """A file for each page, a quarter of them empty."""
+    path, k = shared_dir(spark), F.col("page_id")
+    name = F.concat(F.lit("user="), (k % 40).cast("string"), F.lit("/"), k.cast("string"), F.when(k % 3 == 0, ".PNG").when(k % 3 == 1, ".jpg").otherwise(".txt"))
+    write_files(R.table(spark, d, "pages").select(name.alias("file"), F.when(k % 4 != 0, F.col("html")).alias("text")), path, "file", [], "text")
+    return io.scan_media(spark, path, ["png", ".JPG"]).select("relative", "length")
+
+
 @query("a8_publish_generation", "SELECT doc_id, lang FROM documents")
 def a8(spark, d):
     path = shared_dir(spark)
     docs = R.table(spark, d, "documents").select("doc_id", "lang")
-    io.publish_generation(docs.limit(0), path)
-    io.publish_generation(docs, path)
-    return io.read_generation(spark, path)
+    commits.publish_generation(docs.limit(0), path)
+    commits.publish_generation(docs, path)
+    return commits.read_generation(spark, path)
+
+
+@query("a8_published_batches", "SELECT user_id, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def a8_batches(spark, d):
+    """Totals that a stream publishes anew after each batch; the first batches are delivered again by a query without their checkpoint."""
+    s, path = _stream(spark, d, R.table(spark, d, "events").select("user_id", "value").repartition(3, "user_id"))
+
+    def add(batch, table):
+        new = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+        both = new if table is None else new.unionByName(table)
+        return both.groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("total").alias("total"))
+
+    for k in (1, 2):
+        q = s.writeStream.foreachBatch(commits.publish_batches(f"{path}/table", "totals", add)).option("checkpointLocation", f"{path}/checkpoint{k}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return commits.read_generation(spark, f"{path}/table").select("user_id", "events", F.round("total", 4).alias("total"))
 
 
-@query("a9_content_inventory")
+@query("a9_content_inventory", "SELECT 'pages-' || (page_id % 7) || '/' || page_id || '.html' AS relative_path, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS sha256 FROM pages")
 def a9(spark, d):
-    path = shared_dir(spark) + "/inventory"
-    R.table(spark, d, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).write.json(path)
+    """A file for each page."""
+    path, k = shared_dir(spark) + "/inventory", F.col("page_id")
+    write_files(R.table(spark, d, "pages").select(F.concat(F.lit("pages-"), (k % 7).cast("string"), F.lit("/"), k.cast("string"), F.lit(".html")).alias("file"), "html"), path, "file", [], "html")
     return io.content_inventory(spark, path).select("relative_path", "bytes", "sha256")
 
 
@@ -647,7 +688,7 @@ def l6(spark, d):
 def _growing_logs(spark, d):
     """A log file for each attempt that grows in three rounds, each time by a third of its lines and half of the next one; a stream that starts anew after each round tails them."""
     from seriesmill.streaming.streams import run_to_table
-    from seriesmill.streaming.tail import tail_lines, write_logs
+    from seriesmill.streaming.tail import tail_lines
 
     path = shared_dir(spark)
     w = Window.partitionBy("attempt")
@@ -657,7 +698,7 @@ def _growing_logs(spark, d):
         edge = F.floor(F.col("of") * part / 3)
         text = F.when(F.col("n") <= edge, F.concat("line", F.lit("\n"))).otherwise(F.substring(F.col("line"), F.lit(1), F.floor(F.length("line") / 2).cast("int")))
         written = lines.where(F.col("n") <= edge + 1).select(F.concat(F.lit("run-"), F.col("attempt").cast("string"), F.lit(".log")).alias("file"), "n", text.alias("text"))
-        write_logs(written, f"{path}/logs", "file", ["n"], "text")
+        write_files(written, f"{path}/logs", "file", ["n"], "text")
         x = run_to_table(tail_lines(spark, f"{path}/logs", "run-*.log"), path)
     return x.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("attempt"), "position", "line")
 
