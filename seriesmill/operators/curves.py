@@ -212,3 +212,16 @@ def metric_boundary_scores(frames: DataFrame, radius: int, alignment: str = "ali
     start = clip01(weighted_sum([(0.30, F.col(alignment)), (0.25, F.col(boundary)), (0.25, rise), (0.20, F.col(onset))]))
     end = clip01(weighted_sum([(0.35, F.col(alignment)), (0.30, F.col(boundary)), (0.25, release), (0.10, F.col(onset) * release)]))
     return m.withColumn("start_score", start).withColumn("end_score", end).drop("_a", "_b")
+
+
+def ending_components(frames: DataFrame, points: DataFrame, radius: int, tolerance: float = 0.35, energy: str = "rms", onset: str = "onset", novelty: str = "novelty") -> DataFrame:
+    """frames with beat (closeness to the nearest point, 0 at the tolerance and without points), release (fall of the mean energy of `radius` frames from before to behind, at least 0) and ending_cleanliness.
+
+    What stands before the first frame counts as silence. Computed once for each frame; refine_end takes beat, release and the other curves as its parts.
+    """
+    from seriesmill.operators.points import alignment, nearest_distance
+
+    near = nearest_distance(frames, points, [KEY, ORDER]).select(KEY, ORDER, alignment(F.col("distance"), tolerance).alias("beat"))
+    before, after = F.coalesce(F.avg(energy).over(_rows(-radius, -1)), F.lit(0.0)), F.avg(energy).over(_rows(0, radius - 1))
+    x = frames.withColumn("release", F.greatest(F.lit(0.0), before - F.coalesce(after, before))).join(near, [KEY, ORDER])
+    return x.withColumn("ending_cleanliness", weighted_sum([(0.45, F.col("beat")), (0.30, F.col(novelty)), (0.15, F.col("release")), (0.10, F.col(onset))]))

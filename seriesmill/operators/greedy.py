@@ -1,16 +1,18 @@
 """Greedy folds over a group's rows in a fixed order: suppression, leader clustering, marginal selection.
 
 A fold collects one group's rows in one row, so groups must be bounded: candidates of one series (some thousands at most).
-For unbounded input, cut each group to its best rows first (`select.top_k`).
+For unbounded groups of intervals `suppress_by_rounds` and `clusters_by_rounds` give the same rows without gathering any group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesmill.sources.shared import discard, stored
+
 
 def greedy_suppress(df: DataFrame, by: list[str], order: list[Column], carry: list[str], conflict: Callable[[Column, Column], Column], limit: int | None = None) -> DataFrame:
     """Rows that conflict with no row kept before, in the given order; carry plus `rank` (from 1, in acceptance order).
@@ -63,3 +65,59 @@ def leader_clusters(df: DataFrame, by: list[str], order: list[Column], ident: st
     rows = groups.withColumn("leaders", F.transform(fold, lambda k, i: F.struct((i + 1).alias("rank"), k.alias("x")))).select(*by, "leaders", F.explode("all").alias("r")).select(*by, "leaders", F.col("r.x").alias("me"))
     first = F.filter("leaders", lambda k: (k["x"][ident] == F.col("me")[ident]) | same(F.col("me"), k["x"]))[0]
     return rows.select(*by, F.col("me")[ident].alias(ident), first.alias("f")).select(*by, ident, F.col("f.rank").alias("cluster"), (F.col("f.x")[ident] == F.col(ident)).alias("is_leader"))
+
+
+# ---------------------------------------------------------------- groups of any size
+
+
+def _bins(lo: str, hi: str, width: float) -> Column:
+    return F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor(F.col(hi) / width).cast("long"))
+
+
+def _accept(df: DataFrame, by: list[str], order: list[Column], carry: list[str], conflict: Callable[[Column, Column], Column], lo: str, hi: str, width: float) -> DataFrame:
+    """by, key (the order's struct), x (struct of carry) of the rows that a greedy fold keeps."""
+    left = stored(df.select(*by, F.struct(*order, F.struct(*carry).alias("x")).alias("key"), F.struct(*carry).alias("x"), _bins(lo, hi, width).alias("bins")).withColumn("id", F.monotonically_increasing_id()))
+    kept = []
+    while not left.isEmpty():
+        cells = left.select(*by, "id", "key", "x", F.size("bins").alias("n"), F.explode("bins").alias("bin"))
+        first = cells.groupBy(*by, "bin").agg(F.min_by(F.struct("id", "key", "x", "n"), "key").alias("f"))
+        best = first.groupBy(*by, "f.id").agg(F.count(F.lit(1)).alias("m"), F.first("f").alias("f"), F.collect_list("bin").alias("bins"))
+        won = stored(best.where(F.col("m") == F.col("f.n")).select(*by, F.col("f.id").alias("id"), F.col("f.key").alias("key"), F.col("f.x").alias("x"), "bins"))
+        marks = won.select(*by, F.explode("bins").alias("bin"), F.col("x").alias("winner"), F.col("id").alias("winner_id"))
+        gone = left.select(*by, "id", "x", F.explode("bins").alias("bin")).join(marks, [*by, "bin"]).where((F.col("id") == F.col("winner_id")) | conflict(F.col("x"), F.col("winner"))).select("id").distinct()
+        rest = stored(left.join(gone, "id", "left_anti"))
+        discard(left)
+        kept.append(won)
+        left = rest
+    discard(left)
+    if not kept:
+        return left.limit(0).select(*by, "key", "x")
+    out = kept[0].select(*by, "key", "x")
+    for x in kept[1:]:
+        out = out.unionByName(x.select(*by, "key", "x"))
+    return out
+
+
+def suppress_by_rounds(df: DataFrame, by: list[str], order: list[Column], carry: list[str], conflict: Callable[[Column, Column], Column], lo: str, hi: str, width: float, limit: int | None = None) -> DataFrame:
+    """The rows of greedy_suppress, for groups of any size.
+
+    lo and hi: columns of numbers with lo <= hi, not null; rows that conflict must have overlapping stretches [lo, hi]. The line is cut in bins of `width`. In each round a row
+    that comes first in the order in every bin that it touches is kept, as nothing that could be kept before it can conflict with it; then what conflicts with it
+    goes. A bin keeps one row a round, so nothing is compared but rows with their bins' winners: a round costs rows times bins each, and rounds are as
+    many as rows that are kept one after the other in a neighbourhood. width: about the length of a stretch.
+    """
+    won = _accept(df, by, order, carry, conflict, lo, hi, width)
+    ranked = won.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key")))
+    return (ranked.where(F.col("rank") <= limit) if limit is not None else ranked).select(*by, "rank", "x.*")
+
+
+def clusters_by_rounds(df: DataFrame, by: list[str], order: list[Column], ident: str, carry: list[str], same: Callable[[Column, Column], Column], lo: str, hi: str, width: float) -> DataFrame:
+    """The rows of leader_clusters, for groups of any size; lo, hi and width as for suppress_by_rounds, for rows that may be the same. Leaders are found by rounds; then each row meets the leaders of its bins."""
+    names = [ident, *[c for c in carry if c != ident]]
+    leaders = stored(_accept(df, by, order, names, same, lo, hi, width).withColumn("cluster", F.row_number().over(Window.partitionBy(*by).orderBy("key"))))
+    extent = df.select(*by, F.col(ident).alias("_i"), _bins(lo, hi, width).alias("bins"))
+    at = leaders.join(extent.withColumnRenamed("_i", "_l"), [*[leaders[c].eqNullSafe(extent[c]) for c in by], leaders["x"][ident] == F.col("_l")]).select(*[leaders[c] for c in by], "cluster", F.col("x").alias("leader"), F.explode("bins").alias("bin"))
+    rows = df.select(*by, F.struct(*names).alias("me"), F.explode(_bins(lo, hi, width)).alias("bin"))
+    met = rows.join(at, [*by, "bin"]).where((F.col("leader")[ident] == F.col("me")[ident]) | same(F.col("me"), F.col("leader")))
+    first = met.groupBy(*by, F.col("me")[ident].alias(ident)).agg(F.min("cluster").alias("cluster"), F.max(F.col("leader")[ident] == F.col("me")[ident]).alias("is_leader"))
+    return first.select(*by, ident, "cluster", "is_leader")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 try:  # the automaton in C; without it, the same in Python
@@ -73,6 +73,24 @@ class PhraseAutomaton:
         return [self.phrases[k] for k in sorted([*self.always, *(k for p in set(self._hits(text)) for k in self.places[p])])]
 
 
+def recent_bans(history: DataFrame, phrases: DataFrame, last: int = 8, limit: int = 12) -> DataFrame:
+    """recent_phrase_bans with a table of phrases (priority, phrase): bans are the phrases in the last texts of a run (run_id, idx, text), in order of (priority, phrase).
+
+    The phrases, a few ten thousand at most, are collected; a row costs one pass over its last texts, however many they are.
+    """
+    listed = [r["phrase"] for r in phrases.where("phrase is not null").orderBy("priority", "phrase").select("phrase").collect()]
+    sent = history.sparkSession.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = PhraseAutomaton(sent.value)
+        for texts in batches:
+            yield pd.Series([automaton.found(t)[:limit] for t in texts], dtype=object)
+
+    w = Window.partitionBy("run_id").orderBy("idx").rowsBetween(-last, -1)
+    return history.withColumn("bans", found(F.lower(F.concat_ws(" ", F.collect_list("text").over(w)))))
+
+
 def with_rules(texts: DataFrame, rules: DataFrame, text: str = "text", style: str | None = None) -> DataFrame:
     """texts with violations, the names of the rules that a text breaks, in order of (priority, name).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.scalars import clip01, gap_closeness, interval_overlap_ratio, is_finite
-from seriesmill.operators.greedy import leader_clusters
+from seriesmill.operators.greedy import clusters_by_rounds, leader_clusters
 
 KEY = "series_id"
 
@@ -61,6 +61,14 @@ def cluster_events(df: DataFrame, quality: str = "quality_score", overlap: float
     return good.join(got.withColumnRenamed("is_leader", "is_champion"), [KEY, "candidate_id"])
 
 
+def cluster_events_by_rounds(df: DataFrame, quality: str = "quality_score", overlap: float = 0.5, tolerance: float = 8.0, width: float = 60.0) -> DataFrame:
+    """The rows of cluster_events, for series with any number of candidates; start_time and end_time aren't null. width: about a candidate's length."""
+    centre = (F.col("nucleus_start") + F.col("nucleus_end")) / 2
+    good = df.where(is_finite(F.col(quality))).withColumn("_lo", F.least("start_time", "nucleus_start", centre - tolerance / 2)).withColumn("_hi", F.greatest("end_time", "nucleus_end", centre + tolerance / 2))
+    got = clusters_by_rounds(good, [KEY], _order(quality), "candidate_id", _CARRY, same_event(overlap, tolerance), "_lo", "_hi", width)
+    return good.drop("_lo", "_hi").join(got.withColumnRenamed("is_leader", "is_champion"), [KEY, "candidate_id"])
+
+
 def with_floor(clustered: DataFrame, quality: str = "quality_score", ratio: float = 0.94, absolute: float | None = None) -> DataFrame:
     """quality_rank, floor, and champion_rank (of champions) within each series."""
     s = Window.partitionBy(KEY)

@@ -68,11 +68,12 @@ def refine_end(windows: DataFrame, frames: DataFrame, radius: int, shortest: int
     return w.join(best, [KEY, "start_idx", "end_idx"], "left").select(KEY, "start_idx", "end_idx", F.coalesce("_best", stay).cast("int").alias("refined_idx"))
 
 
-def refine_both(windows: DataFrame, frames: DataFrame, radius: int, shortest: float, longest: float, fps: float = 1.0, top: int = 16, start: str = "start_score", end: str = "end_score") -> DataFrame:
+def refine_both(windows: DataFrame, frames: DataFrame, radius: int, shortest: float, longest: float, fps: float = 1.0, top: int = 16, start: str = "start_score", end: str = "end_score", limits: DataFrame | None = None) -> DataFrame:
     """(series_id, start_idx, end_idx, refined_start, refined_end): the best pair of the `top` starts and ends within `radius`.
 
     Joint score 0.40 start + 0.40 end + 0.14 smaller + 0.06 closeness to the nominal length, which must lie between
     shortest and longest; ties: least total shift, earliest start, earliest end. Without an allowed pair, as it was.
+    limits: (series_id, shortest, longest) where these differ from series to series.
     """
     last = frames.groupBy(KEY).agg(F.max(ORDER).alias("_last"))
     ids = [KEY, "start_idx", "end_idx"]
@@ -87,6 +88,8 @@ def refine_both(windows: DataFrame, frames: DataFrame, radius: int, shortest: fl
     length, nominal = (F.col("b") - F.col("a")) / fps, (F.col("end_idx") - F.col("start_idx")) / fps
     close = F.greatest(F.lit(0.0), 1 - F.abs(length - nominal) / max(2.0 * radius / fps, 1e-6))
     joint = 0.40 * F.col("sa") + 0.40 * F.col("sb") + 0.14 * F.least("sa", "sb") + 0.06 * close
+    if limits is not None:
+        both, shortest, longest = both.join(limits.select(KEY, "shortest", "longest"), KEY), F.col("shortest"), F.col("longest")
     fit = both.where((length >= shortest - 1e-6) & (length <= longest + 1e-6))
     key = F.struct(joint, -(F.abs(F.col("a") - F.col("start_idx")) + F.abs(F.col("b") - F.col("end_idx"))), -F.col("a"), -F.col("b"))
     best = fit.groupBy(*ids).agg(F.max_by(F.struct("a", "b"), key).alias("_x"))
@@ -177,13 +180,19 @@ def padding_risk(frames: DataFrame, windows: DataFrame, energy: str = "rms", low
     return windows.select(*ids).distinct().join(m, ids, "left").select(*ids, F.coalesce(risk, F.lit(1.0)).alias("padding_risk"))
 
 
-def nucleus_proposals(frames: DataFrame, lengths: list[int], step: int, prior_at: float, lead: int, early: int, fps: float = 1.0, hook: str = "hook", energy: str = "rms", start: str = "start_score") -> DataFrame:
-    """Scored windows of the given lengths every `step` frames: hook mean and upper quartile, start boundary, lift, payoff by thirds, minus low energy and instability."""
+def nucleus_proposals(frames: DataFrame, lengths: list[int], step: int, prior_at: float, lead: int, early: int, fps: float = 1.0, hook: str = "hook", energy: str = "rms", start: str = "start_score", whole: bool = False) -> DataFrame:
+    """Scored windows of the given lengths every `step` frames: hook mean and upper quartile, start boundary, lift, payoff by thirds, minus low energy and instability.
+
+    whole: a series too short for any of the lengths has one window, of all its frames but the last.
+    """
     n = frames.groupBy(KEY).agg((F.max(ORDER) + 1).alias("n"))
     w = None
     for length in lengths:
         one = sliding_windows(n, length, step).withColumn("prior", clip01(F.lit(1.0 - abs(length / fps - prior_at) / prior_at)))
         w = one if w is None else w.unionByName(one)
+    if whole:
+        short = n.where((F.col("n") >= 2) & (F.col("n") - 1 < min(lengths)))
+        w = w.unionByName(short.select(KEY, F.lit(0).alias("start_idx"), (F.col("n") - 1).cast("int").alias("end_idx"), clip01(1.0 - F.abs((F.col("n") - 1) / fps - prior_at) / prior_at).alias("prior")))
     ids = [KEY, "start_idx", "end_idx"]
     lag = F.lag(hook).over(Window.partitionBy(KEY).orderBy(ORDER))
     f = frames.select(KEY, ORDER, F.col(hook).alias("h"), F.col(energy).alias("e"), F.abs(F.col(hook) - lag).alias("d"))
@@ -237,6 +246,44 @@ def expand_nuclei(nuclei: DataFrame, frames: DataFrame, lengths: list[int], plac
     return out.where((F.col("start_idx") <= a) & (F.col("end_idx") >= b) & (F.col("end_idx") - F.col("start_idx") >= shortest) & (F.col("end_idx") - F.col("start_idx") <= longest)).distinct()
 
 
+def allowed_lengths(series: DataFrame, shortest: float, target_from: float, target_to: float, longest: float, fps: float = 1.0) -> DataFrame:
+    """(series_id, n, shortest, target_from, target_to, longest, durations) of each series (series_id, n) of two frames or more, in seconds.
+
+    Limits are clamped to what the series has; durations are the different ones of shortest, target_from, the targets' middle, target_to and longest.
+    """
+    x = series.where("n >= 2").select(KEY, "n", ((F.col("n") - 1) / fps).alias("_a"))
+    x = x.withColumn("longest", F.least(F.lit(float(longest)), "_a")).withColumn("shortest", F.least(F.lit(float(shortest)), "longest"))
+    x = x.withColumn("target_from", F.least(F.greatest(F.lit(float(target_from)), "shortest"), "longest"))
+    x = x.withColumn("target_to", F.least(F.greatest(F.lit(float(target_to)), "target_from"), "longest"))
+    every = F.array("shortest", "target_from", (F.col("target_from") + F.col("target_to")) / 2.0, "target_to", "longest")
+    fits = F.filter(F.transform(every, lambda v: F.round(v, 3)), lambda v: (v >= F.col("shortest") - 1e-6) & (v <= F.col("longest") + 1e-6))
+    return x.withColumn("durations", F.array_distinct(fits)).select(KEY, "n", "shortest", "target_from", "target_to", "longest", "durations")
+
+
+def with_fallback(nuclei: DataFrame, lengths: DataFrame, fps: float = 1.0) -> DataFrame:
+    """nuclei (series_id, nucleus_id, start_idx, end_idx, nucleus_score), and for each series of allowed_lengths without one its beginning, of the shortest length, with a score of 0."""
+    lonely = lengths.join(nuclei.select(KEY).distinct(), KEY, "left_anti")
+    end = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.rint(F.col("shortest") * fps).cast("int")))
+    return nuclei.select(KEY, "nucleus_id", "start_idx", "end_idx", "nucleus_score").unionByName(lonely.select(KEY, F.lit("nucleus_001").alias("nucleus_id"), F.lit(0).alias("start_idx"), end.cast("int").alias("end_idx"), F.lit(0.0).alias("nucleus_score")))
+
+
+def expand_all_series(nuclei: DataFrame, frames: DataFrame, lengths: DataFrame, placements: tuple[float, ...], radius: int, fps: float = 1.0) -> DataFrame:
+    """expand_nuclei with each series' own lengths (allowed_lengths); series that are short or have no nucleus have candidates too. Only series with fewer than two frames have none."""
+    x = with_fallback(nuclei, lengths, fps).select(KEY, "nucleus_id", F.col("start_idx").alias("nucleus_start"), F.col("end_idx").alias("nucleus_end"))
+    x = x.join(lengths, KEY).withColumn("len", F.explode("durations")).withColumn("len", F.greatest(F.lit(1), F.rint(F.col("len") * fps).cast("int"))).withColumn("place", F.explode(F.array(*[F.lit(p) for p in placements])))
+    a, b, size = F.col("nucleus_start"), F.col("nucleus_end"), F.col("len")
+    x = x.where(size >= b - a)
+    nominal = F.greatest(F.least(F.rint((a + b) / 2.0 - F.col("place") * size).cast("int"), a), b - size)
+    nominal = F.greatest(F.lit(0), F.least(nominal, F.col("n") - size - 1))
+    x = x.withColumn("start_idx", nominal.cast("int")).withColumn("end_idx", F.least(F.col("n") - 1, F.col("start_idx") + size).cast("int"))
+    r = x.join(refine_both(x, frames, radius, 0, 0, fps, limits=lengths), [KEY, "start_idx", "end_idx"])
+    bad = (F.col("refined_start") > a) | (F.col("refined_end") < b)
+    s, e = F.when(bad, F.col("start_idx")).otherwise(F.col("refined_start")), F.when(bad, F.col("end_idx")).otherwise(F.col("refined_end"))
+    out = r.select(KEY, "nucleus_id", "nucleus_start", "nucleus_end", s.alias("start_idx"), e.alias("end_idx"), "shortest", "longest")
+    seconds = (F.col("end_idx") - F.col("start_idx")) / fps
+    return out.where((F.col("start_idx") <= a) & (F.col("end_idx") >= b) & (seconds >= F.col("shortest") - 1e-6) & (seconds <= F.col("longest") + 1e-6)).drop("shortest", "longest").distinct()
+
+
 def score_candidates(candidates: DataFrame, frames: DataFrame, nuclei: DataFrame, opening: int, onset_head: int, tail: int, shortest: float, target_from: float, target_to: float, longest: float, fps: float = 1.0) -> DataFrame:
     """event_score, edit_score, structure_score and their breakdown (a map) of each candidate (series_id, nucleus_id, nucleus_start, nucleus_end, start_idx, end_idx)."""
     ids = [KEY, "nucleus_id", "nucleus_start", "nucleus_end", "start_idx", "end_idx"]

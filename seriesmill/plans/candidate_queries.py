@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesmill.operators import curves as C
 from seriesmill.operators import joins
 from seriesmill.operators import select as E
 from seriesmill.operators import windows as W
@@ -19,8 +20,9 @@ IDS = ["series_id", "start_idx", "end_idx"]
 _WIN = ", win AS (SELECT series_id, CAST(s AS INT) AS start_idx, CAST(s + 20 AS INT) AS end_idx FROM (SELECT series_id, unnest(generate_series(0, n - 21, 5)) AS s FROM series WHERE n > 20))"
 
 
-def _frames(spark, d):
-    f = scored_frames(spark, d)
+def _frames(spark, d, some: str = "true"):
+    """Frames with scores in all roles; some: which frames the series have."""
+    f = scored_frames(spark, d, some)
     return f.select("*", F.col("novelty").alias("flux"), F.col("vocal").alias("synth"), F.col("density").alias("melody"), F.col("bass").alias("repeat"), F.col("vocal").alias("hook"), F.col("flatness").alias("ending"))
 
 
@@ -176,6 +178,25 @@ def d11(spark, d):
     return _expanded(f, stored(_suppressed(f)))
 
 
+#: Series of very different lengths, most of them short: a series keeps its first frames only.
+_SHORT = WR.replace("frames AS (", "all_frames AS (", 1).replace(", series AS", ", frames AS (SELECT * FROM all_frames WHERE frame_idx < (series_id * 7) % 90), series AS", 1)
+_NUC_WHOLE = _NUC.replace("v(l) WHERE n > l))", "v(l) WHERE n > l UNION ALL SELECT series_id, n - 1 AS l, 0 AS s FROM series WHERE n BETWEEN 2 AND 8))", 1)
+_EXP_ALL = """, ln AS (SELECT series_id, CAST(n AS INT) AS n, least(24.0, n - 1) AS emax, least(14.0, emax) AS emin, least(greatest(16.0, emin), emax) AS t0, least(greatest(20.0, t0), emax) AS t1 FROM series WHERE n >= 2)
+, nu AS (SELECT ln.series_id, coalesce(q.nucleus_id, 'nucleus_001') AS nucleus_id, coalesce(q.start_idx, 0) AS a, coalesce(q.end_idx, least(n - 1, greatest(1, CAST(round_even(emin, 0) AS INT)))) AS b FROM ln LEFT JOIN (SELECT * FROM sup WHERE nucleus_score >= 0.55) q USING (series_id))
+, ex0 AS (SELECT nu.*, n, l, greatest(least(CAST(round_even((a + b) / 2.0 - p * l, 0) AS INT), a), b - l) AS st FROM (SELECT DISTINCT series_id, n, greatest(1, CAST(round_even(unnest([emin, t0, (t0 + t1) / 2, t1, emax]), 0) AS INT)) AS l FROM ln) JOIN nu USING (series_id), (VALUES (0.25), (0.40), (0.55)) y(p) WHERE l >= b - a)
+, ex AS (SELECT series_id, nucleus_id, a, b, greatest(0, least(st, n - l - 1)) AS start_idx, least(n - 1, greatest(0, least(st, n - l - 1)) + l) AS end_idx FROM ex0)""" + _REFINE.format(w="ex", top=16, lo="(SELECT emin FROM ln WHERE ln.series_id = sa.series_id)", hi="(SELECT emax FROM ln WHERE ln.series_id = sa.series_id)") + """
+, ey AS (SELECT ex.series_id, ex.nucleus_id, a, b, CASE WHEN refined_start > a OR refined_end < b THEN ex.start_idx ELSE refined_start END AS start_idx, CASE WHEN refined_start > a OR refined_end < b THEN ex.end_idx ELSE refined_end END AS end_idx FROM ex JOIN refined USING (series_id, start_idx, end_idx))
+SELECT DISTINCT series_id, nucleus_id, a AS nucleus_start, b AS nucleus_end, start_idx, end_idx FROM ey JOIN ln USING (series_id) WHERE start_idx <= a AND end_idx >= b AND end_idx - start_idx BETWEEN emin AND emax"""
+
+
+@query("d11_expand_all_series", _SHORT + _NUC_WHOLE + _SUP + _EXP_ALL)
+def d11_all(spark, d):
+    """Short series, and quiet ones whose nuclei don't reach a score."""
+    f = stored(_frames(spark, d, "frame_idx < pmod(series_id * 7, 90)"))
+    nuclei = stored(W.suppress_nuclei(W.nucleus_proposals(f, [8, 10, 14], 4, 10.0, 6, 4, whole=True).withColumn("nucleus_score", F.round("nucleus_score", 6)), 6).where("nucleus_score >= 0.55"))
+    return W.expand_all_series(nuclei, f, W.allowed_lengths(R.series(f), 14, 16, 20, 24), (0.25, 0.40, 0.55), 4)
+
+
 _SC = """, ci AS (SELECT c.*, f.vocal AS hook, f.onset, f.rms, f.frame_idx, f.frame_idx - c.start_idx AS k FROM expd c JOIN frames f ON f.series_id = c.series_id AND f.frame_idx >= c.start_idx AND f.frame_idx < c.end_idx)
 , cm AS (SELECT series_id, nucleus_id, nucleus_start, nucleus_end, start_idx, end_idx, avg(hook) AS hook, avg(hook) FILTER (k < 3) AS hook0, quantile_cont(onset, 0.9) FILTER (k < 2) AS o90, avg(rms) FILTER (frame_idx >= nucleus_start AND frame_idx < nucleus_end) AS en, avg(rms) FILTER (frame_idx < nucleus_start) AS pre, avg(rms) FILTER (frame_idx >= nucleus_end) AS post,
    avg(rms) FILTER (frame_idx >= greatest(start_idx, end_idx - 5)) AS c1, avg(rms) FILTER (frame_idx >= greatest(start_idx, end_idx - 10) AND frame_idx < greatest(start_idx, end_idx - 5)) AS c0 FROM ci GROUP BY ALL)
@@ -317,3 +338,48 @@ def g1(spark, d):
     x = R.table(spark, d, "lineitem")
     order = [(-F.col("l_extendedprice")).alias("o1"), F.col("l_linenumber").alias("o2"), F.col("l_partkey").alias("o3")]
     return greedy_suppress(x, ["l_orderkey"], order, ["l_partkey"], lambda a, b: F.abs(a["l_partkey"] - b["l_partkey"]) < 300).select("l_orderkey", "l_partkey")
+
+
+# ---------------------------------------------------------------- endings from their components
+
+_ENDINGS = f", {R.POINTS}, ending AS (SELECT f.*, coalesce(greatest(0.0, 1 - (SELECT min(abs(p.t - f.t)) FROM points p WHERE p.series_id = f.series_id) / 0.35), 0.0) AS beat, greatest(0.0, coalesce(avg(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0.0) - avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) AS release FROM frames f WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)), clean AS (SELECT *, 0.45 * beat + 0.30 * novelty + 0.15 * release + 0.10 * onset AS cleanliness FROM ending)"
+
+
+def _ending_frames(spark, d):
+    f = _frames(spark, d)
+    return C.ending_components(f, R.points(f), 2)
+
+
+@query("c21_ending_components", WS + _ENDINGS + " SELECT series_id, frame_idx, round(beat, 6) AS beat, round(release, 6) AS release, round(cleanliness, 6) AS ending_cleanliness FROM clean")
+def c21_endings(spark, d):
+    return _ending_frames(spark, d).select("series_id", "frame_idx", *[r6(c) for c in ("beat", "release", "ending_cleanliness")])
+
+
+@query("d3_refine_computed_end", registry.sql_of("d3_refine_end").replace(" o AS (", _ENDINGS[2:] + ", o AS (", 1).replace("0.35 * f.vocal", "0.35 * f.beat").replace("0.20 * f.rms", "0.20 * f.release").replace("JOIN frames f ON", "JOIN ending f ON"))
+def d3_computed(spark, d):
+    f = stored(_ending_frames(spark, d))
+    return W.refine_end(_windows(f), f, 4, 17, 23, {"beat": 0.35, "novelty": 0.30, "release": 0.20, "onset": 0.10})
+
+
+@query("d7_dynamic_with_endings", registry.sql_of("d7_window_features_dynamic").replace(" rk AS (", _ENDINGS[2:] + ", rk AS (", 1).replace("coalesce(e1.flatness, 0.0) AS clean", "coalesce(e1.cleanliness, 0.0) AS clean").replace("LEFT JOIN frames e1", "LEFT JOIN clean e1"))
+def d7_endings(spark, d):
+    f = stored(_ending_frames(spark, d))
+    x = W.window_features_dynamic(f, _windows(f), 2, 15, 22, 26, 30, 1.0, 3, sample=12, clean="ending_cleanliness")
+    return x.select(*IDS, *[r6(c) for c in ("start_impact", "arc_payoff", "repetition_penalty", "padding_penalty", "dynamic_score")])
+
+
+# ---------------------------------------------------------------- greedy by rounds: groups of any size
+
+
+@query("g1_suppress_by_rounds", registry.sql_of("g1_greedy_suppress"))
+def g1_rounds(spark, d):
+    from seriesmill.operators.greedy import suppress_by_rounds
+
+    x = R.table(spark, d, "lineitem").withColumn("lo", F.col("l_partkey") - 150).withColumn("hi", F.col("l_partkey") + 150)
+    order = [(-F.col("l_extendedprice")).alias("o1"), F.col("l_linenumber").alias("o2"), F.col("l_partkey").alias("o3")]
+    return suppress_by_rounds(x, ["l_orderkey"], order, ["l_partkey"], lambda a, b: F.abs(a["l_partkey"] - b["l_partkey"]) < 300, "lo", "hi", 300.0).select("l_orderkey", "l_partkey")
+
+
+@query("e1_clusters_by_rounds", registry.sql_of("e1_cluster_events"))
+def e1_rounds(spark, d):
+    return E.cluster_events_by_rounds(R.candidates(spark, d), width=60.0).select("series_id", "candidate_id", "cluster", "is_champion")

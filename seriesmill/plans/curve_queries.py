@@ -243,9 +243,9 @@ SCORES = """, sc0 AS (SELECT series_id, frame_idx, vocal AS alignment, novelty A
   greatest(0.0, least(1.0, 0.35 * alignment + 0.30 * boundary + 0.25 * greatest(0.0, least(1.0, 0.5 + 1.25 * (b - a))) + 0.10 * onset * greatest(0.0, least(1.0, 0.5 + 1.25 * (b - a))))) AS end_score FROM sc0)"""
 
 
-def scored_frames(spark, d):
-    """Frames with start and end scores; vocal stands for the alignment, novelty for the boundary."""
-    f = R.frames(spark, d).withColumn("alignment", F.col("vocal")).withColumn("boundary", F.col("novelty"))
+def scored_frames(spark, d, some: str = "true"):
+    """Frames with start and end scores; vocal stands for the alignment, novelty for the boundary. some: which frames there are."""
+    f = R.frames(spark, d).where(some).withColumn("alignment", F.col("vocal")).withColumn("boundary", F.col("novelty"))
     return C.metric_boundary_scores(f, 2)
 
 

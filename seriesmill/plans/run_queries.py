@@ -215,6 +215,25 @@ def p10(spark, d):
     return P.history_fingerprint(R.selections(spark, d), "track", key)
 
 
+_ONCE = ", once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, " + ", ".join(f"round(d{i}, 8)" for i in range(4)) + " ORDER BY report, item, l_partkey, l_suppkey) AS n FROM pairs) WHERE n = 1)"
+_MODEL = _PAIRS.replace("b.l_partkey, ", "b.l_partkey, b.l_suppkey, ", 1) + _ONCE + _LOGO.replace("FROM pairs", "FROM once") + f", fitted AS {_solved('total')}, gate AS (SELECT count(*) >= 10 AND sum(correct) / sum(n) > 0.3 AS enabled FROM judged), scored AS (SELECT report, item, l_partkey, l_suppkey, l_tax * 10 AS structure, enabled, CASE WHEN enabled THEN 1 / (1 + exp(-greatest(-40.0, least(40.0, " + " + ".join(f"z{i} * w{i}" for i in range(4)) + ")))) ELSE 0.5 END AS preference FROM z, fitted, gate)"
+
+
+@query("d14_preference_model", f"WITH {R.SELECTIONS}{_MODEL} SELECT report, item, l_partkey, l_suppkey, round(preference, 6) AS preference, round(CASE WHEN enabled THEN 0.85 * structure + 0.15 * preference ELSE structure END, 6) AS quality_score FROM scored")
+def d14_model(spark, d):
+    """A pipeline with the preference stage, fitted on all selections, saved, loaded, and applied to them."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from seriesmill.operators.preference_model import PreferenceEstimator
+
+    s = stored(R.selections(spark, d).withColumn("item_key", F.struct("item", "l_partkey", "l_suppkey")).withColumn("structure_score", F.col("l_tax") * 10))
+    learn = PreferenceEstimator(groupCols=["report"], featureCols=R.FEATURES, itemCol="item_key", structureCol="structure_score", threshold=0.3)
+    path = f"{shared_dir(spark)}/model"
+    Pipeline(stages=[learn]).fit(s).write().save(path)
+    out = PipelineModel.load(path).transform(s)
+    return out.select("report", "item", "l_partkey", "l_suppkey", r6("preference"), r6("quality_score"))
+
+
 # ---------------------------------------------------------------- H
 
 WX = f"WITH {R.PIXELS}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesmill.functions.scalars import settings_hash
+from seriesmill.operators import phrases as A
 from seriesmill.operators import textrules as T
 from seriesmill.plans import roles as R
 from seriesmill.plans.registry import query
@@ -76,6 +77,37 @@ def t5(spark, d):
     return T.recent_phrase_bans(R.prompts(spark, d), PHRASES, 2, 4).select("run_id", "idx", F.array_join("bans", ",").alias("bans"))
 
 
+#: Every different word of the benchmark's texts with four letters or more, and what two neighbours make: a dictionary of thousands of phrases.
+_DICTIONARY = "w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), dict AS (SELECT DISTINCT p FROM (SELECT unnest(list_concat([x FOR x IN w IF length(x) >= 4], [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS p FROM w))"
+
+
+@query("t5_bans_from_table", WP + f", {_DICTIONARY}, r AS (SELECT run_id, idx, lower(coalesce(string_agg(text, ' ') OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS r FROM prompts), h AS (SELECT run_id, idx, list(p ORDER BY p)[1:5] AS bans FROM r JOIN dict ON contains(r, p) GROUP BY ALL) SELECT run_id, idx, coalesce(array_to_string(bans, ','), '') AS bans FROM prompts LEFT JOIN h USING (run_id, idx)")
+def t5_table(spark, d):
+    w = F.split(F.lower("text"), " ")
+    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    words = R.table(spark, d, "benchmark").select(F.explode(F.concat(F.filter(w, lambda x: F.length(x) >= 4), two)).alias("phrase")).distinct()
+    return A.recent_bans(R.prompts(spark, d), words.withColumn("priority", F.lit(1)), 2, 5).select("run_id", "idx", F.array_join("bans", ",").alias("bans"))
+
+
+_STYLES = {"en": (40, 400), "de": (20, 300), "fr": (30, 350), "es": (10, 200)}
+_BY_STYLE = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_WORDS} NOT BETWEEN {a} AND {b}" for k, (a, b) in _STYLES.items()) + " END"
+
+
+@query(
+    "t3_rules_table",
+    "WITH p AS (SELECT 'phrase_' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS name, lower(array_to_string(string_split(text, ' ')[3:5], ' ')) AS p FROM benchmark), h AS (SELECT doc_id, list(name ORDER BY name) AS names FROM documents JOIN p ON contains(lower(text), p) GROUP BY doc_id) "
+    f"SELECT doc_id, array_to_string(list_concat([v FOR v IN [CASE WHEN {_BY_STYLE} THEN 'words' END, CASE WHEN regexp_matches(text, '[#$%&*]{{3,}}') THEN 'signs' END] IF v IS NOT NULL], coalesce(names, [])), ',') AS violations FROM documents LEFT JOIN h USING (doc_id)",
+)
+def t3_table(spark, d):
+    """Word ranges for each language, a pattern, and a phrase of each text of the benchmark."""
+    kinds = "name string, kind string, pattern string, least long, most long, style string, priority long"
+    few = spark.createDataFrame([("words", "words", None, a, b, lang, 0) for lang, (a, b) in _STYLES.items()] + [("signs", "pattern", "[#$%&*]{3,}", None, None, None, 1)], kinds)
+    none = [F.lit(None).cast("long").alias(c) for c in ("least", "most")]
+    name = F.concat(F.lit("phrase_"), F.lpad(F.col("item_id").cast("string"), 6, "0"))
+    phrases = R.table(spark, d, "benchmark").select(name.alias("name"), F.lit("phrase").alias("kind"), F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("pattern"), *none, F.lit(None).cast("string").alias("style"), F.lit(2).cast("long").alias("priority"))
+    return A.with_rules(R.table(spark, d, "documents"), few.unionByName(phrases), style="lang").select("doc_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("t6_repeat_lead", WP + f", l AS (SELECT run_id, idx, coalesce(lower(regexp_extract(text, '{LEAD}', 0)), '') AS lead FROM prompts) SELECT run_id, idx, lead, lead <> '' AND len([v FOR v IN coalesce(list(lead) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) IF v = lead]) >= 2 AS repeats FROM l")
 def t6(spark, d):
     return T.repeat_lead(R.prompts(spark, d), LEAD).select("run_id", "idx", "lead", "repeats")
