@@ -4,7 +4,7 @@ Vectors are dealt into shards. In a shard every projection has one array of the
 values. A query looks at a window around its own value in each array and widens all windows in rounds (virtual
 rehashing: the wider windows are the buckets of a coarser hash, without a second index). Only what a round adds is
 counted. A vector that has fallen into the windows of at least `threshold` of the projections is verified by its true
-distance; the others never are. The first windows are so narrow that a common vector collides in two thirds of the
+distance; the others never are. The first windows are so narrow that a common vector collides in a fifth of the
 projections, and a shard's search ends when the windows are `reach` times as wide as the k-th best distance projects to.
 
 The lines come from random orthonormal bases: the squares of a difference's projections on a basis add up to the square
@@ -38,7 +38,7 @@ class CollisionIndex:
         self.first = np.arange(len(values)) * n
         pairs = rng.integers(0, n, (2, min(4096, 4 * n)))
         apart = np.abs((vectors[pairs[0]] - vectors[pairs[1]]) @ self.lines[0])
-        self.start = float(np.quantile(apart[apart > 0], 0.65)) if apart.any() else 1.0
+        self.start = float(np.quantile(apart[apart > 0], 0.2)) if apart.any() else 1.0
         self.widest = float((self.high - self.low).max()) + 1e-12
         self.verified = 0
 
@@ -95,53 +95,57 @@ class CollisionIndex:
         return places[keep], dists[keep]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 32_768, block_rows: int = 16_384, projections: int = 128, threshold: float = 0.87, reach: float = 1.6, growth: float = 1.1, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 32_768, block_rows: int = 16_384, projections: int = 128, threshold: float = 0.87, reach: float = 1.6, growth: float = 1.3, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest found for each query, ties to the smaller id.
 
     A vector that is null, empty, zero or has null or non-finite components takes no part, as query or candidate, nor
-    does a row without an id or with another number of components than the query's. Rows with the query's id are its
-    own and don't count; other rows that repeat are candidates each. If there are fewer candidates than k, all come.
+    does a row without an id or with another number of components than the query's. A query's own row, one that equals it
+    in id and vector, doesn't count; rows that repeat are candidates each, and another copy of the query is one at distance 0.
+    Queries that repeat in id and vector are asked once; those of one id with different vectors have k answers each. If there
+    are fewer candidates than k, all come.
     The queries meet every shard, in blocks of block_rows: a vector is copied once for each block, and up to block_rows
     queries not at all. Each shard returns its k best, and a second step keeps the k best of all. No cap on collisions
     or on what is verified: the windows widen until the k-th best distance is covered or all is seen.
     """
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     clean = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
-    base, asked = clean(vectors), clean(queries)
+    base, asked = clean(vectors), clean(queries).distinct().withColumn("mark", F.xxhash64("v"))
     shards = max(1, -(-base.count() // shard_rows))
     blocks = max(1, -(-asked.count() // block_rows))
     one = base.withColumn("shard", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     two = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def arrays(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Ids and vectors by number of components."""
+    def arrays(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, ids and vectors by number of components."""
         v = t.column("v").combine_chunks()
         ids, size = np.array(t.column("id").to_pylist(), np.int64), v.value_lengths().to_numpy(zero_copy_only=False)
         values, first = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
         out = {}
         for d in np.unique(size):
             rows = np.flatnonzero(size == d)
-            out[int(d)] = ids[rows], values[first[rows][:, None] + np.arange(d)]
+            out[int(d)] = rows, ids[rows], values[first[rows][:, None] + np.arange(d)]
         return out
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
         if a.num_rows and b.num_rows:
-            mine = arrays(a)
-            for dim, (qid, qv) in arrays(b).items():
+            mine, marks = arrays(a), b.column("mark").to_numpy()
+            for dim, (asked_at, qid, qv) in arrays(b).items():
                 if dim not in mine:
                     continue
-                ids, v = mine[dim]
+                _, ids, v = mine[dim]
                 order = np.lexsort((*v.T[:1], ids))
                 ids, v = ids[order], v[order]
                 index = CollisionIndex(v, projections, seed)
-                for q, x in zip(qid, qv):
-                    places, dists = index.search(x, np.flatnonzero(ids == q), ids, k, threshold, reach, growth)
-                    found += [(int(q), int(ids[p]), float(d)) for p, d in zip(places, dists)]
-        cols = list(zip(*found)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    near = one.groupBy("shard", "block").cogroup(two.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+                for q, x, mark in zip(qid, qv, marks[asked_at]):
+                    same = np.arange(np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right"))
+                    own = same[(v[same] == x).all(1)][:1]  # equal rows are in one shard, and one of them is the query
+                    places, dists = index.search(x, own, ids, k, threshold, reach, growth)
+                    found += [(int(q), int(mark), int(ids[p]), float(d)) for p, d in zip(places, dists)]
+        cols = list(zip(*found)) or [(), (), (), ()]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "mark": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
+
+    near = one.groupBy("shard", "block").cogroup(two.groupBy("shard", "block")).applyInArrow(search, "query_id long, mark long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    ranked = near.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
+    ranked = near.groupBy("query_id", "mark").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -486,6 +486,29 @@ def test_nearest_neighbours_reach_the_recall(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_rows(spark):
+    """Repeated queries are asked once, all rows but the query's own are candidates, and one id with two vectors has two answers."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0], rows[0], rows[7], (10, (x[10] + 0.01).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 10 = 0"), k=10, threshold=0.01, reach=9.0).collect():  # all are verified
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = defaultdict(list)
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 10 == 0}:
+        others = list(rows)
+        others.remove((q, list(v)))
+        near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), i) for i, w in others)[:10]
+        want[q] += [(k + 1, i, d) for k, (d, i) in enumerate(near)]
+    assert set(got) == set(want) and len(got[10]) == 20 and len(got[0]) == 10
+    for q in want:
+        assert [(a, b) for a, b, _ in sorted(got[q], key=lambda t: (t[0], t[2]))] == [(a, b) for a, b, _ in sorted(want[q], key=lambda t: (t[0], t[2]))]
+        assert np.allclose(sorted(c for _, _, c in got[q]), sorted(c for _, _, c in want[q]))
+    assert [i for _, i, d in sorted(got[0])][:2] == [0, 0] and all(d == 0 for _, i, d in sorted(got[0])[:2])
+
+
 def test_nearest_neighbours_of_embeddings_verify_few_vectors(spark):
     """On the given embeddings: recall of the query, and how many vectors get past the collision threshold."""
     at = "/root/testdata/sf0.1/embeddings.parquet"
