@@ -252,19 +252,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     state = stored(text_of.join(todo, "d").withColumn("dead", F.array().cast("array<int>")))
     parts = [copies.where(F.col("words") >= least_words).join(text_of, "d").select(F.col("d").alias("later"), F.sequence(F.lit(0), F.size("lines") - 1).alias("gone"), F.lit(1).cast("long").alias("partners"))]
-    tried, upto = 0, rare
+    tried, upto, first = 0, rare, True  # the first round is that of rare lines
     while state.limit(1).count():
         todo = state.select(F.col("d").alias("later"), F.explode("todo").alias("x")).select("later", "x.h", "x.r")
-        todo = todo.where(F.col("r") <= rare) if upto == rare else todo  # the first round is that of rare lines
+        todo = todo.where(F.col("r") <= rare) if first else todo
         want = todo.select("later", "h", F.explode(F.sequence(F.greatest(F.lit(0), F.col("r") - upto), F.col("r") - 1 - tried)).alias("place"))
         pairs = want.join(holders, ["h", "place"]).select("later", "earlier").distinct()
         both = pairs.join(early, "earlier").join(state.select(F.col("d").alias("later"), "lines", "sizes"), "later").select("later", "early_lines", "lines", "sizes")
         aligned = both.mapInArrow(align, "later struct<i:long,t:long>, gone array<int>")
-        part = stored(aligned.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count(F.lit(1)).alias("partners")))
+        lines_gone = aligned.select("later", F.posexplode_outer("gone").alias("p", "line"))  # an alignment without a block has one row, too
+        part = stored(lines_gone.groupBy("later").agg(F.collect_set("line").alias("gone"), F.count_if(F.coalesce("p", F.lit(0)) == 0).alias("partners")))
         parts.append(part)
-        before_, state = state, stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(tried if upto == rare else upto), state.schema))
+        before_, state = state, stored(state.join(part.select(F.col("later").alias("d"), "gone"), "d", "left").mapInArrow(rest(tried if first else upto), state.schema))
         discard(before_)
-        tried, upto = (0, 1) if upto == rare else (upto, upto * 8)
+        tried, upto, first = (0, 1, False) if first else (upto, upto * 8, False)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
