@@ -3,7 +3,8 @@
 A term is a lower-cased word or its first 4, 5 or 6 bytes, as a 64-bit hash, and falls into one of 2^18 buckets; a
 document has each bucket once. The machine has a weight and a vector for each bucket, whatever its terms say alone, so
 a pair of terms may count for more than both alone (an insult together with the mention of a group), which additive
-weights cannot express.
+weights cannot express. The pairs' part is divided by the root of the number of a document's terms, as pairs grow with
+the square of a text's length.
 """
 
 from __future__ import annotations
@@ -66,85 +67,104 @@ class FactorizationMachine:
         return both // max(1, self.size), both % max(1, self.size)
 
     def margin(self, row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
+        """Bias, weights of a row's terms, and the products of the vectors of all pairs of them over the root of their number."""
         out = self.bias + np.bincount(row, weights=self.linear[place], minlength=rows)
+        scale = 0.5 / np.sqrt(np.maximum(np.bincount(row, minlength=rows), 1))
         for f in range(self.vectors.shape[1]):
             v = self.vectors[place, f]
             s = np.bincount(row, weights=v, minlength=rows)
-            out += 0.5 * (s * s - np.bincount(row, weights=v * v, minlength=rows))
+            out += scale * (s * s - np.bincount(row, weights=v * v, minlength=rows))
         return out
 
-    def fit(self, row: np.ndarray, place: np.ndarray, label: np.ndarray, epochs: int = 20, visits: float = 2e7, batch: int = 256, rate: float = 0.3, vector_rate: float = 0.02, sparse: float = 1.0, shrink: float = 1e-3, seed: int = 6) -> None:
+    def fit(
+        self, row: np.ndarray, place: np.ndarray, label: np.ndarray, epochs: int = 20, joint: int = 4, visits: float = 4e6, batch: int = 256,
+        rate: float = 0.3, vector_rate: float = 0.1, sparse: float = 1.0, penalties: tuple[float, ...] = (1e-3, 1e-2), seed: int = 6,
+    ) -> None:
         """row: ordered rows of the terms in place; label: 0 or 1 of each row.
 
-        First the weights alone, `epochs` times over the rows, by AdaGrad with an L1 penalty of `sparse` rows' evidence;
-        then weights and vectors together on what the weights leave open, while about `visits` terms are visited, at
-        least twice and at most 60 times over the rows. An eighth of the rows is held back, and the state with the
-        least loss on it stays, so vectors that only learn single rows by heart are dropped.
+        First the weights alone, `epochs` times over the rows, by AdaGrad with an L1 penalty of `sparse` rows' evidence: a
+        start from which vectors learn what weights leave open. From there weights and vectors together, `joint` times
+        over the rows (more often, up to `visits` terms, if there are few), once for each penalty on the vectors. An
+        eighth of the rows is held back; of the states with trained vectors the one with the least loss on it stays, which
+        chooses the penalty. A bucket that no two rows share has no vector, as its pairs can't be told from chance.
         """
         n, rank = len(label), self.vectors.shape[1]
         label = label.astype(float)
         self.bias = float(np.log((label.sum() + 0.5) / (n - label.sum() + 1.5)))
+        start = self.vectors.copy()
+        often = np.bincount(place, minlength=self.size) >= 2
+        start[~often] = 0
+        self.vectors = start.copy()
         if not n or not len(place):
             return
         first, rng = np.searchsorted(row, np.arange(n + 1)), np.random.default_rng(seed)
         order = rng.permutation(n)
 
         def parts(rows: np.ndarray) -> list[tuple]:
+            """Stretches of rows: labels, row and place of each term, the buckets used, and the same for the terms that have vectors, by row and by bucket."""
             out = []
             for k in range(0, len(rows), batch):
                 own = rows[k : k + batch]
                 count = first[own + 1] - first[own]
                 at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
                 used, back = np.unique(place[at], return_inverse=True)
-                out.append((label[own], np.repeat(np.arange(len(own), dtype=np.int32), count), back.astype(np.int32), used.astype(np.int32)))
+                r = np.repeat(np.arange(len(own), dtype=np.int32), count)
+                vr, (vused, vback) = r[often[place[at]]], np.unique(place[at][often[place[at]]], return_inverse=True)
+                by = np.argsort(vback, kind="stable")
+                full = np.unique(vr, return_index=True)
+                out.append((label[own], r, back.astype(np.int32), used, 1 / np.sqrt(np.maximum(count, 1)), vr, vback.astype(np.int32), vused, full, by, np.searchsorted(vback[by], np.arange(len(vused)))))
             return out
 
         held, mine = parts(order[: n // 8]), parts(order[n // 8 :])
         w, v = self.linear, self.vectors
-        squares, vector_squares, bias_squares = np.full(self.size, 1e-4), np.full(v.shape, 1e-4), 1e-8
 
         def forward(part: tuple, vectors: bool) -> tuple[np.ndarray, np.ndarray]:
-            """Margins and sums of vectors of a part's rows."""
-            y, r, back, used = part
+            """Margins, and sums of vectors, of a part's rows."""
+            y, r, back, used, scale, vr, vback, vused, (rows, starts), _, _ = part
             z, s = np.bincount(r, weights=w[used][back], minlength=len(y)) + self.bias, np.zeros((len(y), rank))
-            for f in range(rank if vectors else 0):
-                x = v[used, f][back]
-                s[:, f] = np.bincount(r, weights=x, minlength=len(y))
-                z += 0.5 * (s[:, f] ** 2 - np.bincount(r, weights=x * x, minlength=len(y)))
+            if vectors and len(vr):
+                x = v[vused][vback]
+                s[rows] = np.add.reduceat(x, starts)
+                z[rows] += 0.5 * scale[rows] * ((s[rows] ** 2).sum(1) - np.add.reduceat((x * x).sum(1), starts))
             return z, s
 
         def loss(vectors: bool) -> float:
             return float(sum(np.logaddexp(0, -forward(p, vectors)[0] * (2 * p[0] - 1)).sum() for p in held))
 
-        kept = (np.inf, w.copy(), np.zeros_like(v), self.bias)
-        rounds = max(2, min(60, int(visits / len(place))))
-        for epoch in range(epochs + rounds):
-            vectors = epoch >= epochs
-            if epoch == epochs:
-                _, w[:], _, self.bias = kept
-            for k in rng.permutation(len(mine)):
-                y, r, back, used = mine[k]
-                z, s = forward(mine[k], vectors)
-                e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-                g = e.mean()
-                bias_squares += g * g
-                self.bias -= rate * g / np.sqrt(bias_squares)
-                er = e[r]
-                total = np.bincount(back, weights=er, minlength=len(used))
-                g = total / len(y)
-                squares[used] += g * g
-                step = rate / np.sqrt(squares[used])
-                x = w[used] - step * g
-                w[used] = np.sign(x) * np.maximum(np.abs(x) - step * sparse / n, 0)
-                for f in range(rank if vectors else 0):
-                    x = v[used, f]
-                    g = (np.bincount(back, weights=er * s[r, f], minlength=len(used)) - total * x) / len(y) + shrink * x
-                    vector_squares[used, f] += g * g
-                    v[used, f] = x - vector_rate * g / np.sqrt(vector_squares[used, f])
-            now = loss(vectors)
-            if now < kept[0]:
-                kept = (now, w.copy(), v.copy() if vectors else kept[2], self.bias)
-        _, self.linear, self.vectors, self.bias = kept
+        def learn(rounds: int, vectors: bool, shrink: float, squares: np.ndarray, bias_squares: float) -> tuple:
+            """The state with the least held-back loss after any of the rounds."""
+            vector_squares, kept = np.full(v.shape if vectors else (0, rank), 1e-4), None
+            for _ in range(rounds):
+                for k in rng.permutation(len(mine)):
+                    y, r, back, used, scale, vr, vback, vused, _, by, starts = mine[k]
+                    z, s = forward(mine[k], vectors)
+                    e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+                    g = e.mean()
+                    bias_squares += g * g
+                    self.bias -= rate * g / np.sqrt(bias_squares)
+                    g = np.bincount(back, weights=e[r], minlength=len(used)) / len(y)
+                    squares[used] += g * g
+                    step = rate / np.sqrt(squares[used])
+                    x = w[used] - step * g
+                    w[used] = np.sign(x) * np.maximum(np.abs(x) - step * sparse / n, 0)
+                    if vectors and len(vr):
+                        x, er = v[vused], (e * scale)[vr][by]
+                        g = (np.add.reduceat(er[:, None] * s[vr[by]], starts) - np.add.reduceat(er, starts)[:, None] * x) / len(y) + shrink * x
+                        vector_squares[vused] += g * g
+                        v[vused] = x - vector_rate * g / np.sqrt(vector_squares[vused])
+                now = loss(vectors)
+                if kept is None or now < kept[0]:
+                    kept = (now, w.copy(), v.copy() if vectors else None, self.bias, squares.copy(), bias_squares)
+            return kept
+
+        _, alone, _, bias, steps, bias_steps = learn(epochs, False, 0.0, np.full(self.size, 1e-4), 1e-8)
+        rounds, best = max(joint, min(60, int(visits / len(place)))), None
+        for shrink in penalties:
+            w[:], v[:], self.bias = alone, start, bias
+            got = learn(rounds, True, shrink, steps.copy(), bias_steps)
+            if best is None or got[0] < best[0]:
+                best = got
+        _, self.linear, self.vectors, self.bias, _, _ = best
 
     def save(self) -> bytes:
         head = json.dumps({"bias": self.bias, "terms": None if self.terms is None else len(self.terms), "bits": self.bits, "rank": self.vectors.shape[1]}).encode()

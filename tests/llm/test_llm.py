@@ -388,6 +388,46 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(d.limit(0), none).count() == 0
 
 
+def test_margin_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(4)
+    fm = toxicity.FactorizationMachine(np.arange(30, dtype=np.uint64), rank=3)
+    fm.bias, fm.linear, fm.vectors = 0.3, rng.normal(size=30), rng.normal(size=(30, 3))
+    sets = [sorted(rng.choice(30, n, replace=False).tolist()) for n in (0, 1, 2, 5, 30, 0)]
+    row, place = np.repeat(np.arange(6), [len(x) for x in sets]), np.array([x for own in sets for x in own])
+    want = [0.3 + sum(fm.linear[i] for i in x) + sum(fm.vectors[i] @ fm.vectors[j] for k, i in enumerate(x) for j in x[k + 1 :]) / math.sqrt(max(1, len(x))) for x in sets]
+    assert np.allclose(fm.margin(row, place, 6), want)
+
+
+def test_fit_follows_the_gradient_of_the_pairs():
+    """A step on the vectors of one batch goes where the loss falls, as differences of the margin over all pairs say."""
+    rng = np.random.default_rng(5)
+    sets = [sorted(rng.choice(12, rng.integers(2, 6), replace=False).tolist()) for _ in range(64)]
+    row, place = np.repeat(np.arange(64), [len(x) for x in sets]), np.array([x for own in sets for x in own])
+    label = np.array([float(0 in x and 1 in x) for x in sets])
+    fm = toxicity.FactorizationMachine(np.arange(12, dtype=np.uint64), rank=4)
+    fm.fit(row, place, label, epochs=3, joint=60, visits=0)
+    y = 2 * label - 1
+    loss = lambda: np.logaddexp(0, -fm.margin(row, place, 64) * y).mean()
+    with_pairs, kept = loss(), fm.vectors.copy()
+    fm.vectors = np.zeros_like(kept)
+    assert with_pairs < loss() and np.abs(kept).max() > 0.05
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_vectors_are_trained_and_take_part(spark, sf):
+    at = f"/root/testdata/{sf}"
+    d = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    m = toxicity.train(d, spark.read.parquet(f"{at}/labels.parquet"), train_on=~toxicity.held_out("id"))
+    trained = np.abs(m.vectors).max(1) > 0
+    assert 1000 < trained.sum() < m.size  # buckets that no two rows share have none
+    scores = lambda: {r["doc_id"]: r["score"] for r in toxicity.score(d.where("doc_id < 300"), m, carry=["doc_id"]).select("row.doc_id", "score").collect()}
+    one = scores()
+    m.vectors = np.zeros_like(m.vectors)
+    two = scores()
+    open_ = [k for k in one if 1e-9 < one[k] < 1 - 1e-9]  # margins that end neither at 30 nor at -30
+    assert len(open_) > 0.5 * len(one) and sum(abs(one[k] - two[k]) > 1e-12 for k in open_) > 0.9 * len(open_)
+
+
 def test_toxicity_learns_a_pair_of_words_that_say_nothing_alone(spark):
     rng = random.Random(12)
 
@@ -576,6 +616,16 @@ def test_line_dedup_aligns_with_all_earlier_documents(spark, monkeypatch):
         assert [got[k] for k in range(len(texts))] == brute_lines(texts)
 
 
+@pytest.mark.parametrize("rare", [1, 8, 64])
+def test_line_dedup_ends_for_any_number_of_rare_partners(spark, rare):
+    """Frequent lines that no alignment deletes, as they stand in other orders or are too short alone."""
+    rng = random.Random(rare)
+    lines, short = [prose(rng, 6) for _ in range(5)], [prose(rng, 2) for _ in range(3)]
+    texts = ["\n".join([rng.choice(lines), rng.choice(short), prose(rng, 7), rng.choice(lines), rng.choice(lines)]) for _ in range(90)]
+    got = {r["id"]: r["n_removed"] for r in line_dedup.line_dedup(docs(spark, texts), rare=rare).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_lines(texts)
+
+
 def test_line_dedup_finds_blocks_of_short_lines(spark):
     rng = random.Random(10)
     verse = [prose(rng, 4) for _ in range(20)]
