@@ -1,0 +1,149 @@
+"""The preference stage, greedy folds by rounds, and candidates of short series."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import functions as F
+
+from seriesmill.operators import greedy as G
+from seriesmill.operators import prefs
+from seriesmill.operators import select as E
+from seriesmill.operators import windows as W
+from seriesmill.operators.preference_model import PreferenceEstimator, PreferenceModel
+
+
+def history(spark, tracks=12, seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(tracks * 4):
+        values = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(4)]
+        best = max(range(4), key=lambda i: 2 * values[i][0] - values[i][1])
+        rows += [(g, f"t{g % tracks}", i, i == best, a, b, 0.5) for i, (a, b) in enumerate(values)]
+    return spark.createDataFrame(rows, "report long, track string, item int, chosen boolean, a double, b double, structure double")
+
+
+def learner(**more):
+    return PreferenceEstimator(groupCols=["report"], featureCols=["a", "b"], itemCol="item", structureCol="structure", **more)
+
+
+def test_preference_stage_is_saved_and_equals_its_parts(spark, tmp_path):
+    h = history(spark)
+    model = Pipeline(stages=[learner()]).fit(h)
+    stage = model.stages[0]
+    assert stage.get("enabled") and stage.get("accuracy") > 0.9 and stage.get("tracks") == 12 and stage.get("weights")[0] > 0 > stage.get("weights")[1]
+    model.write().save(f"{tmp_path}/m")
+    loaded = PipelineModel.load(f"{tmp_path}/m")
+    assert loaded.stages[0].get("weights") == stage.get("weights") and loaded.stages[0].get("fingerprint") == stage.get("fingerprint")
+    got = {(r["report"], r["item"]): (r["preference"], r["quality_score"]) for r in loaded.transform(h).collect()}
+    z = prefs.znorm_group(h, ["a", "b"], ["report", "track"])
+    pairs = prefs.dedupe_pairs(prefs.pairwise_differences(z, ["report", "track"], "item", "chosen", ["z_a", "z_b"]), "track", ["d_z_a", "d_z_b"], ["report", "item"])
+    w = {r["feature"]: r["weight"] for r in prefs.fit_pairwise_ridge(pairs, "track", ["d_z_a", "d_z_b"]).collect()}
+    want = prefs.score_preference(h, ["report"], {"a": w["d_z_a"], "b": w["d_z_b"]}).collect()
+    for r in want:
+        p, q = got[r["report"], r["item"]]
+        assert p == pytest.approx(r["preference"]) and q == pytest.approx(0.85 * 0.5 + 0.15 * p)
+    again = learner().fit(h.repartition(7))
+    assert again.get("fingerprint") == stage.get("fingerprint") and again.get("weights") == pytest.approx(stage.get("weights"))
+    assert learner().fit(history(spark, seed=2)).get("fingerprint") != stage.get("fingerprint")
+
+
+def test_preference_gate_and_odd_histories(spark, tmp_path):
+    few = learner().fit(history(spark, tracks=4))
+    assert not few.get("enabled") and few.get("reason") == "too_few_tracks"
+    out = few.transform(history(spark, tracks=1))
+    assert {(r["preference"], r["quality_score"]) for r in out.collect()} == {(0.5, 0.5)}
+    noise = history(spark).withColumn("chosen", F.col("item") == F.pmod(F.xxhash64("report"), F.lit(4)))
+    assert learner().fit(noise).get("reason") in ("accuracy_too_low", "")
+    empty = learner().fit(history(spark).limit(0))
+    assert not empty.get("enabled") and empty.get("pairs") == 0 and empty.get("accuracy") == -1.0
+    h = history(spark)
+    odd = h.withColumn("a", F.when((F.col("report") == 3) & (F.col("item") == 1), float("nan")).otherwise(F.col("a"))).withColumn("track", F.when(F.col("report") != 7, F.col("track"))).withColumn("chosen", F.when(F.col("report") != 9, F.col("chosen")))
+    assert learner().fit(odd).get("pairs") == learner().fit(h.where("report not in (3, 7, 9)")).get("pairs") == 3 * 45
+    few.save(f"{tmp_path}/few")
+    assert PreferenceModel.load(f"{tmp_path}/few").get("reason") == "too_few_tracks"
+    estimator = learner(minTracks=3)
+    estimator.save(f"{tmp_path}/estimator")
+    assert PreferenceEstimator.load(f"{tmp_path}/estimator").fit(history(spark, tracks=4)).get("enabled")
+    with pytest.raises(ValueError):
+        learner(ridge=0.0).fit(h)
+
+
+# ---------------------------------------------------------------- greedy by rounds
+
+
+def intervals(spark, n, seed, span, groups=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a = rng.uniform(0, span)
+        rows.append((i % groups, i, a, a + rng.choice([1.0, 5.0, 20.0]), rng.choice([0.1, 0.5, 0.5, rng.random()])))
+    return spark.createDataFrame(rows, "g int, id int, a double, b double, q double")
+
+
+OVER = lambda x, y: (F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"])) / F.least(x["b"] - x["a"], y["b"] - y["a"]) >= 0.5
+
+
+def by_quality():
+    return [(-F.col("q")).alias("o1"), F.col("id").alias("o2")]
+
+
+@pytest.mark.parametrize("limit, width", [(None, 20.0), (5, 3.0)])
+def test_suppression_by_rounds_equals_the_fold(spark, limit, width):
+    df = intervals(spark, 900, 5, 300)
+    fold = G.greedy_suppress(df, ["g"], by_quality(), ["id", "a", "b"], OVER, limit).select("g", "rank", "id").collect()
+    rounds = G.suppress_by_rounds(df, ["g"], by_quality(), ["id", "a", "b"], OVER, "a", "b", width, limit).select("g", "rank", "id").collect()
+    assert sorted(map(tuple, fold)) == sorted(map(tuple, rounds)) and len(fold) > 10
+    assert G.suppress_by_rounds(df.limit(0), ["g"], by_quality(), ["id", "a", "b"], OVER, "a", "b", width).count() == 0
+
+
+def test_clusters_by_rounds_equal_the_fold(spark):
+    df = intervals(spark, 700, 6, 200)
+    fold = G.leader_clusters(df, ["g"], by_quality(), "id", ["a", "b"], OVER).collect()
+    rounds = G.clusters_by_rounds(df, ["g"], by_quality(), "id", ["a", "b"], OVER, "a", "b", 20.0).collect()
+    assert sorted(map(tuple, fold)) == sorted(map(tuple, rounds)) and len(rounds) == 700
+
+
+def test_one_group_of_many_intervals(spark):
+    """Two hundred thousand intervals of one group, against the same greedy choice in plain Python with a list of starts."""
+    n = 200_000
+    df = spark.range(n, numPartitions=4).select(F.lit(1).alias("g"), "id", (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 10.0).alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("q")).withColumn("b", F.col("a") + 10.0)
+    near = lambda x, y: F.abs(x["a"] - y["a"]) < 8.0
+    got = G.suppress_by_rounds(df, ["g"], [(-F.col("q")).alias("o1"), F.col("id").alias("o2")], ["id", "a", "b"], near, "a", "b", 10.0).select("id").collect()
+    cells, want = {}, set()
+    for r in sorted(df.select("id", "a", "q").collect(), key=lambda r: (-r["q"], r["id"])):
+        c = int(r["a"] // 8)
+        if not any(abs(r["a"] - x) < 8.0 for k in (c - 1, c, c + 1) for x in cells.get(k, ())):
+            cells.setdefault(c, []).append(r["a"])
+            want.add(r["id"])
+    assert {r["id"] for r in got} == want and len(want) > 5000
+
+
+def test_events_by_rounds_equal_the_fold_with_and_without_nuclei(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        a = rng.uniform(0, 500)
+        n = None if rng.random() < 0.3 else a + rng.uniform(-5, 40)
+        rows.append((i % 2, i, a, a + rng.uniform(20, 60), n, None if n is None else n + rng.uniform(1, 20), rng.choice([0.3, 0.9, float("nan"), rng.random()])))
+    df = spark.createDataFrame(rows, "series_id int, candidate_id int, start_time double, end_time double, nucleus_start double, nucleus_end double, quality_score double")
+    key = lambda x: sorted((r["candidate_id"], r["cluster"], r["is_champion"]) for r in x.collect())
+    assert key(E.cluster_events_by_rounds(df, width=40.0)) == key(E.cluster_events(df))
+
+
+# ---------------------------------------------------------------- short series
+
+
+def test_lengths_are_clamped_and_every_series_has_candidates(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, i, float(rng.random()), float(rng.random())) for s, n in ((1, 1), (2, 2), (3, 9), (4, 40)) for i in range(n)]
+    f = spark.createDataFrame(rows, "series_id int, frame_idx int, start_score double, end_score double")
+    n = f.groupBy("series_id").agg((F.max("frame_idx") + 1).alias("n"))
+    lengths = {r["series_id"]: r for r in W.allowed_lengths(n, 14, 16, 20, 24).collect()}
+    assert set(lengths) == {2, 3, 4} and lengths[2]["durations"] == [1.0] and lengths[3]["durations"] == [8.0] and lengths[4]["durations"] == [14.0, 16.0, 18.0, 20.0, 24.0]
+    nuclei = spark.createDataFrame([(4, "nucleus_001", 20, 30, 0.9)], "series_id int, nucleus_id string, start_idx int, end_idx int, nucleus_score double")
+    out = W.expand_all_series(nuclei, f, W.allowed_lengths(n, 14, 16, 20, 24), (0.25, 0.40, 0.55), 4).collect()
+    assert {(r["nucleus_start"], r["nucleus_end"], r["start_idx"], r["end_idx"]) for r in out if r["series_id"] == 2} == {(0, 1, 0, 1)}
+    assert {r["series_id"] for r in out} == {2, 3, 4} and all(r["start_idx"] <= r["nucleus_start"] and r["end_idx"] >= r["nucleus_end"] for r in out)
+    assert all(14 <= r["end_idx"] - r["start_idx"] <= 24 for r in out if r["series_id"] == 4)
