@@ -6,6 +6,8 @@ so a window's work for a frame doesn't grow with the series; sequence_repeatabil
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,28 +106,66 @@ def novelty(frames: DataFrame, dims: int, width: int, vec: str = "vec") -> DataF
     return raw.select(KEY, ORDER, F.when(high > low, (F.col("r") - low) / (high - low)).otherwise(F.col("r")).alias("novelty"))
 
 
-def sequence_repeatability(frames: DataFrame, stride: int, exclude: int, smooth: int, fps: float, vec: str = "vec") -> DataFrame:
+def _diagonal_tile(t: pa.Table, key: str, block: int, exclude: int, smooth: int) -> pa.Table:
+    """(key, n, q) of one tile: the largest smoothed similarity of each sample with a partner `lag` samples on, for the tile's samples and lags."""
+    value = t.column(key)[0].as_py()
+    ib, lb, n = (t.column(c)[0].as_py() for c in ("ib", "lb", "samples"))
+    u = t.column("u").combine_chunks()
+    dims = len(u[0]) if t.num_rows else 0
+    vectors, at, right = u.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), t.column("i").to_numpy(), t.column("right").to_numpy(zero_copy_only=False)
+    first, last = max(0, ib * block - smooth), min(n, (ib + 1) * block + smooth)
+    lags = np.arange(max(exclude, lb * block), min(n, (lb + 1) * block))
+    if last <= first or not len(lags):
+        return pa.table({key: pa.array([], t.schema.field(key).type), "n": pa.array([], pa.int64()), "q": pa.array([], pa.float64())})
+    end = min(n, last + int(lags[-1]))
+    one, two = np.zeros((last - first, dims)), np.zeros((end - first - int(lags[0]), dims))
+    left = ~right & (at >= first) & (at < last)
+    one[at[left] - first] = vectors[left]
+    far = right & (at >= first + lags[0]) & (at < end)
+    two[at[far] - first - lags[0]] = vectors[far]
+    products = one @ two.T
+    i, j = np.arange(last - first)[:, None], np.arange(last - first)[:, None] + (lags - lags[0])[None, :]
+    inside = j < two.shape[0]
+    sims = np.where(inside, products[i, np.minimum(j, two.shape[0] - 1)], 0.0)  # a row for each sample, a column for each lag
+    size = n - lags
+    width = np.minimum(smooth, size)
+    sums = np.concatenate([np.zeros((1, len(lags))), np.cumsum(sims, 0)])
+    k = np.arange(max(0, ib * block), min(n, (ib + 1) * block))
+    low = np.maximum(k[:, None] - width // 2, 0) - first
+    high = np.minimum(k[:, None] + width - width // 2, size) - first
+    columns = np.arange(len(lags))[None, :]
+    high = np.clip(high, 0, last - first)
+    low = np.minimum(np.clip(low, 0, last - first), high)
+    q = np.where(k[:, None] < size, (sums[high, columns] - sums[low, columns]) / width, -np.inf)
+    best = np.full(int(k[-1] + lags[-1] - k[0]) + 1, -np.inf)
+    best[: len(k)] = q.max(1)
+    for row in range(len(k)):  # partners of one sample are neighbours
+        part = best[row + lags[0] : row + lags[-1] + 1]
+        np.maximum(part, q[row], out=part)
+    found = np.flatnonzero(np.isfinite(best))
+    return pa.table({key: pa.array([value] * len(found), t.schema.field(key).type), "n": pa.array(found + k[0], pa.int64()), "q": pa.array(best[found])})
+
+
+def sequence_repeatability(frames: DataFrame, stride: int, exclude: int, smooth: int, fps: float, vec: str = "vec", block: int = 512) -> DataFrame:
     """(series_id, frame_idx, sequence_repeatability): best smoothed similarity along the diagonals of the self-similarity, robustly scaled.
 
-    Every stride-th frame is compared with those at least `exclude` samples later (an equi-join on the series, whose
-    length bounds the pairs); along each lag the similarity is averaged over `smooth` neighbours, missing ones as 0.
+    Every stride-th frame is compared with those at least `exclude` samples later; along each lag the similarity is averaged over `smooth`
+    neighbours, missing ones as 0. The pairs are never rows: tiles of `block` samples by `block` lags are products of matrices in tasks, which return the
+    best value of each sample. A series of n samples costs n * n / 2 products in n * n / (2 * block * block) tiles, to
+    which three blocks of vectors each are sent; a tile takes about 24 * block * block bytes. exclude is at least 1.
     """
     s = frames.where(F.pmod(ORDER, F.lit(stride)) == 0).select(KEY, (F.col(ORDER) / stride).cast("int").alias("i"), _unit(F.col(vec), 1e-8).alias("u"))
-    b = s.select(KEY, F.col("i").alias("j"), F.col("u").alias("w"))
-    dot = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = s.join(b, KEY).where(F.col("j") - F.col("i") >= exclude).select(KEY, "i", "j", (F.col("j") - F.col("i")).alias("lag"), dot.alias("sim"))
-    size = F.count(F.lit(1)).over(Window.partitionBy(KEY, "lag"))
-    full = F.sum("sim").over(Window.partitionBy(KEY, "lag").orderBy("i").rowsBetween(-(smooth // 2), smooth - smooth // 2 - 1)) / smooth
-    counted = pairs.withColumn("size", size).withColumn("full", full)
-    at = Window.partitionBy(KEY, "lag").orderBy("i")
-    place = counted.withColumn("k", F.row_number().over(at) - 1).withColumn("all", F.collect_list("sim").over(at.rowsBetween(-smooth, smooth))).withColumn("lo", F.least(F.col("k"), F.lit(smooth)))
-    # fewer samples than the kernel: the kernel is as wide as the samples
-    begin = F.greatest(F.lit(0), F.col("lo") - (F.col("size") / 2).cast("int"))
-    stop = F.col("lo") + F.col("size") - (F.col("size") / 2).cast("int")
-    short = F.aggregate(F.slice("all", (begin + 1).cast("int"), F.greatest(F.lit(0), stop - begin).cast("int")), F.lit(0.0), lambda a, x: a + x) / F.col("size")
-    seq = place.select(KEY, "i", "j", F.when(F.col("size") < smooth, short).otherwise(F.col("full")).alias("q"))
-    ends = seq.select(KEY, F.col("i").alias("n"), "q").unionByName(seq.select(KEY, F.col("j").alias("n"), "q"))
-    best = s.select(KEY, F.col("i").alias("n")).join(ends.groupBy(KEY, "n").agg(F.max("q").alias("q")), [KEY, "n"], "left").select(KEY, (F.col("n") * stride / fps).alias("t"), F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(0.0)).alias("v"))
+    sized = s.join(s.groupBy(KEY).agg((F.max("i") + 1).alias("samples")), KEY)
+    at, lowest, half = (lambda x: F.floor(x / block).cast("int")), exclude // block, smooth
+    left = sized.withColumn("ib", F.explode(F.sequence(F.greatest(F.lit(0), at(F.col("i") - half)), F.least(at(F.col("i") + half), at(F.col("samples") - 1)))))
+    top = at(F.col("samples") - 1 - F.col("ib") * block)
+    left = left.where(top >= lowest).withColumn("lb", F.explode(F.sequence(F.lit(lowest), top))).withColumn("right", F.lit(False))
+    right = sized.withColumn("db", F.explode(F.sequence(F.greatest(F.lit(0), at(F.col("i") - half) - 1), F.least(at(F.col("i") + half), at(F.col("samples") - 1)))))
+    right = right.where(F.col("db") >= lowest).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("db") - lowest))).withColumn("lb", F.col("db") - F.col("ib")).withColumn("right", F.lit(True)).drop("db")
+    tiles = left.unionByName(right).groupBy(KEY, "ib", "lb")
+    kind = s.schema[KEY].dataType.simpleString()
+    ends = tiles.applyInArrow(lambda t: _diagonal_tile(t, KEY, block, exclude, smooth), f"{KEY} {kind}, n long, q double")
+    best = s.select(KEY, F.col("i").cast("long").alias("n")).join(ends.groupBy(KEY, "n").agg(F.max("q").alias("q")), [KEY, "n"], "left").select(KEY, (F.col("n") * stride / fps).alias("t"), F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(0.0)).alias("v"))
     last = frames.groupBy(KEY).agg(F.max(F.col(ORDER) / fps).alias("t"))
     held = best.join(last.withColumnRenamed("t", "end"), KEY)
     tail = held.groupBy(KEY).agg(F.max("end").alias("t"), F.max_by("v", "t").alias("v"), F.max(F.col("t")).alias("m")).where("t > m").select(KEY, "t", "v")

@@ -41,22 +41,26 @@ def first_per_track(df: DataFrame, track: str, order: str) -> DataFrame:
 def exact_median(rows: DataFrame, value: str, bins: int = 1000) -> float | None:
     """The median of the values that aren't null, or None: counts by bins of about equal size, then only the middle bin's values in order.
 
-    rows is read three times, so it should be a stored table. The driver gets one count for each bin.
+    rows is read three times, so it should be a stored table. The driver gets one count for each bin. A bin of equal
+    values, such as one that most rows tie in, gives its value without being put in order.
     """
     x = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
     edges = sorted(set(x.approxQuantile("v", [k / bins for k in range(1, bins)], 0.25 / bins))) if bins > 1 else []
     place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
-    counts = sorted((r["b"], r["n"]) for r in x.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    n = sum(c for _, c in counts)
+    counts = sorted((r["b"], r["n"], r["low"], r["high"]) for r in x.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+    n = sum(c for _, c, _, _ in counts)
     if not n:
         return None
     got = []
     for want in sorted({(n - 1) // 2, n // 2}):
         before = 0
-        for b, c in counts:
+        for b, c, low, high in counts:
             if want < before + c:
                 break
             before += c
+        if low == high:
+            got.append(low)
+            continue
         at = x.where(place == b).withColumn("r", F.row_number().over(Window.orderBy("v"))).where(F.col("r") == want - before + 1)
         got.append(at.first()["v"])
     return (got[0] + got[-1]) / 2

@@ -52,13 +52,13 @@ def classify_motion(mad: Column, changed: Column) -> Column:
     return F.when((mad < 0.25) & (changed < 0.5), "static").when((mad < 0.75) & (changed < 2.0), "minimal").otherwise("visible")
 
 
-def segment_motion(frames: DataFrame, frames_per_segment: int, most: int) -> DataFrame:
-    """motion_metrics of each fixed-length segment, up to `most` of them; a video's list ends before its first segment of fewer than two frames."""
+def segment_motion(frames: DataFrame, frames_per_segment: int, most: int | None = None) -> DataFrame:
+    """motion_metrics of each fixed-length segment, as many as a video has frames for, or up to `most` of them; a video's list ends before its first segment of fewer than two frames."""
     x = frames.withColumn("segment", F.floor(F.col("frame_idx") / frames_per_segment))
     sizes = x.groupBy("video_id", "segment").agg(F.count(F.lit(1)).alias("n"))
     stop = sizes.where("n < 2").groupBy("video_id").agg(F.min("segment").alias("stop"))
     m = motion_metrics(frame_pair_diff(x, by=["video_id", "segment"]), ["video_id", "segment"])
-    return m.join(stop, "video_id", "left").where((F.col("segment") < most) & (F.col("stop").isNull() | (F.col("segment") < F.col("stop")))).drop("stop")
+    return m.join(stop, "video_id", "left").where(F.col("stop").isNull() | (F.col("segment") < F.col("stop"))).where(F.lit(True) if most is None else F.col("segment") < most).drop("stop")
 
 
 def motion_summary(metrics: DataFrame) -> DataFrame:

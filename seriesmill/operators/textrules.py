@@ -49,6 +49,16 @@ def two_stage_rule(text: Column, build: str, payoff: str, connector: str = r"(?i
     return F.when(~text.rlike(connector), "connector").when(~parts[0].rlike(build), "buildup").when(~parts[1].rlike(payoff), "payoff").otherwise("ok")
 
 
+def mode_rule(text: Column, mode: Column, patterns: dict[str, tuple[str, str]], build: str, payoff: str, connector: str = r"(?i)\bthen\b") -> Column:
+    """two_stage_rule, and then the mode's own patterns: mode if the text doesn't show the mode's outcome or, behind the first connector, the mode's payoff; unknown_mode for one without patterns (first of all)."""
+    behind = F.split(text, connector, 2)[1]
+    shown = F.lit(False)
+    for name, (outcome, own) in patterns.items():
+        shown = F.when(mode == name, text.rlike(outcome) & behind.rlike(own)).otherwise(shown)
+    staged = two_stage_rule(text, build, payoff, connector)
+    return F.when(~F.coalesce(mode.isin(list(patterns)), F.lit(False)), "unknown_mode").when(staged != "ok", staged).when(~shown, "mode").otherwise(staged)
+
+
 def recent_phrase_bans(history: DataFrame, phrases: list[str], last: int = 8, limit: int = 12) -> DataFrame:
     """bans: the dictionary phrases found in the last texts, in the dictionary's order."""
     recent = F.lower(F.concat_ws(" ", F.collect_list("text").over(_run(-last, -1))))

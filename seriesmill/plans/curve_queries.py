@@ -59,7 +59,7 @@ def _unit_sql(eps: str, source: str) -> str:
 
 @query(
     "c5_repeatability",
-    WV + ", " + _unit_sql("1e-6", "vectors") + ", r AS (SELECT a.series_id, a.frame_idx, coalesce(sum(CASE WHEN abs(a.frame_idx - b.frame_idx) > 5 THEN " + " + ".join(f"a.u{i} * b.u{i}" for i in _D) + " END), 0.0) AS r FROM u a JOIN u b USING (series_id) GROUP BY a.series_id, a.frame_idx) SELECT series_id, frame_idx, round((r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w), 6) AS repeatability FROM r WINDOW w AS (PARTITION BY series_id)",
+    WV + ", " + _unit_sql("1e-6", "vectors") + ", r AS (SELECT a.series_id, a.frame_idx, coalesce(sum(CASE WHEN abs(a.frame_idx - b.frame_idx) > 5 THEN " + " + ".join(f"a.u{i} * b.u{i}" for i in _D) + " END), 0.0) AS r FROM u a JOIN u b USING (series_id) GROUP BY a.series_id, a.frame_idx) SELECT series_id, frame_idx, round(CASE WHEN max(r) OVER w > min(r) OVER w THEN (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) ELSE r END, 6) AS repeatability FROM r WINDOW w AS (PARTITION BY series_id)",
 )
 def c5(spark, d):
     return C.repeatability(R.vectors(spark, d), R.DIMS, 5).select(*K, r6("repeatability"))
@@ -73,7 +73,7 @@ def _cos_sql(a: str, b: str) -> str:
 @query(
     "c6_novelty",
     WV + ", m AS (SELECT series_id, frame_idx, count(*) OVER (PARTITION BY series_id) AS n, " + ", ".join(f"avg(x{i}) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a{i}, avg(x{i}) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS b{i}" for i in _D)
-    + " FROM vectors WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)), r AS (SELECT series_id, frame_idx, CASE WHEN frame_idx >= 5 AND frame_idx < n - 5 THEN 1 - " + _cos_sql("a", "b") + " ELSE 0.0 END AS r FROM m) SELECT series_id, frame_idx, round((r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w), 6) AS novelty FROM r WINDOW w AS (PARTITION BY series_id)",
+    + " FROM vectors WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)), r AS (SELECT series_id, frame_idx, CASE WHEN frame_idx >= 5 AND frame_idx < n - 5 THEN 1 - " + _cos_sql("a", "b") + " ELSE 0.0 END AS r FROM m) SELECT series_id, frame_idx, round(CASE WHEN max(r) OVER w > min(r) OVER w THEN (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) ELSE r END, 6) AS novelty FROM r WINDOW w AS (PARTITION BY series_id)",
 )
 def c6(spark, d):
     return C.novelty(R.vectors(spark, d), R.DIMS, 5).select(*K, r6("novelty"))

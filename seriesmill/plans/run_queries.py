@@ -271,9 +271,9 @@ def h5(spark, d):
     return e.groupBy(H.classify_motion(F.col("value") / 100.0, (F.col("event_id") % 30) / 10.0).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h6_segment_motion", WX + _PD.format(seg="frame_idx // 8") + ", st AS (SELECT video_id, min(s) AS stop FROM (SELECT video_id, frame_idx // 8 AS s, count(*) AS n FROM pixels GROUP BY ALL) WHERE n < 2 GROUP BY video_id) SELECT pf.video_id, seg AS segment, " + _MM + " FROM pf LEFT JOIN st USING (video_id) WHERE seg < 5 AND (stop IS NULL OR seg < stop) GROUP BY ALL")
+@query("h6_segment_motion", WX + _PD.format(seg="frame_idx // 8") + ", st AS (SELECT video_id, min(s) AS stop FROM (SELECT video_id, frame_idx // 8 AS s, count(*) AS n FROM pixels GROUP BY ALL) WHERE n < 2 GROUP BY video_id) SELECT pf.video_id, seg AS segment, " + _MM + " FROM pf LEFT JOIN st USING (video_id) WHERE stop IS NULL OR seg < stop GROUP BY ALL")
 def h6(spark, d):
-    return H.segment_motion(R.pixels(spark, d), 8, 5).select("video_id", "segment", "pairs", *[r6(c) for c in _MC], "duplicates")
+    return H.segment_motion(R.pixels(spark, d), 8).select("video_id", "segment", "pairs", *[r6(c) for c in _MC], "duplicates")
 
 
 _SUMMARY = "count(*) FILTER (c = 'static') AS static, count(*) FILTER (c = 'minimal') AS minimal, count(*) FILTER (c = 'visible') AS visible, round(avg(mean_mad), 6) AS mean_mad, round(quantile_cont(mean_mad, 0.5), 6) AS median_mad, round(avg(mean_changed_pct), 6) AS mean_changed_pct, round(count(*) FILTER (c = 'static') * 100.0 / count(*), 6) AS static_pct"
@@ -338,17 +338,23 @@ def h11b(spark, d):
 # ---------------------------------------------------------------- J
 
 
-@query("j1_sample_epochs", "WITH i AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents), e AS (SELECT source, doc_id, unnest(range(0, 3)) * n + k AS position, n FROM i) SELECT source, position, doc_id FROM e WHERE position < 2 * n + 3 AND position < 3 * n")
-def j1(spark, d):
-    from pyspark.sql import Window
+_RUN = "source || '-' || (doc_id // 200)"
+
 
-    x = R.table(spark, d, "documents").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source")))
+def _runs(spark, d):
+    """Documents of a source as the items of runs of bounded size, more of them in a larger table."""
+    return R.table(spark, d, "documents").withColumn("source", F.expr("source || '-' || CAST(floor(doc_id / 200) AS BIGINT)"))
+
+
+@query("j1_sample_epochs", f"WITH r AS (SELECT {_RUN} AS source, doc_id FROM documents), i AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM r), e AS (SELECT source, doc_id, unnest(range(0, 3)) * n + k AS position, n FROM i) SELECT source, position, doc_id FROM e WHERE position < 2 * n + 3 AND position < 3 * n")
+def j1(spark, d):
+    x = _runs(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source")))
     return J.sample_epochs(x, "source", "doc_id", F.least(2 * F.col("n") + 3, 3 * F.col("n")), 7, shuffle=False)
 
 
 @query("j1_sample_epochs_shuffled")
 def j1s(spark, d):
-    return J.sample_epochs(R.table(spark, d, "documents").withColumn("n", F.lit(120)), "source", "doc_id", F.col("n"), 7)
+    return J.sample_epochs(_runs(spark, d).withColumn("n", F.lit(120)), "source", "doc_id", F.col("n"), 7)
 
 
 @query("j2_evenly_spaced", "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, unnest(CASE WHEN n <= 7 THEN range(0, n) ELSE [CAST(round_even(i * (n - 1) / 6.0, 0) AS BIGINT) FOR i IN range(7)] END) AS idx FROM n")
@@ -362,14 +368,14 @@ def j3(spark, d):
     return R.table(spark, d, "documents").select("doc_id", J.assign_choice(["rave", "calm", "storm"], 11, F.col("doc_id")).alias("choice"))
 
 
-@query("j4_make_batches", "SELECT source, batch, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents) GROUP BY ALL")
+@query("j4_make_batches", f"SELECT source, batch, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM (SELECT {_RUN} AS source, doc_id FROM documents)) GROUP BY ALL")
 def j4(spark, d):
-    return J.make_batches(R.table(spark, d, "documents"), "source", "doc_id", 8).select("source", "batch", F.array_join("ids", ",").alias("ids"))
+    return J.make_batches(_runs(spark, d), "source", "doc_id", 8).select("source", "batch", F.array_join("ids", ",").alias("ids"))
 
 
 @query("j5_plan_run")
 def j5(spark, d):
-    return J.plan_run(R.table(spark, d, "documents").withColumn("n", F.lit(60)), "source", "doc_id", F.col("n"), 3, ["build", "rise", "attack"], 6)
+    return J.plan_run(_runs(spark, d).withColumn("n", F.lit(60)), "source", "doc_id", F.col("n"), 3, ["build", "rise", "attack"], 6)
 
 
 # ---------------------------------------------------------------- K

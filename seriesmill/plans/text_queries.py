@@ -64,6 +64,21 @@ def t4(spark, d):
     return R.table(spark, d, "documents").select("doc_id", T.two_stage_rule(F.col("text"), "(?i) (?:the|la|der) ", "(?i) (?:that|que|zu) ", "(?i) (?:of|de|und) ").alias("outcome"))
 
 
+#: What the modes' texts must show, and show behind the connector.
+MODE_PATTERNS = {"build": ("(?i)(?:tion|ung) ", "(?i) (?:the|la) "), "rise": ("(?i)(?:ed|en) ", "(?i)er "), "attack": ("(?i)qu", "(?i)(?:ing|ado) ")}
+_MODE_OF = "['build', 'rise', 'attack', 'build', 'rise', 'spell', 'build'][doc_id % 7 + 1]"
+_SHOWN = "CASE " + " ".join(f"WHEN mode = '{m}' THEN regexp_matches(text, '{a}') AND regexp_matches(b, '{b}')" for m, (a, b) in MODE_PATTERNS.items()) + " ELSE false END"
+
+
+@query(
+    "t4_mode_rule",
+    rf"WITH p AS (SELECT doc_id, text, {_MODE_OF} AS mode, regexp_matches(text, '(?i) (?:of|de|und) ') AS has, regexp_extract(text, '(?is)^(.*?) (?:of|de|und) ', 1) AS a, regexp_replace(text, '(?is)^.*? (?:of|de|und) ', '') AS b FROM documents) SELECT doc_id, CASE WHEN mode = 'spell' THEN 'unknown_mode' WHEN NOT has THEN 'connector' WHEN NOT regexp_matches(a, '(?i) (?:the|la|der) ') THEN 'buildup' WHEN NOT regexp_matches(b, '(?i) (?:that|que|zu) ') THEN 'payoff' WHEN NOT {_SHOWN} THEN 'mode' ELSE 'ok' END AS outcome FROM p",
+)
+def t4_mode(spark, d):
+    rule = T.mode_rule(F.col("text"), T.mode_schedule(F.col("doc_id"), MODES), MODE_PATTERNS, "(?i) (?:the|la|der) ", "(?i) (?:that|que|zu) ", "(?i) (?:of|de|und) ")
+    return R.table(spark, d, "documents").select("doc_id", rule.alias("outcome"))
+
+
 _LIST = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 _BANS = f", bans AS (SELECT run_id, idx, [p FOR p IN {_LIST} IF contains(r, p)][1:4] AS bans FROM (SELECT run_id, idx, lower(coalesce(string_agg(text, ' ') OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS r FROM prompts))"
 
@@ -168,15 +183,22 @@ def t12(spark, d):
     return R.table(spark, d, "documents").select("doc_id", T.prompt_hash(F.col("text")).alias("prompt_sha256"))
 
 
-@query("t12_batch_hash", "SELECT source AS batch, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), ',' ORDER BY doc_id)) AS batch_sha256 FROM documents GROUP BY source")
+_BATCH = "source || '-' || (doc_id // 200)"
+
+
+def _batches(spark, d):
+    """Documents of a source in batches of bounded size, more of them in a larger table."""
+    return R.table(spark, d, "documents").withColumn("batch", F.expr("source || '-' || CAST(floor(doc_id / 200) AS BIGINT)"))
+
+
+@query("t12_batch_hash", f"SELECT {_BATCH} AS batch, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), ',' ORDER BY doc_id)) AS batch_sha256 FROM documents GROUP BY ALL")
 def t12b(spark, d):
-    return T.batch_hash(R.table(spark, d, "documents"), "source", "doc_id", "text").withColumnRenamed("source", "batch")
+    return T.batch_hash(_batches(spark, d), "batch", "doc_id", "text")
 
 
-@query("t12_batch_hash_with_settings", "SELECT source AS batch, sha256('encoder=e5;negative=blur;' || string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), ',' ORDER BY doc_id)) AS batch_sha256 FROM documents GROUP BY source")
+@query("t12_batch_hash_with_settings", f"SELECT {_BATCH} AS batch, sha256('encoder=e5;negative=blur;' || string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), ',' ORDER BY doc_id)) AS batch_sha256 FROM documents GROUP BY ALL")
 def t12c(spark, d):
-    x = T.batch_hash(R.table(spark, d, "documents"), "source", "doc_id", "text", {"negative": "blur", "encoder": "e5"})
-    return x.withColumnRenamed("source", "batch")
+    return T.batch_hash(_batches(spark, d), "batch", "doc_id", "text", {"negative": "blur", "encoder": "e5"})
 
 
 @query("t13_diversity_assignment", WP + _BANS.replace("2 PRECEDING AND", "8 PRECEDING AND").replace("[1:4]", "[1:12]") + f" SELECT run_id, idx, 'mode: ' || {_MODES}[idx % 7 + 1] || '; effect: ' || CAST((idx * 7 + idx // 7) % 12 AS VARCHAR) || '; reaction: ' || CASE WHEN idx % 5 = 4 THEN 'allowed' ELSE 'none' END || CASE WHEN len(bans) > 0 THEN '; avoid: ' || array_to_string(bans, ', ') ELSE '' END AS assignment FROM bans")
