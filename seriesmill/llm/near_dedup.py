@@ -254,25 +254,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(links(stored(stars)))
     roots = components(found)
 
-    # members of one bucket that are in different components so far
+    # Members of one bucket that are in different components so far: at least one of a pair is outside the bucket's largest
+    # component. So these outsiders, in pieces, meet all members, in pieces; a bucket with few of them costs little more than its members.
     placed = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = stored(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
-    cross = placed.join(mixed, "key").join(nodes.select("node", *facts), "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int"))
-    cross = cross.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    cross = cross.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", *facts)
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.sum("c").alias("n")).where(F.col("n") > F.col("big.c"))
+    mixed = stored(mixed.select("key", F.col("big.root").alias("big"), F.ceil(F.col("n") / piece).cast("int").alias("all"), F.ceil((F.col("n") - F.col("big.c")) / piece).cast("int").alias("outer")))
+    cross = placed.join(mixed, "key").join(nodes.select("node", *facts), "node").withColumn("outside", F.col("root") != F.col("big"))
+    deal = lambda salt, n: F.pmod(F.xxhash64("node", "key", F.lit(salt)), F.col(n)).cast("int")
+    left = cross.where("outside").withColumn("left", F.lit(True)).withColumn("p", deal(1, "outer")).withColumn("q", F.explode(F.expr("sequence(0, all - 1)")))
+    right = cross.withColumn("left", F.lit(False)).withColumn("q", deal(2, "all")).withColumn("p", F.explode(F.expr("sequence(0, outer - 1)")))
+    cross = left.unionByName(right).select("key", "band", "p", "q", "left", "outside", "node", "root", *facts)
 
     def compare(t: pa.Table) -> pa.Table:
-        """Links between the pieces p and q of a bucket; of those that join the same two components here, one."""
-        p, q, band = (t.column(c)[0].as_py() for c in ("p", "q", "band"))
-        own, node, root = (np.array(t.column(c).to_pylist(), np.int64) for c in ("own", "node", "root"))
+        """Links between a piece of a bucket's outsiders and one of its members; of those that join the same two components here, one."""
+        band = t.column("band")[0].as_py()
+        node, root = (np.array(t.column(c).to_pylist(), np.int64) for c in ("node", "root"))
+        outsiders, outside = (np.array(t.column(c).to_pylist(), bool) for c in ("left", "outside"))
         total, shared = (np.array(t.column(c).to_pylist()) for c in ("total", "shared"))
         s = np.frombuffer(b"".join(t.column("sample").to_pylist()), np.uint32).reshape(-1, n_samples)
         _, part = np.unique(root, return_inverse=True)
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        left, right = np.flatnonzero(outsiders), np.flatnonzero(~outsiders)
         feature: dict[int, tuple] = {}
         out: list[tuple[int, int]] = []
         for i in left:
-            js = right[(part[right] != part[i]) & ((node[right] > node[i]) | (p != q))]
+            js = right[(part[right] != part[i]) & (~outside[right] | (node[right] > node[i]))]  # two outsiders meet twice and count once
             js = js[within(np.minimum(shared[js], shared[i]), total[js] + total[i])]
             same = s[js] == s[i]
             first = same.reshape(len(js), n_samples // rows, rows).all(2).argmax(1)  # a pair counts in the first bucket that it shares
