@@ -194,7 +194,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
     posterior: the label model's probability that a document with these votes is good, from the votes of all documents;
     score: the linear scorer's, trained on at most most_rows documents (those whose ids and texts have the smallest
-    hashes). Null text is empty; a text without words is voted bad for its length only. Repeated rows count as often as
+    hashes; rows that repeat id and text count once there). Null text is empty; a text without words is voted bad for its length only. Repeated rows count as often as
     they come, null ids are rows like others, an empty table gives an empty result.
     """
     names = docs.columns if carry is None else carry
@@ -216,7 +216,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
     small = docs.select(key.alias("k")).distinct().orderBy("k").limit(most_rows)  # a bounded sample by hash
     edge = small.agg(F.max("k")).first()[0]
-    sample = docs.select(F.col(f"`{text_col}`").alias("text"), key.alias("k")).where(F.col("k") <= F.lit(edge)) if edge is not None else docs.limit(0).select(F.lit("").alias("text"), F.lit(0).alias("k"))
+    sample = docs.select(F.col(f"`{text_col}`").alias("text"), key.alias("k")).where(F.col("k") <= F.lit(edge)).dropDuplicates(["k"]) if edge is not None else docs.limit(0).select(F.lit("").alias("text"), F.lit(0).alias("k"))
 
     def train(t: pa.Table) -> pa.Table:
         parts = [(v, hashed_features(m, w, f)) for b in [t.sort_by([("k", "ascending"), ("text", "ascending")]).slice(0, most_rows)] for _, m, w, f in _each(b.to_batches(), "text") for v in [votes(m)]]
