@@ -201,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         mine = mine.where(train_on)
     ids = mine.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "id")
-    sample = stored(sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(F.max(F.struct("y", "text")).alias("x")).select(F.col("x.text").alias("text"), (F.col("x.y") > 0).cast("int").alias("y")))
+    once = sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(F.max(F.struct("y", "text")).alias("x"))
+    sample = stored(once.orderBy("digest").limit(most_rows).select(F.col("x.text").alias("text"), (F.col("x.y") > 0).cast("int").alias("y")))  # an id may have many texts
 
     machine = FactorizationMachine()
 
