@@ -13,8 +13,8 @@ from seriesmill.operators import motion as H
 from seriesmill.operators import planning as J
 from seriesmill.operators import prefs as P
 from seriesmill.operators import runlogs as K
+from seriesmill.plans import registry, text_queries
 from seriesmill.plans import roles as R
-from seriesmill.plans import text_queries
 from seriesmill.plans.registry import query
 from seriesmill.sources import commits, io
 from seriesmill.sources.files import write_files
@@ -612,10 +612,10 @@ def a1(spark, d):
     return x.select("run_id", "skip_reason", F.when(F.col("selections").isNotNull(), F.size("selections")).alias("n_selections"))
 
 
-@query("a2_scan_manifests", "SELECT CAST(page_id % 5 AS VARCHAR) AS run_id, 2::BIGINT AS version, CASE WHEN page_id % 7 <> 0 THEN regexp_replace(lower(url) || '/a/b.wav', '/+', '/', 'g') END AS track_id FROM pages WHERE url IS NOT NULL")
+@query("a2_scan_manifests", "SELECT CAST(page_id % 5 AS VARCHAR) AS run_id, 2::BIGINT AS version, CASE WHEN page_id % 7 <> 0 THEN regexp_replace(lower(url) || '/a/b.wav', '/+', '/', 'g') END AS track_id FROM pages")
 def a2(spark, d):
     root = shared_dir(spark)
-    m = R.table(spark, d, "pages").where("url is not null").select((F.col("page_id") % 5).alias("run"), F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.when(F.col("page_id") % 7 != 0, F.concat("url", F.lit("\\A\\.\\b.WAV"))).alias("path")).alias("music"))).alias("value"))
+    m = R.table(spark, d, "pages").select((F.col("page_id") % 5).alias("run"), F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.when(F.col("page_id") % 7 != 0, F.concat("url", F.lit("\\A\\.\\b.WAV"))).alias("path")).alias("music"))).alias("value"))
     m.write.partitionBy("run").text(root)
     return io.scan_manifests(spark, root, "run=*/*.txt", r"/run=(\d+)/", lines=True).select("run_id", "version", "track_id")
 
@@ -684,6 +684,15 @@ def l3(spark, d):
     return x.where("stage <> 'ahead'").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
+@query("l3_idle_sessions_by_run", registry.sql_of("l3_stream_idle_sessions").replace("PARTITION BY stage", "PARTITION BY attempt").replace("SELECT stage, ts", "SELECT attempt, ts").replace("SELECT stage, min(ts)", "SELECT attempt, min(ts)").replace("GROUP BY stage, k", "GROUP BY attempt, k").replace("90 minutes", "12 hours"))
+def l3_runs(spark, d):
+    from seriesmill.streaming.streams import idle_sessions, run_to_table
+
+    s, path = _late_stream(spark, d)
+    x = run_to_table(idle_sessions(s, "attempt", "12 hours", "1 hour"), path)
+    return x.where("year(start) < 2040").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
 @query("l4_stream_dedupe_reports", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def l4(spark, d):
     from seriesmill.streaming.streams import dedupe_reports, run_to_table
