@@ -25,9 +25,9 @@ SYLLABLES = ("th er on an re in ed nd ha at en es of or nt ea ti to it st io le
 PHRASES = {
     "menu": "Home|About|About us|Contact|News|Blog|Products|Services|Login|Sign in|Archive|Sitemap|Help|FAQ|Startseite|Kontakt|Über uns|Accueil|Contacto|Inicio|Menu|Sport|Politics|Culture|Shop|Cart|My account".split("|"),
     "footer": "© 2024 {w}|Copyright {w}. All rights reserved.|Privacy policy|Terms of use|Terms and conditions|Impressum|Datenschutz|Mentions légales|Aviso legal|Powered by {w}|© {w} · {s}|Imprint|Cookies|© {w}".split("|"),
-    "notice": "We use cookies to improve your experience. {s}|This site uses cookies. {s}|Accept all|Reject|Please enable JavaScript.|You are using an outdated browser.|Notice: {s}|Disclaimer: {s}|{s}|Got it|Learn more".split("|"),
+    "notice": "We use cookies to improve your experience. {s}|{p}|{s}|This site uses cookies. {s}|Accept all|Reject|Please enable JavaScript.|You are using an outdated browser.|Notice: {s}|Disclaimer: {s}|{s}|Got it|Learn more".split("|"),
     "form": "Search|Subscribe to our newsletter|Your email address|Name|Email|Password|Submit|Send|Log in|Forgot password?|Sign up|Register|Enter your email|Subscribe|Message|Remember me|{w}".split("|"),
-    "advert": "Advertisement|Sponsored|{s}|{s} {s}|Buy now|Anzeige|Shop {w} today|Save 20% on {w}|Publicité|Sponsored content: {s}|Ad".split("|"),
+    "advert": "Advertisement|Sponsored|{s}|{s} {s}|{p}|{s}|Buy now|Anzeige|Shop {w} today|Save 20% on {w}|Publicité|Sponsored content: {s}|Ad".split("|"),
     "share": "Share|Tweet|Share on Facebook|Print|Email this|Like|Share this article|Follow us|RSS".split("|"),
     "related": "Related articles|Read more|You may also like|Most read|More from {w}|{t}|{t}|{t}|Recommended|Next article|Previous".split("|"),
     "comment": "Comments|{w} says:|Reply|{s}|{s} {s}|{p}|3 comments|Leave a comment|{w} wrote on 3 May|Posted by {w}|Report abuse|Kommentare|Permalink|12 hours ago".split("|"),
@@ -40,7 +40,7 @@ KINDS = {
     "footer": ("footer site-footer bottom copyright colophon legal credits page-footer foot", "footer div footer div section"),
     "notice": ("notice cookie cookie-banner banner alert message gdpr consent warning disclaimer infobox popup modal overlay announcement", "div aside section div dialog"),
     "form": ("search login newsletter subscribe signup form contact-form searchbox register", "form div form form"),
-    "advert": ("ad ads advert advertisement sponsored promo promotion banner-ad sponsor adbox commercial teaser-ad", "div aside div section ins"),
+    "advert": ("ad ads advert advertisement sponsored promo promotion banner-ad sponsor adbox commercial teaser-ad", "div aside div section aside"),
     "share": ("share social sharing social-links sharebar tools buttons follow", "div ul aside"),
     "related": ("related related-posts more recommended teaser also-like most-read readmore trending see-also", "div aside section ul nav"),
     "comment": ("comments comment-list comment reader-comments discussion responses replies commentlist disqus user-comments feedback", "div section ol ul aside"),
@@ -95,9 +95,9 @@ class Writer:
     def escape(self, s: str) -> str:
         return html.escape(s, quote=self.r.random() < 0.3).replace("©", self.r.choice(["&copy;", "©", "&#169;"]))
 
-    def name(self, names: list[str]) -> str:
+    def name(self, names: list[str], telling: bool = False) -> str:
         r = self.r
-        if self.opaque or r.random() < 0.12:
+        if not telling and (self.opaque or r.random() < 0.12):
             return r.choice(["", f' class="css-{r.randrange(16**6):x}"', f' class="x{r.randrange(99)}"', ' class="row"', ' class="box"', ' class="container"'])
         n = r.choice(names)
         n = r.choice([n, n, n, f"{n}-wrapper", f"site-{n}", f"{n}_box", f"block {n}", n.title().replace("-", ""), f"{n} clearfix", f"js-{n}"])
@@ -125,7 +125,8 @@ class Writer:
         tag = tag.upper() if self.r.random() < 0.03 else tag
         return f"<{tag}>{line}{end}" + self.r.choice(["", "", "\n", "<!-- x -->"])
 
-    def noise(self, kind: str) -> str:
+    def noise(self, kind: str, telling: bool = False) -> str:
+        """A part that isn't main text; telling: its name says what it is, as nothing else does in the midst of an article."""
         r = self.r
         names, tags = KINDS[kind]
         tag = r.choice(tags.split())
@@ -141,12 +142,14 @@ class Writer:
             else:
                 inner.append(r.choice([f"<p>{s}</p>", f"<p>{s}</p>", f"<div>{s}</div>", f"<h3>{s}</h3>", f"<span>{s}</span><br>", s]) if len(inner) else r.choice([f"<p>{s}</p>", f"<h3>{s}</h3>", f"<div>{s}</div>", s]))
         body = "".join(inner)
+        if kind in ("advert", "notice") and r.random() < 0.4:  # text without blocks of its own
+            body = self.line(self.phrase(kind))
         if tag not in ("ul", "ol") and "<li>" in body:
             body = f"<ul>{body}</ul>"
         if kind == "comment" and r.random() < 0.5:
             body += self.noise("form")
         tag = "div" if tag == "td" else tag
-        return f"<{tag}{self.name(names.split())}>{body}</{tag}>" + r.choice(["", "\n"])
+        return f"<{tag}{self.name(names.split(), telling)}>{body}</{tag}>" + r.choice(["", "\n"])
 
     def article(self) -> str:
         r = self.r
@@ -156,25 +159,25 @@ class Writer:
             out.append(f"<header>{h}</header>" if r.random() < 0.15 else h)
         for _ in range(r.choice([1, 2, 3, 4, 6, 9, 14])):
             x = r.random()
-            if x < 0.74:
+            if x < 0.66:
                 out.append(self.block("p", self.prose(), True))
-            elif x < 0.80:
+            elif x < 0.71:
                 out.append(self.block(r.choice(["h2", "h3"]), self.title(), True))
-            elif x < 0.85:
+            elif x < 0.76:
                 tag = r.choice(["ul", "ol"])
                 out.append(f"<{tag}>" + "".join(self.block("li", r.choice([self.sentence, self.title])(), True) for _ in range(r.randint(2, 5))) + f"</{tag}>")
-            elif x < 0.88:
+            elif x < 0.79:
                 out.append(f"<blockquote>{self.block('p', self.prose(), True)}</blockquote>")
-            elif x < 0.90:
+            elif x < 0.81:
                 out.append("<table>" + "".join("<tr>" + "".join(self.block("td", self.word(), True) for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>")
-            elif x < 0.92:
+            elif x < 0.83:
                 out.append(self.block("pre", self.sentence(), True))
-            elif x < 0.95:
+            elif x < 0.86:
                 out.append(f'<div class="{r.choice(["text", "para", "section"])}">{self.line(self.prose(), True)}</div>')
             else:
-                out.append(self.noise(r.choice(["advert", "share", "related", "form", "notice", "advert"])))
-        if r.random() < 0.2:
-            out.append(self.noise(r.choice(["comment", "share", "related"])))
+                out.append(self.noise(r.choice(["advert", "share", "related", "form", "notice", "advert", "sidebar", "menu"]), True))
+        if r.random() < 0.3:
+            out.append(self.noise(r.choice(["comment", "comment", "share", "related"]), True))
         return "".join(out)
 
     def page(self) -> tuple[str, str]:
@@ -198,7 +201,7 @@ class Writer:
         return f"{r.choice(['<!DOCTYPE html>', ''])}<html>{head}<body>{''.join(before)}{body}{''.join(after)}</body></html>", "\n\n".join(self.text)
 
 
-def labelled_pages(spark: SparkSession, n: int = 600, seed: int = 12) -> DataFrame:
+def labelled_pages(spark: SparkSession, n: int = 900, seed: int = 12) -> DataFrame:
     """(page_id, html, text) of n made pages; text is the main text, its blocks joined by two line ends."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

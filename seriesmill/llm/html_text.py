@@ -70,7 +70,7 @@ def text_features(block: Block) -> list[str]:
 
 
 def page_features(page: list[Block], paths: Paths) -> tuple[list[list[str]], list[int]]:
-    """Features of each block beside those of its path, and 1 where it stands in the same element as the one before or in a neighbour of that."""
+    """Features of each block beside those of its path, and 1 where it stands in the same element as the one before, or in a neighbour of that with the same names."""
     out, same = [], [0] * len(page)
     inside = [[f"t:{x}" in paths.of(b.at)[0] for b in page] for x in _LANDMARKS]
     there = [(x, own) for x, own in zip(_LANDMARKS, inside) if any(own)]
@@ -82,7 +82,7 @@ def page_features(page: list[Block], paths: Paths) -> tuple[list[list[str]], lis
             own.append("first")
         else:
             before = page[i - 1].at
-            same[i] = int(b.at is before or b.at.parent is before.parent)
+            same[i] = int(b.at is before or b.at.parent is before.parent and b.at.names == before.names)
         if i == len(page) - 1:
             own.append("last")
         out.append(own)
@@ -125,7 +125,7 @@ class Field:
         return out[::-1]
 
     @classmethod
-    def fit(cls, pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.15, shrink: float = 2e-4, least: int = 3) -> Field:
+    def fit(cls, pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.15, shrink: float = 5e-5, least: int = 3) -> Field:
         """Largest likelihood of the labels, with a squared penalty on weights, by Adam's steps over all pages. Features on fewer than `least` pages are left out."""
         made = []
         for p, y in pages:
