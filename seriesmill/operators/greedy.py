@@ -121,3 +121,27 @@ def clusters_by_rounds(df: DataFrame, by: list[str], order: list[Column], ident:
     met = rows.join(at, [*by, "bin"]).where((F.col("leader")[ident] == F.col("me")[ident]) | same(F.col("me"), F.col("leader")))
     first = met.groupBy(*by, F.col("me")[ident].alias(ident)).agg(F.min("cluster").alias("cluster"), F.max(F.col("leader")[ident] == F.col("me")[ident]).alias("is_leader"))
     return first.select(*by, ident, "cluster", "is_leader")
+
+
+def marginal_by_rounds(df: DataFrame, by: list[str], ident: str, score: Column, carry: list[str], k: int, penalty: Callable[[Column, Column], Column], drop: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The rows of greedy_marginal, for groups of any size; the columns of by aren't null.
+
+    In each of k rounds the group's rows meet the list of those picked so far, k at most, and the best one is found by an aggregation
+    that Spark begins before its shuffle.
+    """
+    rows = stored(df.select(*by, score.cast("double").alias("s"), F.col(ident).alias("i"), F.struct(*carry).alias("x")))
+    picked = None
+    for k_th in range(1, k + 1):
+        if picked is None:
+            free = rows.withColumn("adj", F.col("s"))
+        else:
+            met = rows.join(picked.groupBy(*by).agg(F.collect_list(F.struct("i", "x")).alias("acc")), by)
+            gone = F.exists("acc", lambda y: (y["i"] == F.col("i")) | (drop(F.col("x"), y["x"]) if drop else F.lit(False)))
+            most = F.aggregate("acc", F.lit(0.0), lambda m, y: F.greatest(m, penalty(F.col("x"), y["x"])))
+            free = met.where(~gone).withColumn("adj", F.col("s") - most)
+        best = free.groupBy(*by).agg(F.min_by(F.struct("i", "adj", "x"), F.struct(-F.col("adj"), "s", "i")).alias("b")).select(*by, F.lit(k_th).alias("pick"), "b.*")
+        before, picked = picked, stored(best if picked is None else picked.unionByName(best))
+        if before is not None:
+            discard(before)
+    discard(rows)
+    return picked.select(*by, "pick", F.col("i").alias(ident), F.col("adj").alias("adjusted"), "x.*")

@@ -213,16 +213,26 @@ def nucleus_proposals(frames: DataFrame, lengths: list[int], step: int, prior_at
     return m.select(*ids, score.alias("nucleus_score"), lift.alias("drop_lift"), payoff.alias("payoff"), "mean_hook", "upper_hook")
 
 
-def suppress_nuclei(nuclei: DataFrame, most: int = 36, separation: float = 4.0, overlap: float = 0.70, fps: float = 1.0) -> DataFrame:
-    """Greedy non-maximum suppression, best first: gone if a kept centre is nearer than `separation` or the overlap is at least `overlap`. nucleus_id in acceptance order."""
-    from seriesmill.operators.greedy import greedy_suppress
+def suppress_nuclei(nuclei: DataFrame, most: int = 36, separation: float = 4.0, overlap: float = 0.70, fps: float = 1.0, rounds: bool = False) -> DataFrame:
+    """Greedy non-maximum suppression, best first: gone if a kept centre is nearer than `separation` or the overlap is at least `overlap`. nucleus_id in acceptance order.
+
+    rounds: by rounds over local bests, for series with any number of proposals.
+    """
+    from seriesmill.operators.greedy import greedy_suppress, suppress_by_rounds
 
     centre = lambda x: (x["start_idx"] + x["end_idx"]) / 2.0 / fps
     common = lambda x, y: F.least(x["end_idx"], y["end_idx"]) - F.greatest(x["start_idx"], y["start_idx"])
     shorter = lambda x, y: F.least(x["end_idx"] - x["start_idx"], y["end_idx"] - y["start_idx"])
     clash = lambda x, y: (F.abs(centre(x) - centre(y)) < separation) | (common(x, y) / shorter(x, y) >= overlap)
     order = [(-F.col("nucleus_score")).alias("o1"), F.col("start_idx").alias("o2"), F.col("end_idx").alias("o3")]
-    kept = greedy_suppress(nuclei, [KEY], order, ["start_idx", "end_idx", "nucleus_score"], clash, most)
+    names = ["start_idx", "end_idx", "nucleus_score"]
+    if rounds:
+        reach = F.lit(separation * fps / 2)
+        middle = (F.col("start_idx") + F.col("end_idx")) / 2.0
+        placed = nuclei.withColumn("_lo", F.least(F.col("start_idx").cast("double"), middle - reach)).withColumn("_hi", F.greatest(F.col("end_idx").cast("double"), middle + reach))
+        kept = suppress_by_rounds(placed, [KEY], order, names, clash, "_lo", "_hi", 16.0 * fps, most)
+    else:
+        kept = greedy_suppress(nuclei, [KEY], order, names, clash, most)
     return kept.withColumn("nucleus_id", F.format_string("nucleus_%03d", F.col("rank").cast("int")))
 
 

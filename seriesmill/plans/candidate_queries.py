@@ -383,3 +383,18 @@ def g1_rounds(spark, d):
 @query("e1_clusters_by_rounds", registry.sql_of("e1_cluster_events"))
 def e1_rounds(spark, d):
     return E.cluster_events_by_rounds(R.candidates(spark, d), width=60.0).select("series_id", "candidate_id", "cluster", "is_champion")
+
+
+@query("g2_marginal_by_rounds", registry.sql_of("g2_greedy_marginal"))
+def g2_rounds(spark, d):
+    from seriesmill.operators.greedy import marginal_by_rounds
+
+    part = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("item")).agg((F.max("l_extendedprice") / 100000.0).alias("s"), F.max("l_partkey").cast("double").alias("p"))
+    near = lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x["p"] - y["p"]) / 400.0)
+    return marginal_by_rounds(part, ["grp"], "item", F.col("s"), ["p"], 3, near, lambda x, y: F.abs(x["p"] - y["p"]) < 20).select("grp", "pick", "item")
+
+
+@query("d10_suppress_by_rounds", registry.sql_of("d10_suppress_nuclei"))
+def d10_rounds(spark, d):
+    proposals = stored(_nuclei(_frames(spark, d)).withColumn("nucleus_score", F.round("nucleus_score", 6)))
+    return W.suppress_nuclei(proposals, 6, rounds=True).select("series_id", "nucleus_id", "start_idx", "end_idx", "nucleus_score")

@@ -105,6 +105,17 @@ def test_clusters_by_rounds_equal_the_fold(spark):
     assert sorted(map(tuple, fold)) == sorted(map(tuple, rounds)) and len(rounds) == 700
 
 
+@pytest.mark.parametrize("dropped", [True, False])
+def test_marginal_choice_by_rounds_equals_the_fold(spark, dropped):
+    df = intervals(spark, 400, 8, 100)
+    near = lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x["a"] - y["a"]) / 40.0)
+    drop = (lambda x, y: F.abs(x["a"] - y["a"]) < 3.0) if dropped else None
+    fold = G.greedy_marginal(df, ["g"], "id", F.col("q"), ["a", "b"], 6, near, drop).select("g", "pick", "id", "adjusted").collect()
+    rounds = G.marginal_by_rounds(df, ["g"], "id", F.col("q"), ["a", "b"], 6, near, drop).select("g", "pick", "id", "adjusted").collect()
+    assert sorted(map(tuple, fold)) == sorted(map(tuple, rounds)) and len(fold) == 18
+    assert G.marginal_by_rounds(df.limit(0), ["g"], "id", F.col("q"), ["a"], 2, near).count() == 0
+
+
 def test_one_group_of_many_intervals(spark):
     """Two hundred thousand intervals of one group, against the same greedy choice in plain Python with a list of starts."""
     n = 200_000
