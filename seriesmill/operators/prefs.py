@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.scalars import is_finite
+from seriesmill.sources.shared import stored
 
 
 def history_diagnostics(reports: DataFrame, current_track: Column | None = None) -> DataFrame:
@@ -129,7 +130,8 @@ def leave_one_group_out(pairs: DataFrame, track: str, columns: list[str], ridge:
             weights = [_solve(g - own[0], b - own[1], ridge).tolist() for own in (_system(row, k) for _, row in pdf.iterrows())]
             yield pd.DataFrame({"track": pdf[track], "w": weights})
 
-    solved = sums.mapInPandas(solve, f"track {pairs.schema[track].dataType.simpleString()}, w array<double>")
+    # a table of known size, so that Spark sends few tracks' weights to the pairs and shuffles these only for many
+    solved = stored(sums.mapInPandas(solve, f"track {pairs.schema[track].dataType.simpleString()}, w array<double>"))
     margin = sum(F.col(c) * F.col("w")[i] for i, c in enumerate(columns))
     right = F.when(F.abs(margin) <= 1e-12, 0.5).otherwise((margin > 0).cast("double"))
     return pairs.select(F.col(track).alias("track"), *columns).join(solved, "track").groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("correct"))
