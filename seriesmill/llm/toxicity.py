@@ -110,9 +110,9 @@ class FactorizationMachine:
                 used, back = np.unique(place[at], return_inverse=True)
                 r = np.repeat(np.arange(len(own), dtype=np.int32), count)
                 vr, (vused, vback) = r[often[place[at]]], np.unique(place[at][often[place[at]]], return_inverse=True)
-                by = np.argsort(vback, kind="stable")
+                by = np.argsort(vback, kind="stable").astype(np.int32)
                 full = np.unique(vr, return_index=True)
-                out.append((label[own], r, back.astype(np.int32), used, 1 / np.sqrt(np.maximum(count, 1)), vr, vback.astype(np.int32), vused, full, by, np.searchsorted(vback[by], np.arange(len(vused)))))
+                out.append((label[own], r, back.astype(np.int32), used.astype(np.int32), 1 / np.sqrt(np.maximum(count, 1)), vr, vback.astype(np.int32), vused.astype(np.int32), full, by, np.searchsorted(vback[by], np.arange(len(vused)))))
             return out
 
         held, mine = parts(order[: n // 8]), parts(order[n // 8 :])
@@ -193,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A machine for labels, from at most most_rows labelled rows (those whose ids have the smallest hashes).
 
     Rows with null id or label are left out; of several labels of an id the largest counts; of equal texts one is used,
-    so groups of copies don't count as evidence many times over. All terms of the sample take part. Only the sample's
-    buckets, 4 bytes each, leave the executors. Without labels the machine scores below one half.
+    so groups of copies don't count as evidence many times over. All terms of the sample take part. The machine is fitted in
+    one task, which gets the sample's buckets, 4 bytes each. Without labels the machine scores below one half.
     """
     mine = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("id is not null and y is not null")
     if train_on is not None:
@@ -204,8 +204,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     once = sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(F.max(F.struct("y", "text")).alias("x"))
     sample = stored(once.orderBy("digest").limit(most_rows).select(F.col("x.text").alias("text"), (F.col("x.y") > 0).cast("int").alias("y")))  # an id may have many texts
 
-    machine = FactorizationMachine()
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = FactorizationMachine(rank=0)
         for batch in batches:
@@ -217,9 +215,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     terms[k] = p[cut[k - i] : cut[k - i + 1]].astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(terms, pa.binary())], names=["y", "terms"])
 
-    rows = sorted((r["y"], bytes(r["terms"])) for r in sample.mapInArrow(features, "y int, terms binary").toLocalIterator())
-    place = np.frombuffer(b"".join(t for _, t in rows), np.int32)
-    machine.fit(np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) // 4 for _, t in rows]), place, np.array([y for y, _ in rows], np.float64))
+    def fit(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("y").to_pylist(), t.column("terms").to_pylist()))
+        label, size = np.array([y for y, _ in rows], np.float64), [len(x) // 4 for _, x in rows]
+        place = np.frombuffer(b"".join(x for _, x in rows), np.int32)
+        del rows
+        machine = FactorizationMachine()
+        machine.fit(np.repeat(np.arange(len(size), dtype=np.int32), size), place, label)
+        return pa.table({"model": pa.array([machine.save()], pa.binary())})
+
+    got = sample.mapInArrow(features, "y int, terms binary").groupBy(F.lit(1).alias("g")).applyInArrow(fit, "model binary").collect()
+    if got:
+        return FactorizationMachine.load(bytes(got[0]["model"]))
+    machine = FactorizationMachine()
+    machine.fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
     return machine
 
 
