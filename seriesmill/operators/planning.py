@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesmill.operators.blocks import numbered
+
 
 def sample_epochs(items: DataFrame, key: str, order: str, n: Column, seed: int, shuffle: bool = True) -> DataFrame:
     """(key, position, order): n draws for each key (n is a column of items) that repeat an item only after a full pass over all.
@@ -33,9 +35,8 @@ def assign_choice(pool: list[str], seed: int, *keys: Column) -> Column:
 
 
 def make_batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """(by, batch, ids): consecutive chunks of `size` in order."""
-    w = Window.partitionBy(by).orderBy(order)
-    x = df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """(by, batch, ids): consecutive chunks of `size` in order; no task numbers a whole group."""
+    x = numbered(df.select(by, order), by, order, "_k").withColumn("batch", F.floor(F.col("_k") / size))
     return x.groupBy(by, "batch").agg(F.array_sort(F.collect_list(order)).alias("ids"))
 
 

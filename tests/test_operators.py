@@ -268,3 +268,22 @@ def test_generations_are_seen_whole(spark, tmp_path):
     io.publish_generation(spark.range(5).toDF("x"), path)
     spark.range(9).toDF("x").write.parquet(f"{path}/data/generation_id=unpublished")  # written, but its pointer isn't
     assert io.read_generation(spark, path).count() == 5
+
+
+def test_batches_cross_ids_and_ranges(spark):
+    """A group's chunks go on over any stretch of ids, whatever column orders them."""
+    ids = {"a": [7 * i - 9000 for i in range(1501)], "b": list(range(195, 206)), None: [5, 3], "c": [2**62 + 1, 2**62]}
+    df = spark.createDataFrame([(s, i, f"{i + 10**9:019d}") for s, x in ids.items() for i in reversed(x)], "source string, doc_id long, name string").repartition(5)
+    want = {(s, k // 8): sorted(x)[k : k + 8] for s, x in ids.items() for k in range(0, len(x), 8)}
+    assert {(r["source"], r["batch"]): r["ids"] for r in J.make_batches(df, "source", "doc_id", 8).collect()} == want
+    assert {(r["source"], r["batch"]): r["ids"] for r in J.make_batches(df, "source", "name", 8).collect()} == {k: [f"{i + 10**9:019d}" for i in v] for k, v in want.items()}
+
+
+def test_batches_take_whole_sources(spark, tmp_path):
+    """j4 cuts a source into batches of 8 with one rest, not again at every 200 ids."""
+    from seriesmill.plans import registry
+
+    spark.range(2050).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["j4_make_batches"](spark, str(tmp_path)).collect()
+    want = {(f"s{s}", k // 8): ",".join(map(str, range(2050)[s::3][k : k + 8])) for s in range(3) for k in range(0, len(range(2050)[s::3]), 8)}
+    assert {(r["source"], r["batch"]): r["ids"] for r in got} == want and len(got) == len(want)
