@@ -1,10 +1,12 @@
-"""Numbers of whole groups of any size, by blocks of a group, so that no task gets all of it.
+"""Numbers and totals of whole groups of any size, by blocks of a group, so that no task gets all of it.
 
 A block is a struct of the group's key and a number; only one row for each block meets the group's other blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -37,3 +39,9 @@ def numbered(df: DataFrame, key: str, order: str, out: str, bits: int = 12) -> D
     starts = sizes.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy("_block").orderBy(F.col(order).asc_nulls_last()))
     return x.join(starts, "_block").withColumn(out, F.col("_start") + within - 1).drop("_block", "_start")
+
+
+def group_totals(df: DataFrame, key: str, block: str = "_block", **totals: tuple[Callable[..., Column], Column]) -> DataFrame:
+    """(block, totals): for each block of df the totals of its whole group; each is an aggregate that combines with itself (sum, min, max) and its column."""
+    parts = df.groupBy(block).agg(*[f(c).alias(name) for name, (f, c) in totals.items()])
+    return parts.select(block, *[f(F.col(name)).over(_group(key, block)).alias(name) for name, (f, _) in totals.items()])

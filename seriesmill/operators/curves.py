@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.scalars import clip01, is_finite, weighted_sum
+from seriesmill.operators.blocks import block_of, group_totals
+from seriesmill.sources.shared import stored
 
 KEY, ORDER = "series_id", "frame_idx"
+#: A block of a series has 2^_BITS frames.
+_BITS = 8
 
 
 def _series():
@@ -74,17 +78,42 @@ def _dims(vec: str, dims: int) -> list[Column]:
     return [F.col(vec)[i] for i in range(dims)]
 
 
+def _blocks(frames: DataFrame, order: str = ORDER) -> DataFrame:
+    return frames.withColumn("_block", block_of(KEY, F.col(order), _BITS))
+
+
+def _blocks_with_neighbours(frames: DataFrame, before: int, after: int) -> DataFrame:
+    """frames by blocks of a series, with copies of those that a block's frames see up to `before` and `after` themselves; _home: a block's own."""
+    at = lambda i: F.shiftright(i.cast("long"), _BITS)
+    i = F.col(ORDER)
+    x = frames.withColumn("_at", F.explode(F.sequence(at(F.greatest(i - after, F.lit(0))), at(i + before))))
+    return x.withColumn("_block", F.struct(F.col(KEY), F.col("_at").alias("at"))).withColumn("_home", F.col("_at") == at(i)).drop("_at")
+
+
+def _block_rows(a: int, b: int):
+    return Window.partitionBy("_block").orderBy(ORDER).rowsBetween(a, b)
+
+
+def _minmax_of_series(raw: DataFrame, out: str) -> DataFrame:
+    """(series_id, frame_idx, out): r min-max scaled over its series, equal values as they are. raw is stored, as it is read twice."""
+    x = _blocks(stored(raw.select(KEY, ORDER, "r")))
+    x = x.join(group_totals(x, KEY, _low=(F.min, F.col("r")), _high=(F.max, F.col("r"))), "_block")
+    return x.select(KEY, ORDER, F.when(F.col("_high") > F.col("_low"), (F.col("r") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.col("r")).alias(out))
+
+
 def repeatability(frames: DataFrame, dims: int, exclude: int, vec: str = "vec") -> DataFrame:
     """(series_id, frame_idx, repeatability): summed cosine to all frames more than `exclude` away, min-max scaled.
 
-    The sum over frames is the product of a frame with the vector sum of those frames, so no pairs are formed.
+    The sum over frames is the product of a frame with the vector sum of those frames, so no pairs are formed. Frames are
+    numbered without gaps; a series' sum comes from its blocks' sums, near frames from a block and its neighbours.
     """
-    unit = frames.withColumn("u", _unit(F.col(vec), 1e-6))
-    near = _rows(-exclude, exclude)
-    total = sum(F.col("u")[i] * (F.sum(F.col("u")[i]).over(_series()) - F.sum(F.col("u")[i]).over(near)) for i in range(dims))
-    raw = unit.select(KEY, ORDER, total.alias("r"))
-    low, high = F.min("r").over(_series()), F.max("r").over(_series())
-    return raw.select(KEY, ORDER, F.when(high > low, (F.col("r") - low) / (high - low)).otherwise(F.col("r")).alias("repeatability"))
+    unit = frames.select(KEY, ORDER, _unit(F.col(vec), 1e-6).alias("u"))
+    whole = group_totals(_blocks(unit), KEY, _n=(F.sum, F.lit(1)), **{f"_s{i}": (F.sum, F.col("u")[i]) for i in range(dims)})
+    near = _block_rows(-exclude, exclude)
+    total = sum(F.col("u")[i] * (F.col(f"_s{i}") - F.sum(F.col("u")[i]).over(near)) for i in range(dims))
+    any_far = F.col("_n") > F.count(F.lit(1)).over(near)  # otherwise the difference of the sums is rounding alone
+    raw = _blocks_with_neighbours(unit, exclude, exclude).join(whole, "_block").select(KEY, ORDER, "_home", F.when(any_far, total).otherwise(0.0).alias("r"))
+    return _minmax_of_series(raw.where("_home"), "repeatability")
 
 
 def _cosine(a: list[Column], b: list[Column]) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seriesmill.operators.blocks import numbered
+
 FPS = 1.0
 
 
@@ -52,30 +54,29 @@ SERIES = "series AS (SELECT series_id, max(frame_idx) + 1 AS n, CAST(max(frame_i
 DIMS = 64
 
 
-_SERIES = "CAST(floor(vec_id / 400) AS BIGINT) * 1000 + label"
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of a label, as series of vectors: one for every 400 ids, so that there are more of them in a larger table."""
-    w = Window.partitionBy(F.expr(_SERIES)).orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.expr(_SERIES).alias("series_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    """Embeddings of a label as a series of vectors."""
+    x = table(spark, sf_dir, "embeddings").select(F.col("label").alias("series_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return numbered(x, "series_id", "vec_id", "frame_idx").select("series_id", F.col("frame_idx").cast("int").alias("frame_idx"), "vec")
 
 
 VECTORS = (
-    f"vectors AS (SELECT {_SERIES} AS series_id, CAST(row_number() OVER (PARTITION BY {_SERIES} ORDER BY vec_id) - 1 AS INT) AS frame_idx, "
+    "vectors AS (SELECT label AS series_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame_idx, "
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS))
     + " FROM embeddings)"
 )
 
+_VIDEO = "CAST(floor(vec_id / 400) AS BIGINT) * 1000 + label"
+
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of a label as grey frames, in videos as the series of `vectors`."""
-    w = Window.partitionBy(F.expr(_SERIES)).orderBy("vec_id")
+    """Embeddings of a label as grey frames, in videos: one for every 400 ids, so that there are more of them in a larger table."""
+    w = Window.partitionBy(F.expr(_VIDEO)).orderBy("vec_id")
     grey = F.transform("embedding", lambda x: F.floor(F.pmod(F.abs(x.cast("double")) * 640.0, F.lit(256.0))).cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.expr(_SERIES).alias("video_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), grey.alias("pixels"))
+    return table(spark, sf_dir, "embeddings").select(F.expr(_VIDEO).alias("video_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), grey.alias("pixels"))
 
 
-PIXELS = f"pixels AS (SELECT {_SERIES} AS video_id, CAST(row_number() OVER (PARTITION BY {_SERIES} ORDER BY vec_id) - 1 AS INT) AS frame_idx, [floor(fmod(abs(CAST(x AS DOUBLE)) * 640.0, 256.0)) FOR x IN embedding] AS pixels FROM embeddings)"
+PIXELS = f"pixels AS (SELECT {_VIDEO} AS video_id, CAST(row_number() OVER (PARTITION BY {_VIDEO} ORDER BY vec_id) - 1 AS INT) AS frame_idx, [floor(fmod(abs(CAST(x AS DOUBLE)) * 640.0, 256.0)) FOR x IN embedding] AS pixels FROM embeddings)"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,3 +287,41 @@ def test_batches_take_whole_sources(spark, tmp_path):
     got = registry.queries()["j4_make_batches"](spark, str(tmp_path)).collect()
     want = {(f"s{s}", k // 8): ",".join(map(str, range(2050)[s::3][k : k + 8])) for s in range(3) for k in range(0, len(range(2050)[s::3]), 8)}
     assert {(r["source"], r["batch"]): r["ids"] for r in got} == want and len(got) == len(want)
+
+
+def whole_series(spark, folder, sizes):
+    """Embeddings of labels whose ids lie far apart, written as a table; the vectors of each label in the order of ids."""
+    rng, out, rows, at = np.random.default_rng(8), {}, [], 0
+    for k in range(max(sizes.values())):
+        for label in sorted(sizes):
+            if k < sizes[label]:
+                v = rng.normal(size=64).astype("float32")
+                out.setdefault(label, []).append(v.astype(float))
+                rows.append((at, [float(x) for x in v], label))
+                at += 3
+    spark.createDataFrame(rows[::-1], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return {label: np.array(x) for label, x in out.items()}
+
+
+def query_curves(spark, folder, name, value):
+    from seriesmill.plans import registry
+
+    got = {}
+    for r in registry.queries()[name](spark, str(folder)).collect():
+        got.setdefault(r["series_id"], {})[r["frame_idx"]] = r[value]
+    return {s: [x[i] for i in range(len(x))] for s, x in got.items()}
+
+
+def minmax(r):
+    return (r - r.min()) / (r.max() - r.min()) if r.max() > r.min() else r
+
+
+def test_repeatability_takes_whole_series(spark, tmp_path):
+    """A label is one series, however far apart its ids are and over how many blocks it goes."""
+    series = whole_series(spark, tmp_path, {0: 530, 1: 257, 2: 9, 3: 5, 4: 1})
+    got = query_curves(spark, tmp_path, "c5_repeatability", "repeatability")
+    assert set(got) == set(series)
+    for s, x in series.items():
+        u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-6)
+        i = np.arange(len(x))
+        assert np.allclose(got[s], minmax(np.where(abs(i[:, None] - i) > 5, u @ u.T, 0.0).sum(1)), atol=1e-6), s
