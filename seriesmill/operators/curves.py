@@ -124,15 +124,18 @@ def _cosine(a: list[Column], b: list[Column]) -> tuple[Column, Column]:
 
 
 def novelty(frames: DataFrame, dims: int, width: int, vec: str = "vec") -> DataFrame:
-    """(series_id, frame_idx, novelty): 1 - cosine of the means of the `width` frames before and from here, 0 near the ends, min-max scaled."""
-    left = [F.avg(x).over(_rows(-width, -1)) for x in _dims(vec, dims)]
-    right = [F.avg(x).over(_rows(0, width - 1)) for x in _dims(vec, dims)]
+    """(series_id, frame_idx, novelty): 1 - cosine of the means of the `width` frames before and from here, 0 near the ends, min-max scaled.
+
+    Frames are numbered without gaps; means come from a block of a series and its neighbours.
+    """
+    frames = frames.select(KEY, ORDER, vec)
+    whole = group_totals(_blocks(frames), KEY, _n=(F.sum, F.lit(1)))
+    left = [F.avg(x).over(_block_rows(-width, -1)).alias(f"a{i}") for i, x in enumerate(_dims(vec, dims))]
+    right = [F.avg(x).over(_block_rows(0, width - 1)).alias(f"b{i}") for i, x in enumerate(_dims(vec, dims))]
     cos, norms = _cosine([F.col(f"a{i}") for i in range(dims)], [F.col(f"b{i}") for i in range(dims)])
-    n = F.count(F.lit(1)).over(_series())
-    m = frames.select(KEY, ORDER, n.alias("n"), *[c.alias(f"a{i}") for i, c in enumerate(left)], *[c.alias(f"b{i}") for i, c in enumerate(right)])
-    raw = m.select(KEY, ORDER, F.when((F.col(ORDER) >= width) & (F.col(ORDER) < F.col("n") - width) & (norms > 0), 1 - cos).otherwise(0.0).alias("r"))
-    low, high = F.min("r").over(_series()), F.max("r").over(_series())
-    return raw.select(KEY, ORDER, F.when(high > low, (F.col("r") - low) / (high - low)).otherwise(F.col("r")).alias("novelty"))
+    m = _blocks_with_neighbours(frames, width, width - 1).join(whole, "_block").select(KEY, ORDER, "_n", "_home", *left, *right).where("_home")
+    inner = (F.col(ORDER) >= width) & (F.col(ORDER) < F.col("_n") - width) & (norms > 0)
+    return _minmax_of_series(m.select(KEY, ORDER, F.when(inner, 1 - cos).otherwise(0.0).alias("r")), "novelty")
 
 
 def _diagonal_tile(t: pa.Table, key: str, block: int, exclude: int, smooth: int) -> pa.Table:

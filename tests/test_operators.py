@@ -325,3 +325,15 @@ def test_repeatability_takes_whole_series(spark, tmp_path):
         u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-6)
         i = np.arange(len(x))
         assert np.allclose(got[s], minmax(np.where(abs(i[:, None] - i) > 5, u @ u.T, 0.0).sum(1)), atol=1e-6), s
+
+
+def test_novelty_takes_whole_series(spark, tmp_path):
+    series = whole_series(spark, tmp_path, {0: 530, 1: 257, 2: 12, 3: 10, 4: 1})
+    got = query_curves(spark, tmp_path, "c6_novelty", "novelty")
+    assert set(got) == set(series)
+    for s, x in series.items():
+        r = np.zeros(len(x))
+        for i in range(5, len(x) - 5):
+            a, b = x[i - 5 : i].mean(0), x[i : i + 5].mean(0)
+            r[i] = 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+        assert np.allclose(got[s], minmax(r), atol=1e-6), s
