@@ -1,7 +1,8 @@
 """Operators on feature curves: tables of frames (series_id, frame_idx, t, curves...), one row for each frame.
 
-All of them shuffle by series_id only, so a chain of them keeps one partitioning. Frame windows are bounded or running,
-so a window's work for a frame doesn't grow with the series; sequence_repeatability alone compares frames pairwise.
+Most shuffle by series_id only, so a chain of them keeps one partitioning. Frame windows are bounded or running, so a
+window's work for a frame doesn't grow with the series; sequence_repeatability alone compares frames pairwise.
+repeatability, novelty and sequence_repeatability work by blocks of a series, so that a series may be of any length.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.scalars import clip01, is_finite, weighted_sum
-from seriesmill.operators.blocks import block_of, group_totals
+from seriesmill.operators.blocks import block_of, group_percentiles, group_totals, with_group_rows
 from seriesmill.sources.shared import stored
 
 KEY, ORDER = "series_id", "frame_idx"
@@ -185,9 +186,11 @@ def sequence_repeatability(frames: DataFrame, stride: int, exclude: int, smooth:
     neighbours, missing ones as 0. The pairs are never rows: tiles of `block` samples by `block` lags are products of matrices in tasks, which return the
     best value of each sample. A series of n samples costs n * n / 2 products in n * n / (2 * block * block) tiles, to
     which three blocks of vectors each are sent; a tile takes about 24 * block * block bytes. exclude is at least 1.
+    Frames are numbered without gaps; those between samples are linear in their numbers, so fps changes nothing.
     """
     s = frames.where(F.pmod(ORDER, F.lit(stride)) == 0).select(KEY, (F.col(ORDER) / stride).cast("int").alias("i"), _unit(F.col(vec), 1e-8).alias("u"))
-    sized = s.join(s.groupBy(KEY).agg((F.max("i") + 1).alias("samples")), KEY)
+    s = _blocks(s, "i")
+    sized = s.join(group_totals(s, KEY, samples=(F.max, F.col("i") + 1)), "_block").drop("_block")
     at, lowest, half = (lambda x: F.floor(x / block).cast("int")), exclude // block, smooth
     left = sized.withColumn("ib", F.explode(F.sequence(F.greatest(F.lit(0), at(F.col("i") - half)), F.least(at(F.col("i") + half), at(F.col("samples") - 1)))))
     top = at(F.col("samples") - 1 - F.col("ib") * block)
@@ -197,12 +200,14 @@ def sequence_repeatability(frames: DataFrame, stride: int, exclude: int, smooth:
     tiles = left.unionByName(right).groupBy(KEY, "ib", "lb")
     kind = s.schema[KEY].dataType.simpleString()
     ends = tiles.applyInArrow(lambda t: _diagonal_tile(t, KEY, block, exclude, smooth), f"{KEY} {kind}, n long, q double")
-    best = s.select(KEY, F.col("i").cast("long").alias("n")).join(ends.groupBy(KEY, "n").agg(F.max("q").alias("q")), [KEY, "n"], "left").select(KEY, (F.col("n") * stride / fps).alias("t"), F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(0.0)).alias("v"))
-    last = frames.groupBy(KEY).agg(F.max(F.col(ORDER) / fps).alias("t"))
-    held = best.join(last.withColumnRenamed("t", "end"), KEY)
-    tail = held.groupBy(KEY).agg(F.max("end").alias("t"), F.max_by("v", "t").alias("v"), F.max(F.col("t")).alias("m")).where("t > m").select(KEY, "t", "v")
-    grid = resample_linear(best.unionByName(tail), fps).withColumnRenamed("grid_idx", ORDER)
-    return robust_scale(grid, "v", "sequence_repeatability").select(KEY, ORDER, "sequence_repeatability")
+    found = s.select(KEY, F.col("i").cast("long").alias("n")).join(ends.groupBy(KEY, "n").agg(F.max("q").alias("q")), [KEY, "n"], "left")
+    best = stored(found.select(KEY, "n", F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(0.0)).alias("v")))
+    pairs = best.join(best.select(KEY, (F.col("n") - 1).alias("n"), F.col("v").alias("w")), [KEY, "n"], "left")
+    grid = frames.select(KEY, ORDER, F.floor(F.col(ORDER) / stride).alias("n"), (F.pmod(ORDER, F.lit(stride)) / stride).alias("part"))
+    x = stored(grid.join(pairs, [KEY, "n"]).select(KEY, ORDER, (F.col("v") + (F.coalesce("w", "v") - F.col("v")) * F.col("part")).alias("v")))
+    x = with_group_rows(_blocks(x), group_percentiles(_blocks(x), KEY, "v", {"_lo": 0.10, "_hi": 0.90}), KEY)
+    scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-8, F.lit(0.0)).otherwise(clip01((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
+    return x.select(KEY, ORDER, scaled.alias("sequence_repeatability"))
 
 
 def boundary_strength(frames: DataFrame, dims: int, radius: int, energy: str = "rms", novelty_col: str = "novelty", vec: str = "vec") -> DataFrame:

@@ -337,3 +337,26 @@ def test_novelty_takes_whole_series(spark, tmp_path):
             a, b = x[i - 5 : i].mean(0), x[i : i + 5].mean(0)
             r[i] = 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
         assert np.allclose(got[s], minmax(r), atol=1e-6), s
+
+
+def test_sequence_repeatability_takes_whole_series(spark, tmp_path):
+    from tests.test_models import brute_repeatability
+
+    series = whole_series(spark, tmp_path, {0: 530, 1: 257, 2: 12, 3: 3, 4: 1})
+    got = query_curves(spark, tmp_path, "c7_sequence_repeatability", "sequence_repeatability")
+    assert set(got) == set(series)
+    for s, x in series.items():
+        assert np.allclose(got[s], brute_repeatability(x, 2, 4, 4, 1.0), atol=1e-6), s
+
+
+@pytest.mark.parametrize("bins", [1024, 3, 1])
+def test_percentiles_by_bins_are_exact(spark, bins):
+    from seriesmill.operators.blocks import block_of, group_percentiles
+
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.random(1000), "ties": rng.integers(0, 4, 300).astype(float), "one": np.array([2.5]), "two": np.array([-1.0, 3.0]), "same": np.full(70, 0.25), "far": np.append(rng.normal(size=99), 1e12)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in groups.items() for i, v in enumerate(x)], "g string, i int, v double").withColumn("_block", block_of("g", F.col("i"), 6))
+    got = {r["g"]: r for r in group_percentiles(df, "g", "v", {"a": 0.1, "b": 0.9, "c": 1.0}, bins=bins).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert np.allclose([got[g][k] for k in "abc"], np.quantile(x, [0.1, 0.9, 1.0]), rtol=1e-12, atol=1e-12), g
