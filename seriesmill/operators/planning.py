@@ -36,7 +36,7 @@ def assign_choice(pool: list[str], seed: int, *keys: Column) -> Column:
 
 def make_batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """(by, batch, ids): consecutive chunks of `size` in order; no task numbers a whole group."""
-    x = numbered(df.select(by, order), by, order, "_k").withColumn("batch", F.floor(F.col("_k") / size))
+    x = numbered(df.select(by, order), by, order, "_k", bits=10).withColumn("batch", F.floor(F.col("_k") / size))
     return x.groupBy(by, "batch").agg(F.array_sort(F.collect_list(order)).alias("ids"))
 
 
