@@ -1,11 +1,13 @@
-"""Queries against their SQL on odd inputs: empty and null texts, characters that regular expressions treat differently."""
+"""Queries against their SQL on odd inputs: empty and null texts, characters that regular expressions treat differently; trees of files, many log files, groups of any size."""
 
 import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from seriesmill.plans import registry
+from seriesmill.plans import registry, run_queries
+from seriesmill.sources import files
 
 
 def same_as_sql(spark, name, folder, *tables):
@@ -29,3 +31,30 @@ def test_answers_of_any_characters(spark, tmp_path, name):
     rows = [(k * 6 + i, t) for k, t in enumerate(texts) for i in range(6)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert same_as_sql(spark, name, tmp_path, "documents") == len(rows)
+
+
+def test_marker_trees_are_bounded_and_deleted(spark, tmp_path, monkeypatch):
+    customers = [(k,) for k in [*range(300), 7, 7, None, 10**12]]
+    spark.createDataFrame(customers, "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    most, write = [], run_queries.write_files
+
+    def counted(rows, path, *more):
+        most.append(rows.select(F.split("file", "/")[0]).distinct().count())
+        return write(rows, path, *more)
+
+    monkeypatch.setattr(run_queries, "write_files", counted)
+    monkeypatch.setattr(run_queries, "shared_dir", lambda spark: f"file://{tmp_path}/shared/{len(most)}")
+    assert same_as_sql(spark, "a4_empty_markers", tmp_path, "customer") > 0
+    assert not [p for p in (tmp_path / "shared").glob("*/*")]
+    assert run_queries.a4_tree(spark, str(tmp_path), 50).count() > 0 and len(most) == 8 and max(most[1:]) < 100 and sum(most[1:]) == 301
+
+
+def test_a_tree_is_deleted_as_a_whole(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"t/{k}/a").mkdir(parents=True)
+        (tmp_path / f"t/{k}/a/f").write_text("x")
+        (tmp_path / f"t/f{k}").touch()
+    (tmp_path / "other").touch()
+    files.delete_tree(spark, f"file://{tmp_path}/t")
+    files.delete_tree(spark, f"{tmp_path}/none")
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
