@@ -1,6 +1,7 @@
 """Queries against their SQL on odd inputs: empty and null texts, characters that regular expressions treat differently; trees of files, many log files, groups of any size."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.plans import registry, run_queries
 from seriesmill.sources import files
+from seriesmill.streaming import tail
 
 
 def same_as_sql(spark, name, folder, *tables):
@@ -58,3 +60,23 @@ def test_a_tree_is_deleted_as_a_whole(spark, tmp_path):
     files.delete_tree(spark, f"file://{tmp_path}/t")
     files.delete_tree(spark, f"{tmp_path}/none")
     assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
+def test_many_log_files_are_planned_in_linear_time(monkeypatch, tmp_path):
+    n, head = 30_000, lambda k: b"%08d" % k * 4
+    names = [f"run-{k:08d}.log" for k in range(n)]
+    entries = [[names[k], 64, 32, tail._digest(head(k))] for k in range(n)]
+    reader = tail.TailReader({"path": str(tmp_path)})
+    monkeypatch.setattr(reader, "_list", lambda: {names[k]: (64, head(k), 64) for k in range(n)})
+    began = time.time()
+    ranges = [r for p in reader.partitions({"files": entries[: n // 2]}, {"files": entries}) for r in p.ranges]
+    assert [r[1] for r in ranges] == names[n // 2 :] and time.time() - began < 15
+    moved = {f"old-{names[k]}": (64, head(k), 64) for k in range(n)}
+    monkeypatch.setattr(reader, "_list", lambda: moved)
+    began = time.time()
+    ranges = [r for p in reader.partitions({"files": []}, {"files": entries}) for r in p.ranges]
+    assert [r[1] for r in ranges] == list(moved) and time.time() - began < 15
+    monkeypatch.setattr(reader, "_list", lambda: dict(list(moved.items())[1:]))
+    with pytest.raises(FileNotFoundError):
+        reader.partitions({"files": []}, {"files": entries})
+    assert reader.partitions({"files": entries}, {"files": entries}) == []
