@@ -75,40 +75,54 @@ def _bins(lo: str, hi: str, width: float) -> Column:
 
 
 def _accept(df: DataFrame, by: list[str], order: list[Column], carry: list[str], conflict: Callable[[Column, Column], Column], lo: str, hi: str, width: float) -> DataFrame:
-    """by, key (the order's struct), x (struct of carry) of the rows that a greedy fold keeps."""
-    left = stored(df.select(*by, F.struct(*order, F.struct(*carry).alias("x")).alias("key"), F.struct(*carry).alias("x"), _bins(lo, hi, width).alias("bins")).withColumn("id", F.monotonically_increasing_id()))
+    """by, key (the order's struct, with the struct x of carry) of the rows that a greedy fold keeps. A row is stored once, with its first and last bin."""
+    ends = [F.floor(F.col(c) / width).cast("long").alias(end) for c, end in ((lo, "_from"), (hi, "_to"))]
+    left = stored(df.select(*by, F.struct(*order, F.struct(*carry).alias("x")).alias("key"), *ends).withColumn("id", F.monotonically_increasing_id()))
+    bins, same = F.explode(F.sequence("_from", "_to")).alias("bin"), lambda a, b: [a[c].eqNullSafe(b[c]) for c in [*by, "bin"]]
     kept = []
     while not left.isEmpty():
-        cells = left.select(*by, "id", "key", "x", F.size("bins").alias("n"), F.explode("bins").alias("bin"))
-        first = cells.groupBy(*by, "bin").agg(F.min_by(F.struct("id", "key", "x", "n"), "key").alias("f"))
+        cells = left.select(*by, "id", "key", (F.col("_to") - F.col("_from") + 1).alias("n"), bins)
+        first = cells.groupBy(*by, "bin").agg(F.min_by(F.struct("id", "key", "n"), F.struct("key", "id")).alias("f"))  # of equal rows the same one in all bins
         best = first.groupBy(*by, "f.id").agg(F.count(F.lit(1)).alias("m"), F.first("f").alias("f"), F.collect_list("bin").alias("bins"))
-        won = stored(best.where(F.col("m") == F.col("f.n")).select(*by, F.col("f.id").alias("id"), F.col("f.key").alias("key"), F.col("f.x").alias("x"), "bins"))
-        marks = won.select(*by, F.explode("bins").alias("bin"), F.col("x").alias("winner"), F.col("id").alias("winner_id"))
-        gone = left.select(*by, "id", "x", F.explode("bins").alias("bin")).join(marks, [*by, "bin"]).where((F.col("id") == F.col("winner_id")) | conflict(F.col("x"), F.col("winner"))).select("id").distinct()
+        won = stored(best.where(F.col("m") == F.col("f.n")).select(*by, F.col("f.id").alias("id"), F.col("f.key").alias("key"), "bins"))
+        marks = won.select(*by, F.explode("bins").alias("bin"), F.col("key.x").alias("winner"), F.col("id").alias("winner_id"))
+        met = left.select(*by, "id", F.col("key.x").alias("x"), bins)
+        gone = met.join(marks, same(met, marks)).where((F.col("id") == F.col("winner_id")) | conflict(F.col("x"), F.col("winner"))).select("id").distinct()
         rest = stored(left.join(gone, "id", "left_anti"))
         discard(left)
         kept.append(won)
         left = rest
     discard(left)
     if not kept:
-        return left.limit(0).select(*by, "key", "x")
-    out = kept[0].select(*by, "key", "x")
+        return left.limit(0).select(*by, "key")
+    out = kept[0].select(*by, "key")
     for x in kept[1:]:
-        out = out.unionByName(x.select(*by, "key", "x"))
+        out = out.unionByName(x.select(*by, "key"))
     return out
 
 
-def suppress_by_rounds(df: DataFrame, by: list[str], order: list[Column], carry: list[str], conflict: Callable[[Column, Column], Column], lo: str, hi: str, width: float, limit: int | None = None) -> DataFrame:
+def suppress_by_rounds(df: DataFrame, by: list[str], order: list[Column], carry: list[str], conflict: Callable[[Column, Column], Column], lo: str, hi: str, width: float, limit: int | None = None, fold_rows: int = 100) -> DataFrame:
     """The rows of greedy_suppress, for groups of any size.
 
     lo and hi: columns of numbers with lo <= hi, not null; rows that conflict must have overlapping stretches [lo, hi]. The line is cut in bins of `width`. In each round a row
     that comes first in the order in every bin that it touches is kept, as nothing that could be kept before it can conflict with it; then what conflicts with it
     goes. A bin keeps one row a round, so nothing is compared but rows with their bins' winners: a round costs rows times bins each, and rounds are as
     many as rows that are kept one after the other in a neighbourhood. width: about the length of a stretch.
+
+    Each round writes and shuffles what is left several times. So groups of at most fold_rows rows are folded in place, for one shuffle of their
+    rows, and only larger ones go through rounds; the rows are the same. A fold compares a row with those that its group keeps, so fold_rows bounds its cost.
     """
-    won = _accept(df, by, order, carry, conflict, lo, hi, width)
+    rows, large = df, None
+    if fold_rows:
+        large = stored(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold_rows).select(*by))
+        if large.isEmpty():
+            return greedy_suppress(df, by, order, carry, conflict, limit)
+        of_large = lambda how: df.join(large, [df[c].eqNullSafe(large[c]) for c in by], how)
+        rows = of_large("left_semi")
+    won = _accept(rows, by, order, carry, conflict, lo, hi, width)
     ranked = won.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key")))
-    return (ranked.where(F.col("rank") <= limit) if limit is not None else ranked).select(*by, "rank", "x.*")
+    out = (ranked.where(F.col("rank") <= limit) if limit is not None else ranked).select(*by, "rank", "key.x.*")
+    return out if large is None else out.unionByName(greedy_suppress(of_large("left_anti"), by, order, carry, conflict, limit))
 
 
 def clusters_by_rounds(df: DataFrame, by: list[str], order: list[Column], ident: str, carry: list[str], same: Callable[[Column, Column], Column], lo: str, hi: str, width: float) -> DataFrame:
@@ -116,7 +130,7 @@ def clusters_by_rounds(df: DataFrame, by: list[str], order: list[Column], ident:
     names = [ident, *[c for c in carry if c != ident]]
     leaders = stored(_accept(df, by, order, names, same, lo, hi, width).withColumn("cluster", F.row_number().over(Window.partitionBy(*by).orderBy("key"))))
     extent = df.select(*by, F.col(ident).alias("_i"), _bins(lo, hi, width).alias("bins"))
-    at = leaders.join(extent.withColumnRenamed("_i", "_l"), [*[leaders[c].eqNullSafe(extent[c]) for c in by], leaders["x"][ident] == F.col("_l")]).select(*[leaders[c] for c in by], "cluster", F.col("x").alias("leader"), F.explode("bins").alias("bin"))
+    at = leaders.join(extent.withColumnRenamed("_i", "_l"), [*[leaders[c].eqNullSafe(extent[c]) for c in by], leaders["key"]["x"][ident] == F.col("_l")]).select(*[leaders[c] for c in by], "cluster", F.col("key.x").alias("leader"), F.explode("bins").alias("bin"))
     rows = df.select(*by, F.struct(*names).alias("me"), F.explode(_bins(lo, hi, width)).alias("bin"))
     met = rows.join(at, [*by, "bin"]).where((F.col("leader")[ident] == F.col("me")[ident]) | same(F.col("me"), F.col("leader")))
     first = met.groupBy(*by, F.col("me")[ident].alias(ident)).agg(F.min("cluster").alias("cluster"), F.max(F.col("leader")[ident] == F.col("me")[ident]).alias("is_leader"))

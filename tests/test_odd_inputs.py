@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from seriesmill.operators import greedy
 from seriesmill.plans import registry, run_queries
 from seriesmill.sources import files
 from seriesmill.streaming import tail
@@ -80,3 +81,24 @@ def test_many_log_files_are_planned_in_linear_time(monkeypatch, tmp_path):
     with pytest.raises(FileNotFoundError):
         reader.partitions({"files": []}, {"files": entries})
     assert reader.partitions({"files": entries}, {"files": entries}) == []
+
+
+@pytest.mark.parametrize("fold_rows", [0, 20, 100])
+@pytest.mark.parametrize("limit", [None, 3])
+def test_suppression_of_small_and_large_groups(spark, fold_rows, limit):
+    rng = random.Random(6)
+    sizes = {None: 40, 1: 5, 2: 20, 3: 21, 4: 300}
+    rows = [(g, rng.randint(0, 500), rng.randint(0, 30)) for g, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows + rows[:50], "g long, at long, q long").withColumn("hi", F.col("at") + 20)
+    args = ["g"], [(-F.col("q")).alias("o1"), F.col("at").alias("o2")], ["at", "q"], lambda a, b: F.abs(a["at"] - b["at"]) < 20
+    got = greedy.suppress_by_rounds(df, *args, "at", "hi", 15.0, limit, fold_rows).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, greedy.greedy_suppress(df, *args, limit).collect()))
+
+
+def test_small_groups_are_not_stored(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(greedy, "stored", lambda df, put=greedy.stored: written.append(put(df)) or written[-1])
+    lines = spark.range(20_000).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), (F.col("id") * 7919 % 2000).alias("l_partkey"), (F.col("id") * 31 % 1009).cast("double").alias("l_extendedprice"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert same_as_sql(spark, "g1_suppress_by_rounds", tmp_path, "lineitem") > 0
+    assert sum(x.count() for x in written) == 0
